@@ -36,6 +36,16 @@ SAFE = re.compile(r"(?<=\S) (?=\S)")
 _OTHER = re.compile(r"[^\x00-ɏ]")
 
 
+def plain(part: str) -> bool:
+    if part.isascii():
+        return True
+    try:
+        part.encode("latin-1")  # far faster than a search
+        return True
+    except UnicodeEncodeError:
+        return not _OTHER.search(part)
+
+
 class Encoder:
     def __init__(self, name: str):
         import public_tokenizers
@@ -68,7 +78,7 @@ class Encoder:
 
     def fast(self, part: str) -> int | None:
         """The count from the ranks, or None where only the reference library may count."""
-        if self.ranks is None or _OTHER.search(part) or any(s in part for s in self.special):
+        if self.ranks is None or not plain(part) or any(s in part for s in self.special):
             return None
         n = len(self.ranks.encode_ordinary(part))
         if self.probes:
