@@ -1 +1,346 @@
-QUERIES = {}
+"""Every operator as a named query over the analytic test schema: (spark, sf_dir) -> DataFrame. Whole tables, no subsets."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import integrity, ledger, report, roster
+from ..sources import mapping as M
+from ..streaming import stateful
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+#: Settings of the registered queries.
+TIERS = [(100_000, 5_000), (200_000, 10_000), (300_000, 25_000), (None, 50_000)]
+RULES = [("ECONOMY", 1, 40), ("LARGE", 2, 50), ("MEDIUM", 0, None), ("PROMO", 3, 0), ("SMALL", 0, 45), ("STANDARD", 5, 60)]
+VIEWER = 7
+DAY_MS = 86_400_000
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _finance(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.team_finance(M.teams(spark, d), ledger.active_sales(M.transactions(spark, d)))
+
+
+@query
+def team_finance(spark: SparkSession, d: str) -> DataFrame:
+    return _finance(spark, d)
+
+
+@query
+def total_and_average_sale(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.sale_totals(ledger.active_sales(M.transactions(spark, d)))
+
+
+@query
+def status_counts(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.status_counts(M.transactions(spark, d))
+
+
+@query
+def top_priced_with_tiebreak(spark: SparkSession, d: str) -> DataFrame:
+    return roster.top_priced(M.players(spark, d), "role")
+
+
+@query
+def role_counts_pivot(spark: SparkSession, d: str) -> DataFrame:
+    return roster.role_counts(M.squad_lines(spark, d).where("quantity > 48"), M.players(spark, d), M.ROLES)
+
+
+@query
+def role_composition(spark: SparkSession, d: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "role string, min_count long, max_count long")
+    return roster.role_composition(M.squad_lines(spark, d).where("quantity > 48"), M.players(spark, d), M.franchises(spark, d), rules)
+
+
+@query
+def squad_listing(spark: SparkSession, d: str) -> DataFrame:
+    rows = roster.squads(M.squad_lines(spark, d), M.players(spark, d), M.franchises(spark, d))
+    return rows.where((F.col("role") == "PROMO") & roster.matches("bolt", "player_name", "role")).select("team_id", "team_name", "lot", "line", "player_id", "player_name", "role", "price")
+
+
+@query
+def eligible_players(spark: SparkSession, d: str) -> DataFrame:
+    lines = M.squad_lines(spark, d)
+    return lines.where(roster.eligible(F.col("status"), True)).select("lot", "line", "player_id", "status")
+
+
+@query
+def search_players(spark: SparkSession, d: str) -> DataFrame:
+    return roster.search(M.players(spark, d), "RED w", role="SMALL")
+
+
+@query
+def search_players_category(spark: SparkSession, d: str) -> DataFrame:
+    return roster.search(M.players(spark, d), "", category="Brand#11").select("player_id", "name", "role")
+
+
+@query
+def search_teams(spark: SparkSession, d: str) -> DataFrame:
+    t = M.teams(spark, d)
+    return t.where(roster.matches("build", "name", "team_id", "owner")).select("team_id", "name", "owner")
+
+
+@query
+def other_active_teams(spark: SparkSession, d: str) -> DataFrame:
+    return M.teams(spark, d).where((F.col("initial_purse") > 0) & (F.col("team_id") != VIEWER)).select("team_id", "name")
+
+
+@query
+def distinct_categories(spark: SparkSession, d: str) -> DataFrame:
+    return M.players(spark, d).where("category <> ''").select("category").distinct()
+
+
+@query
+def player_queue(spark: SparkSession, d: str) -> DataFrame:
+    return roster.queue(M.players(spark, d), "LARGE")
+
+
+@query
+def recent_sales_all(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.recent(M.transactions(spark, d), 6, True).select("sequence", "team_id", "price", "reversed")
+
+
+@query
+def recent_sales_active(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.recent(M.transactions(spark, d), 8, False).select("sequence", "team_id", "price")
+
+
+@query
+def history_labelled(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.history(M.transactions(spark, d), M.teams(spark, d))
+
+
+@query
+def last_event_can_undo(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.last_can_undo(M.actions(spark, d), "actor", ["ts", "event_id"], F.col("action") == "purchase")
+
+
+@query
+def last_result_per_player(spark: SparkSession, d: str) -> DataFrame:
+    return roster.last_result(M.squad_lines(spark, d))
+
+
+@query
+def bid_increment_tier(spark: SparkSession, d: str) -> DataFrame:
+    tx = M.transactions(spark, d).where("price is not null")
+    return tx.select("sequence", "price", ledger.increment_for(F.col("price"), ledger.tier_array(TIERS), 1000).alias("increment"))
+
+
+@query
+def next_min_bid_valid(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.bid_checks(M.actions(spark, d).where("action = 'click'"), "actor", ["ts", "event_id"], 100, 50)
+
+
+@query
+def running_purse_feasible(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.running_purse(M.transactions(spark, d), M.teams(spark, d))
+
+
+@query
+def final_report_rows(spark: SparkSession, d: str) -> DataFrame:
+    lines, players, teams = M.squad_lines(spark, d), M.players(spark, d), M.franchises(spark, d)
+    finance = ledger.team_finance(teams, lines.where("status = 'sold'"))
+    return report.final_rows(roster.squads(lines, players, teams), finance, lines)
+
+
+@query
+def report_csv_lines(spark: SparkSession, d: str) -> DataFrame:
+    return report.csv_lines(_finance(spark, d), ["team_id", "name", "initial_purse", "spent", "remaining"])
+
+
+@query
+def transactions_csv_lines(spark: SparkSession, d: str) -> DataFrame:
+    return report.csv_lines(M.transactions(spark, d), ["sequence", "type", "team_id", "price", "note"])
+
+
+@query
+def spend_reconciliation(spark: SparkSession, d: str) -> DataFrame:
+    tx = M.transactions(spark, d).where("type = 'sale'")
+    return ledger.reconcile(ledger.active_sales(tx), tx, "team_id")
+
+
+@query
+def squad_slots(spark: SparkSession, d: str) -> DataFrame:
+    return roster.slots(_finance(spark, d), 3, 6)
+
+
+@query
+def violations_fk(spark: SparkSession, d: str) -> DataFrame:
+    dim = M.teams(spark, d).where("owner <> 'MACHINERY'")
+    return integrity.orphans(M.transactions(spark, d), "team_id", dim, "team_id", "sequence", "transaction")
+
+
+@query
+def violations_overspent(spark: SparkSession, d: str) -> DataFrame:
+    return integrity.overspent(_finance(spark, d))
+
+
+@query
+def violations_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    lines = M.squad_lines(spark, d)
+    sold = integrity.duplicates(lines.where("status = 'sold'"), ["player_id"], "active_sale")
+    return sold.unionByName(integrity.duplicates(lines, ["lot", "line"], "line"))
+
+
+@query
+def violations_tiers(spark: SparkSession, d: str) -> DataFrame:
+    rows = [("a", 1, 100, 10), ("a", 2, 90, 10), ("a", 3, None, 10), ("b", 1, None, 5), ("b", 2, 50, 5), ("c", 1, 10, 0), ("c", 2, 20, 1), ("d", 1, 5, 1), ("d", 2, None, 2)]
+    return integrity.tier_order(spark.createDataFrame(rows, "set_id string, tier_no int, up_to long, increment long"))
+
+
+def _with_undos(spark: SparkSession, d: str) -> DataFrame:
+    """Reversed sales get an undo row; every seventh points ahead of itself, every eleventh nowhere."""
+    tx = M.transactions(spark, d)
+    sales = tx.select(F.concat(F.lit("t"), F.col("sequence")).alias("tx_id"), (2 * F.col("sequence")).alias("pos"), "type", "team_id", "price", F.lit(None).cast("string").alias("reference_id"))
+    ref = F.when(F.col("sequence") % 7 == 0, F.col("sequence") + 1).when(F.col("sequence") % 11 == 0, F.lit(-1)).otherwise(F.col("sequence"))
+    undo = tx.where("reversed").select(F.concat(F.lit("u"), F.col("sequence")).alias("tx_id"), (2 * F.col("sequence") + 1).alias("pos"), F.lit("undo").alias("type"), "team_id", "price", F.concat(F.lit("t"), ref).alias("reference_id"))
+    return sales.unionByName(undo)
+
+
+@query
+def undo_reference_check(spark: SparkSession, d: str) -> DataFrame:
+    return integrity.undo_references(_with_undos(spark, d))
+
+
+@query
+def active_sales_from_events(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.active_sales_by_events(_with_undos(spark, d)).groupBy("team_id").agg(F.count("*").alias("sales"), F.sum("price").alias("spend"))
+
+
+@query
+def retention_top_n(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.newest(M.actions(spark, d), "actor", [F.desc("ts"), F.desc("event_id")], 40).select("actor", "event_id", "age_rank")
+
+
+@query
+def clean_text_initials(spark: SparkSession, d: str) -> DataFrame:
+    p = M.players(spark, d).select("player_id", F.concat(F.lit("\t "), F.col("name"), F.lit(" \x07")).alias("raw"), "name")
+    return p.select("player_id", X.clean_text(F.col("raw")).alias("clean"), X.initials(F.col("name")).alias("initials"), X.escape_html(F.concat(F.lit("<"), F.col("name"), F.lit("&'\">"))).alias("escaped"))
+
+
+@query
+def parse_integer(spark: SparkSession, d: str) -> DataFrame:
+    raw = [("1,000",), ("",), ("  42 ",), ("1e6",), ("0x10",), ("1.0",), ("1.5",), ("-3",), ("abc",), ("9007199254740991",), ("9007199254740992",), ("+7",), (".5",), ("5.",)]
+    rows = spark.createDataFrame(raw, "raw string")
+    return rows.select("raw", X.parse_integer(F.col("raw")).alias("number"), X.amount(F.col("raw")).alias("amount"))
+
+
+@query
+def money_grouping(spark: SparkSession, d: str) -> DataFrame:
+    return _finance(spark, d).select("team_id", X.indian_grouping(F.col("remaining")).alias("money"), X.pad(F.col("purchased"), 3).alias("padded"))
+
+
+@query
+def role_alias(spark: SparkSession, d: str) -> DataFrame:
+    raw = [("Batsman",), (" keeper ",), ("BOWLER",), ("all rounder",), ("Umpire",), ("",), ("Wicket-Keeper",)]
+    return spark.createDataFrame(raw, "raw string").select("raw", X.normal_role(F.col("raw")).alias("role"))
+
+
+@query
+def masked_view(spark: SparkSession, d: str) -> DataFrame:
+    return roster.masked(_finance(spark, d), VIEWER)
+
+
+@query
+def session_validity(spark: SparkSession, d: str) -> DataFrame:
+    return stateful.session_validity(M.actions(spark, d), "actor", "ts", F.col("action") == "signup")
+
+
+@query
+def rate_limit_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Window of 5 days and block of 24 hours, so that the sparse test log reaches the limit."""
+    a = M.actions(spark, d).where("action in ('error', 'signup')")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    rows = a.select(F.col("actor").cast("string").alias("key"), ms.alias("at_ms"), F.col("event_id").alias("seq"), (F.col("action") == "signup").alias("ok"))
+    return stateful.limit_batch(rows, stateful.Limiter(5, 5 * DAY_MS, DAY_MS))
+
+
+@query
+def presence_intervals(spark: SparkSession, d: str) -> DataFrame:
+    return stateful.presence(M.actions(spark, d), "actor", "ts", F.col("action") == "signup", F.col("action") == "error")
+
+
+@query
+def latest_version_wins(spark: SparkSession, d: str) -> DataFrame:
+    a = M.actions(spark, d).select("actor", F.col("event_id").alias("version"), "action", "amount")
+    late = a.where("version % 3 = 0").withColumn("version", F.col("version") - 1_000_000)
+    return ledger.latest_version(a.unionByName(late), "actor", "version")
+
+
+@query
+def snapshot_summary(spark: SparkSession, d: str) -> DataFrame:
+    return report.snapshot_summary(M.teams(spark, d), M.transactions(spark, d))
+
+
+@query
+def device_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Connections with a label by role, team names where there are any."""
+    a = M.actions(spark, d).where("action = 'view'")
+    t = M.teams(spark, d).select(F.col("team_id").alias("_t"), "name")
+    label = F.when(F.col("actor") % 10 == 0, "Admin").when(F.col("name").isNotNull(), F.concat(F.lit("Team: "), F.col("name"))).otherwise("Display")
+    return a.join(t, (F.col("actor") * 11) == F.col("_t"), "left").select("event_id", "actor", label.alias("label"))
+
+
+@query
+def full_state_json(spark: SparkSession, d: str) -> DataFrame:
+    return report.export_state(M.teams(spark, d).withColumn("pin_hash", F.lit("x")), ["pin_hash"])
+
+
+@query
+def bid_attribution(spark: SparkSession, d: str) -> DataFrame:
+    """Bids to the view just before them: last value over the ordered log, instead of an as-of join."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("actor").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    a = M.actions(spark, d).withColumn("selected", F.last(F.when(F.col("action") == "view", F.col("event_id")), ignorenulls=True).over(w))
+    return a.where("action = 'click'").select("event_id", "actor", "amount", "selected")
+
+
+@query
+def spend_rollup(spark: SparkSession, d: str) -> DataFrame:
+    tx = M.transactions(spark, d).where("type = 'sale'")
+    t = M.teams(spark, d).select("team_id", "owner")
+    return tx.join(t, "team_id").rollup("owner", "reversed").agg(F.sum("price").alias("spend"), F.count("*").alias("sales"))
+
+
+@query
+def command_fold(spark: SparkSession, d: str) -> DataFrame:
+    """Commands derived from the action log, one auction for each actor."""
+    from ..streaming.fold import Settings, fold
+
+    a = M.actions(spark, d)
+    command = F.when(F.col("action") == "view", "player.select").when(F.col("action") == "click", "bid").when(F.col("action") == "purchase", "sell").when(F.col("action") == "signup", "unsold").otherwise("undo")
+    log = a.select(F.col("actor").alias("event_id"), (F.col("event_id") + 100).alias("seq"), command.alias("command"), F.concat(F.lit("p"), F.col("event_id") % 20).alias("player_id"), F.when(F.col("action") == "click", F.concat(F.lit("t"), F.col("event_id") % 3)).alias("team_id"), F.when(F.col("action") == "click", F.col("amount") - F.col("amount") % 50).alias("amount"), F.lit(False).alias("override"))
+    actors = a.select(F.col("actor").alias("event_id")).distinct()
+    setup = F.array(
+        *[F.struct(F.lit(i).cast("long").alias("seq"), F.lit("team.add").alias("command"), F.lit(None).cast("string").alias("player_id"), F.lit(f"t{i}").alias("team_id")) for i in range(3)],
+        *[F.struct(F.lit(3 + i).cast("long").alias("seq"), F.lit("player.add").alias("command"), F.lit(f"p{i}").alias("player_id"), F.lit(None).cast("string").alias("team_id")) for i in range(20)],
+        F.struct(F.lit(50).cast("long").alias("seq"), F.lit("start").alias("command"), F.lit(None).cast("string").alias("player_id"), F.lit(None).cast("string").alias("team_id")),
+    )
+    first = actors.select("event_id", F.explode(setup).alias("s")).select("event_id", "s.*").withColumns({"amount": F.lit(None).cast("long"), "override": F.lit(False)})
+    return fold(first.unionByName(log), Settings(base_price=100, purse=50_000, step=50))
+
+
+@query
+def csv_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """The pool as one CSV text a category, parsed, bound and checked again."""
+    from ..sources import csv_ingest as C
+
+    p = M.players(spark, d)
+    role = F.when(F.col("role").isin("ECONOMY", "SMALL"), "Batsman").when(F.col("role") == "LARGE", "bowler").when(F.col("role") == "PROMO", "Umpire").otherwise("Keeper")
+    line = p.select("category", "player_id", F.concat_ws(",", report.csv_cell(F.concat(F.lit("P-"), F.col("player_id") % 1500)), report.csv_cell(F.col("name")), report.csv_cell(role), report.csv_cell(F.col("base_price"))).alias("line"))
+    body = line.groupBy("category").agg(F.sort_array(F.collect_list(F.struct("player_id", "line"))).alias("rows"))
+    files = body.select(F.col("category").alias("path"), F.concat(F.lit("id,name,role,basePrice\r\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\r\n")).alias("text"))
+    recs = C.read_records(spark, files, C.PLAYER_COLUMNS)
+    pool = spark.createDataFrame([("p-7",), ("p-8",)], "player_id string")
+    return C.preview_players(recs, pool).select("path", "line", "player_id", "name", "role", "base_price", "error")

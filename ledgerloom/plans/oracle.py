@@ -1 +1,114 @@
-ORACLES = {}
+"""DuckDB SQL for the catalogue."""
+
+from __future__ import annotations
+
+_TEAMS = "teams as (select c_custkey team_id, c_name name, c_mktsegment owner, cast(round(c_acctbal * 100) as bigint) initial_purse from customer)"
+_TX = """tx as (select o_orderkey sequence, o_orderdate ts, case when o_orderstatus = 'O' then 'unsold' else 'sale' end "type", o_orderstatus = 'P' reversed,
+ case when o_orderstatus <> 'O' then o_custkey end team_id, case when o_orderstatus <> 'O' then cast(round(o_totalprice) as bigint) end price, o_orderpriority note from orders)"""
+_FIN = f"""{_TEAMS}, {_TX}, spent as (select team_id t, cast(sum(price) as bigint) s, count(*) n from tx where "type" = 'sale' and not reversed group by 1),
+ fin as (select team_id, name, initial_purse, coalesce(s, 0) spent, initial_purse - coalesce(s, 0) remaining, coalesce(n, 0) purchased from teams left join spent on t = team_id)"""
+_PLAYERS = "players as (select p_partkey player_id, p_name name, p_type role, p_brand category, cast(round(p_retailprice * 100) as bigint) base_price from part)"
+_LINES = """lines as (select l_orderkey lot, l_linenumber line, l_suppkey team_id, l_partkey player_id, case l_returnflag when 'N' then 'sold' when 'R' then 'unsold' else 'available' end status,
+ l_quantity quantity, cast(round(l_extendedprice * 100) as bigint) price, l_shipdate ts from lineitem)"""
+_FRAN = "fran as (select s_suppkey team_id, s_name name, cast(round(s_acctbal * 100) as bigint) initial_purse from supplier)"
+_ACT = "act as (select event_id, ts, user_id actor, event_type action, cast(round(value * 100) as bigint) amount from events)"
+_ROLES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+_UNDO = """led as (select 't' || sequence tx_id, 2 * sequence pos, "type", team_id, price, null::varchar reference_id from tx
+ union all select 'u' || sequence, 2 * sequence + 1, 'undo', team_id, price, 't' || case when sequence % 7 = 0 then sequence + 1 when sequence % 11 = 0 then -1 else sequence end from tx where reversed)"""
+
+
+def _cell(c: str) -> str:
+    t = f"coalesce(cast({c} as varchar), '')"
+    return f"""'"' || replace(case when regexp_matches({t}, '^\\s*[=+@-]') then '''' || {t} else {t} end, '"', '""') || '"'"""
+
+
+def _money(c: str) -> str:
+    """Groups of two above the last three digits, without look-ahead."""
+    a = f"cast(abs({c}) as varchar)"
+    head = f"reverse(regexp_replace(reverse(left({a}, length({a}) - 3)), '(..)', '\\1,', 'g'))"
+    return f"case when {c} is null then '—' else case when {c} < 0 then '-' else '' end || case when length({a}) > 3 then ltrim({head}, ',') || ',' || right({a}, 3) else {a} end end"
+
+
+_RAW = "('1,000'), (''), ('  42 '), ('1e6'), ('0x10'), ('1.0'), ('1.5'), ('-3'), ('abc'), ('9007199254740991'), ('9007199254740992'), ('+7'), ('.5'), ('5.')"
+
+
+def _int(c: str) -> str:
+    t = f"trim({c})"
+    n = f"""case when {t} = '' then 0 when regexp_full_match({t}, '[+-]?\\d+') then try_cast({t} as hugeint)
+ when regexp_full_match({t}, '[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?') then case when try_cast({t} as double) = floor(try_cast({t} as double)) then try_cast(try_cast({t} as double) as hugeint) end
+ when {t} = '0x10' then 16 end"""
+    return f"cast(case when ({n}) between 0 and 9007199254740991 then ({n}) end as bigint)"
+
+
+ORACLES = {
+    "team_finance": f"with {_FIN} select * from fin",
+    "total_and_average_sale": f"""with {_TX} select count(*) sales, cast(coalesce(sum(price), 0) as bigint) total_spend, case when count(*) = 0 then 0 else cast(floor(sum(price) / count(*) + 0.5) as bigint) end average_price from tx where "type" = 'sale' and not reversed""",
+    "status_counts": f"""with {_TX} select count(*) filter ("type" = 'sale' and not reversed) sold, count(*) filter ("type" = 'sale' and reversed) reversed, count(*) filter ("type" = 'unsold') unsold, count(distinct team_id) active_teams, coalesce(max(sequence), 0) max_sequence from tx""",
+    "top_priced_with_tiebreak": f"with {_PLAYERS} select role, player_id, name, base_price from (select *, row_number() over (partition by role order by base_price desc, player_id) r from players) where r = 1",
+    "role_counts_pivot": f"with {_PLAYERS}, {_LINES} select team_id, " + ", ".join(f"count(*) filter (role = '{r}') \"{r}\"" for r in _ROLES) + " from lines join players using (player_id) where status = 'sold' and quantity > 48 group by team_id",
+    "role_composition": f"""with {_PLAYERS}, {_LINES}, {_FRAN}, rules(role, mn, mx) as (values ('ECONOMY', 1, 40), ('LARGE', 2, 50), ('MEDIUM', 0, null), ('PROMO', 3, 0), ('SMALL', 0, 45), ('STANDARD', 5, 60)),
+ have as (select team_id, role, count(*) n from lines join players using (player_id) where status = 'sold' and quantity > 48 group by 1, 2),
+ g as (select fran.team_id, rules.role, mn, mx, coalesce(n, 0) c from fran cross join rules left join have on have.team_id = fran.team_id and have.role = rules.role),
+ k as (select *, cast(coalesce(nullif(mx, 0), greatest(mn, c, 1)) as bigint) cap from g)
+ select team_id, role, c "count", cap, cast(least(100, floor(c * 100 / cap + 0.5)) as bigint) pct, (mx is null or c <= mx) and c >= mn ok from k""",
+    "squad_listing": f"with {_PLAYERS}, {_LINES}, {_FRAN} select l.team_id, f.name team_name, lot, line, l.player_id, p.name player_name, role, price from lines l join players p using (player_id) join fran f on f.team_id = l.team_id where status = 'sold' and role = 'PROMO' and contains(lower(p.name || ' ' || role), 'bolt')",
+    "eligible_players": f"with {_LINES} select lot, line, player_id, status from lines where status in ('available', 'unsold')",
+    "search_players": f"with {_PLAYERS} select * from players where contains(lower(concat_ws(' ', player_id, name, role, category)), 'red w') and role = 'SMALL'",
+    "search_players_category": f"with {_PLAYERS} select player_id, name, role from players where category = 'Brand#11'",
+    "search_teams": f"with {_TEAMS} select team_id, name, owner from teams where contains(lower(concat_ws(' ', name, team_id, owner)), 'build')",
+    "other_active_teams": f"with {_TEAMS} select team_id, name from teams where initial_purse > 0 and team_id <> 7",
+    "distinct_categories": f"with {_PLAYERS} select distinct category from players where category <> ''",
+    "player_queue": f"with {_PLAYERS}, q as (select player_id, name, row_number() over (order by player_id) rank from players where role = 'LARGE') select player_id, name, rank, case when rank < 100 then lpad(cast(rank as varchar), 3, '0') else cast(rank as varchar) end label from q",
+    "recent_sales_all": f"""with {_TX} select sequence, team_id, price, reversed from tx where "type" = 'sale' order by ts desc, sequence desc limit 6""",
+    "recent_sales_active": f"""with {_TX} select sequence, team_id, price from tx where "type" = 'sale' and not reversed order by ts desc, sequence desc limit 8""",
+    "history_labelled": f"""with {_TEAMS}, {_TX} select sequence, case when "type" = 'sale' and reversed then 'Reversed sale' when "type" = 'sale' then 'Sold' else 'Unsold' end label, coalesce(name, '—') team_name, price from tx left join teams using (team_id)""",
+    "last_event_can_undo": f"with {_ACT} select actor, event_id last_event, action last_action, action = 'purchase' can_undo from (select *, row_number() over (partition by actor order by ts desc, event_id desc) r from act) where r = 1",
+    "last_result_per_player": f"with {_LINES} select player_id, lot, line, status from (select *, row_number() over (partition by player_id order by ts desc, lot desc, line desc, team_id desc, price desc, quantity desc) r from lines) where r = 1",
+    "bid_increment_tier": f"with {_TX} select sequence, price, cast(case when price <= 100000 then 5000 when price <= 200000 then 10000 when price <= 300000 then 25000 else 50000 end as bigint) increment from tx where price is not null",
+    "next_min_bid_valid": f"""with {_ACT}, b as (select *, max(amount) over (partition by actor order by ts, event_id rows between unbounded preceding and 1 preceding) highest from act where action = 'click'),
+ m as (select *, cast(coalesce(highest + 50, 100) as bigint) minimum from b)
+ select event_id, actor, amount, highest, minimum, highest is null or amount > highest beats_highest, amount >= minimum and (amount - minimum) % 50 = 0 and (highest is null or amount > highest) valid from m""",
+    "running_purse_feasible": f"""with {_TEAMS}, {_TX}, s as (select *, cast(coalesce(sum(price) over (partition by team_id order by ts, sequence rows between unbounded preceding and 1 preceding), 0) as bigint) before from tx where "type" = 'sale' and not reversed)
+ select sequence, team_id, price, initial_purse - before remaining_before, price <= initial_purse - before feasible from s join teams using (team_id)""",
+    "final_report_rows": f"""with {_PLAYERS}, {_LINES}, {_FRAN}, m as (select f.team_id, coalesce(s, 0) spent, initial_purse - coalesce(s, 0) remaining from fran f left join (select team_id, cast(sum(price) as bigint) s from lines where status = 'sold' group by 1) x on x.team_id = f.team_id)
+ select 'SOLD' result, l.team_id, player_id, price, spent, remaining from lines l join players using (player_id) join m on m.team_id = l.team_id where status = 'sold'
+ union all select 'UNSOLD', null, player_id, null, null, null from lines where status = 'unsold'""",
+    "report_csv_lines": f"with {_FIN} select concat_ws(',', {', '.join(_cell(c) for c in ('team_id', 'name', 'initial_purse', 'spent', 'remaining'))}) line from fin",
+    "transactions_csv_lines": f"with {_TX} select concat_ws(',', {', '.join(_cell(c) for c in ('sequence', '\"type\"', 'team_id', 'price', 'note'))}) line from tx",
+    "spend_reconciliation": f"""with {_TX}, a as (select team_id, cast(sum(price) as bigint) s from tx where "type" = 'sale' and not reversed group by 1), b as (select team_id, cast(sum(price) as bigint) s from tx where "type" = 'sale' group by 1)
+ select team_id, coalesce(a.s, 0) spend_a, coalesce(b.s, 0) spend_b, coalesce(a.s, 0) - coalesce(b.s, 0) difference from a full join b using (team_id) where coalesce(a.s, 0) <> coalesce(b.s, 0)""",
+    "squad_slots": f"with {_FIN} select team_id, purchased, cast(greatest(0, 6 - purchased) as bigint) slots_left, cast(greatest(0, 6 - purchased) as varchar) slots_text, cast(3 - purchased as bigint) shortfall from fin",
+    "violations_fk": f"with {_TEAMS}, {_TX} select 'fk' check_id, 'transaction' entity, cast(sequence as varchar) \"key\", cast(team_id as varchar) detail from tx where team_id is not null and team_id not in (select team_id from teams where owner <> 'MACHINERY')",
+    "violations_overspent": f"with {_FIN} select 'overspent' check_id, 'team' entity, cast(team_id as varchar) \"key\", cast(remaining as varchar) detail from fin where remaining < 0",
+    "violations_duplicates": f"""with {_LINES} select 'duplicate' check_id, 'active_sale' entity, cast(player_id as varchar) "key", cast(count(*) as varchar) detail from lines where status = 'sold' group by player_id having count(*) > 1
+ union all select 'duplicate', 'line', lot || '/' || line, cast(count(*) as varchar) from lines group by lot, line having count(*) > 1""",
+    "violations_tiers": """with t(set_id, tier_no, up_to, increment) as (values ('a', 1, 100, 10), ('a', 2, 90, 10), ('a', 3, null, 10), ('b', 1, null, 5), ('b', 2, 50, 5), ('c', 1, 10, 0), ('c', 2, 20, 1), ('d', 1, 5, 1), ('d', 2, null, 2)),
+ x as (select *, lag(up_to) over (partition by set_id order by tier_no) b, lead(tier_no) over (partition by set_id order by tier_no) n from t)
+ select 'tiers' check_id, 'settings' entity, set_id || '/' || tier_no "key", coalesce(cast(up_to as varchar), 'open') detail from x where up_to <= b or (up_to is null and n is not null) or increment < 1""",
+    "undo_reference_check": f"""with {_TX}, {_UNDO} select 'undo_reference' check_id, 'transaction' entity, u.tx_id "key", coalesce(u.reference_id, 'none') detail from led u left join led t on u.reference_id = t.tx_id where u."type" = 'undo' and (t.pos is null or t.pos >= u.pos)""",
+    "active_sales_from_events": f"""with {_TX}, {_UNDO} select team_id, count(*) sales, cast(sum(price) as bigint) spend from led s where "type" = 'sale' and not exists (select 1 from led u where u."type" = 'undo' and u.reference_id = s.tx_id) group by 1""",
+    "retention_top_n": f"with {_ACT} select * from (select actor, event_id, row_number() over (partition by actor order by ts desc, event_id desc) age_rank from act) where age_rank <= 40",
+    "clean_text_initials": f"""with {_PLAYERS} select player_id, trim(name) clean, upper(case when contains(name, ' ') then name[1] || split_part(name, ' ', -1)[1] else name[1:3] end) initials, '&lt;' || name || '&amp;&#39;&quot;&gt;' escaped from players""",
+    "parse_integer": f"with r(raw) as (values {_RAW}) select raw, {_int('raw')} number, {_int("replace(raw, ',', '')")} amount from r",
+    "money_grouping": f"with {_FIN} select team_id, {_money('remaining')} money, case when purchased < 100 then lpad(cast(purchased as varchar), 3, '0') else cast(purchased as varchar) end padded from fin",
+    "role_alias": "with r(raw) as (values ('Batsman'), (' keeper '), ('BOWLER'), ('all rounder'), ('Umpire'), (''), ('Wicket-Keeper')) select raw, case lower(trim(raw)) when 'batsman' then 'Batter' when 'keeper' then 'Wicketkeeper' when 'wicket-keeper' then 'Wicketkeeper' when 'bowler' then 'Bowler' when 'all rounder' then 'All-rounder' end role from r",
+    "masked_view": f"with {_FIN} select team_id, name, purchased, case when team_id = 7 then initial_purse end initial_purse, case when team_id = 7 then spent end spent, case when team_id = 7 then remaining end remaining, true pin_required from fin",
+    "session_validity": f"with {_ACT}, s as (select *, max(case when action = 'signup' then ts end) over (partition by actor order by ts, event_id rows between unbounded preceding and current row) l from act) select event_id, actor, coalesce(ts < l + interval 12 hours, false) valid from s",
+    "rate_limit_blocks": f"""with recursive {_ACT}, e as (select cast(actor as varchar) "key", epoch_ms(ts) tm, event_id seq, action = 'signup' ok, row_number() over (partition by actor order by epoch_ms(ts), event_id) rn from act where action in ('error', 'signup')),
+ w as (select "key", 0::bigint rn, 0::bigint seq, 0::bigint n, 0::bigint st, 0::bigint un, '' verdict from (select distinct "key" from e)
+ union all select e."key", e.rn, e.seq,
+ case when un > tm then n when ok then 0 when n = 0 or tm - st > 432000000 then 1 else n + 1 end,
+ case when un > tm then st when ok then 0 when n = 0 or tm - st > 432000000 then tm else st end,
+ case when un > tm then un when ok then 0 when (case when n = 0 or tm - st > 432000000 then 1 else n + 1 end) >= 5 then tm + 86400000 when n = 0 or tm - st > 432000000 then 0 else un end,
+ case when un > tm then 'rejected' when ok then 'ok' when (case when n = 0 or tm - st > 432000000 then 1 else n + 1 end) >= 5 then 'blocked' else 'failed' end
+ from w join e on e."key" = w."key" and e.rn = w.rn + 1)
+ select "key", seq, verdict, n failures from w where rn > 0""",
+    "presence_intervals": f"""with {_ACT}, m as (select *, lead(event_id) over (partition by actor order by ts, event_id) until_event, lead(ts) over (partition by actor order by ts, event_id) nx from act where action in ('signup', 'error'))
+ select event_id, actor, until_event, epoch_us(nx) - epoch_us(ts) micros from m where action = 'signup'""",
+    "latest_version_wins": f"with {_ACT} select actor, event_id version, action, amount from (select *, row_number() over (partition by actor order by event_id desc) r from act) where r = 1",
+    "snapshot_summary": f"""with {_TEAMS}, {_TX} select owner, count(distinct teams.team_id) teams, count(sequence) active_sales from teams left join (select * from tx where "type" = 'sale' and not reversed) x using (team_id) group by 1""",
+    "device_labels": f"with {_TEAMS}, {_ACT} select event_id, actor, case when actor % 10 = 0 then 'Admin' when name is not null then 'Team: ' || name else 'Display' end label from act left join teams on actor * 11 = team_id where action = 'view'",
+    "full_state_json": f"""with {_TEAMS} select '{{"team_id":' || team_id || ',"name":"' || name || '","owner":"' || owner || '","initial_purse":' || initial_purse || '}}' json from teams""",
+    "bid_attribution": f"with {_ACT}, s as (select *, last_value(case when action = 'view' then event_id end ignore nulls) over (partition by actor order by ts, event_id rows between unbounded preceding and current row) selected from act) select event_id, actor, amount, selected from s where action = 'click'",
+    "spend_rollup": f"""with {_TEAMS}, {_TX} select owner, reversed, cast(sum(price) as bigint) spend, count(*) sales from tx join teams using (team_id) where "type" = 'sale' group by rollup (owner, reversed)""",
+}
