@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,16 +70,12 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def free_name(df: DataFrame, wanted: str) -> str:
-    """A column name that ``df`` doesn't have: callers' extra columns may clash with ours."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
-        wanted = f"_{wanted}"
-    return wanted
-
-
-def any_of(conds: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conds)
+def shield(docs: DataFrame) -> tuple[DataFrame, Callable[[str], str], Callable[[DataFrame], DataFrame]]:
+    """Columns by place, so that no name of a caller's column clashes with ours: the renamed table, the new name of
+    a column, and what gives the old names back."""
+    names = docs.columns
+    inner = docs.toDF(*[f"in_{i}" for i in range(len(names))])
+    return inner, lambda name: f"in_{names.index(name)}", lambda out: out.select(*[F.col(f"in_{i}").alias(n) for i, n in enumerate(names)])
 
 
 def arrow_schema(schema: T.StructType):

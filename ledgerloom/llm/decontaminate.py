@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, free_name, materialize
+from .common import arrow_schema, materialize, shield
 
 WINDOW = 10
 BLOCK_WORDS = 2_000_000
@@ -257,12 +257,12 @@ def cut_spans(text: str | None, starts: list[int], ends: list[int]) -> str | Non
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
     """``docs`` with benchmark passages removed: hit spans are cut out of the text, and a document goes if they cover more
     than ``max_coverage`` of its words. Documents without a hit come back unchanged, empty ones too."""
-    col = free_name(docs, "found")
-    marked = mark(docs, benchmark, text_col, window, column=col)
+    inner, place, restore = shield(docs)
+    marked = mark(inner, benchmark, place(text_col), window)
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    n_hit = total(F.col(f"{col}.ends")) - total(F.col(f"{col}.starts"))
-    kept = marked.where((n_hit == 0) | (n_hit <= F.lit(max_coverage) * F.col(f"{col}.n_words")))
-    out = T.StructType(docs.schema.fields)
+    n_hit = total(F.col("found.ends")) - total(F.col("found.starts"))
+    kept = marked.where((n_hit == 0) | (n_hit <= F.lit(max_coverage) * F.col("found.n_words")))
+    out = T.StructType(inner.schema.fields)
     wire, at = arrow_schema(out), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +274,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window:
                 cols[at] = pa.array([cut_spans(t, s, e) for t, s, e in zip(b.column(at).to_pylist(), starts, ends, strict=True)], wire.field(at).type)
             yield pa.RecordBatch.from_arrays(cols, schema=wire)
 
-    return kept.select(*docs.columns, col).mapInArrow(run, out)
+    return restore(kept.mapInArrow(run, out))
 
 
 def digest(items: list[str]) -> str:

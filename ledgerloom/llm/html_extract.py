@@ -28,6 +28,7 @@ DROP = frozenset("script style noscript template head title nav aside footer for
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: A start tag of these ends an open paragraph.
 ENDS_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html", "legend"}
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 hgroup p pre blockquote figcaption".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
 #: Words of a class or an id that mark what isn't the article.
 MARKS = re.compile(
@@ -209,7 +210,11 @@ def extract(html: str | None) -> str:
         for n in paths[i]:
             held[n.serial] = held.get(n.serial, 0) + len(blocks[i][1])
     serial = max(s for s, w in held.items() if w >= 0.8 * size)
-    return "\n".join(t for path, (_, t, _) in zip(paths, blocks, strict=True) if any(n.serial == serial for n in path))
+    node = next(n for i in core for n in paths[i] if n.serial == serial)
+    # a heading or paragraph beside the container belongs to it; other text beside it doesn't
+    while node.parent and all(n.tag in PROSE for path, (n, _, _) in zip(paths, blocks, strict=True) if node.parent in path and node not in path):
+        node = node.parent
+    return "\n".join(t for path, (_, t, _) in zip(paths, blocks, strict=True) if node in path)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

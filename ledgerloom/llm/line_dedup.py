@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WS, free_name, let, materialize, release
+from .common import WORD, WS, let, materialize, release, shield
 
 SPAN_WORDS, REACH_WORDS, MIN_RUN_WORDS = 20, 30, 50
 
@@ -114,24 +114,27 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run_words: int = MIN_RUN_WORDS, removed: str | None = None) -> DataFrame:
-    """``docs`` without later repeated runs of lines: every row stays. ``removed`` names a column for the number of deleted lines."""
+    """``docs`` without later repeated runs of lines: every row stays. ``removed`` names an extra column for the number of deleted
+    lines."""
+    inner, at, restore = shield(docs)
+    i, t = at(id_col), at(text_col)
     held: list[str] = []
-    gone = materialize(deletions(docs, id_col, text_col, min_run_words, held), "deletions")
+    gone = materialize(deletions(inner, i, t, min_run_words, held), "deletions")
     release(docs.sparkSession, held)
-    a, b, n = (free_name(docs, x) for x in ("dk1", "dk2", "gone"))
-    k1, k2 = keys_of(id_col, text_col)
-    rows = docs.withColumns({a: k1, b: k2})
-    hit = gone.select(F.col("k1").alias("_g1"), F.col("k2").alias("_g2"), F.col("gone").alias(n))
-    out = rows.join(hit, (F.col(a) == F.col("_g1")) & (F.col(b) == F.col("_g2")), "left")
+    hit = gone.select(F.col("k1").alias("g1"), F.col("k2").alias("g2"), "gone")
+    k1, k2 = keys_of(i, t)
+    rows = inner.withColumns({"k1": k1, "k2": k2})
+    out = rows.join(hit, (F.col("k1") == F.col("g1")) & (F.col("k2") == F.col("g2")), "left")
     # the kept stretches between deleted lines, which are sorted
     left = let(
-        F.split(F.col(text_col).cast("string"), "\n"),
+        F.split(F.col(t).cast("string"), "\n"),
         lambda ls: let(
-            F.aggregate(F.col(n), F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), lambda x, g: F.struct((g + 1).alias("at"), F.concat(x["out"], F.slice(ls, x["at"] + 1, g - x["at"])).alias("out"))),
+            F.aggregate(F.col("gone"), F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), lambda x, g: F.struct((g + 1).alias("at"), F.concat(x["out"], F.slice(ls, x["at"] + 1, g - x["at"])).alias("out"))),
             lambda x: F.array_join(F.concat(x["out"], F.slice(ls, x["at"] + 1, F.size(ls))), "\n"),
         ),
     )
-    text = F.when(F.col(n).isNull(), F.col(text_col)).otherwise(left)
-    cols = [text.cast(docs.schema[c].dataType).alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    extra = [F.coalesce(F.size(F.col(n)), F.lit(0)).cast("long").alias(removed)] if removed else []
-    return out.select(*cols, *extra)
+    out = out.withColumn(t, F.when(F.col("gone").isNull(), F.col(t)).otherwise(left.cast(inner.schema[t].dataType)))
+    if not removed:
+        return restore(out)
+    n = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
+    return out.select(*[F.col(f"in_{k}").alias(c) for k, c in enumerate(docs.columns)], n.alias(removed))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS, free_name, let, materialize, words_array
+from .common import WS, let, materialize, shield, words_array
 
 MIN_WORDS = 50
 #: ratio -> (numerator, denominator, least spread in thousandths)
@@ -139,7 +139,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 def keep(docs: DataFrame, text_col: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
-    c = free_name(docs, "qr")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = materialize(with_ratios(docs.withColumn(c, counts(text)), c), "quality-counted")
-    return judge(rows, c, lang, source).where(F.col(f"{c}_kept")).select(*docs.columns)
+    inner, at, restore = shield(docs)
+    text = F.coalesce(F.col(at(text_col)).cast("string"), F.lit(""))
+    rows = materialize(with_ratios(inner.withColumn("c", counts(text)), "c"), "quality-counted")
+    return restore(judge(rows, "c", at(lang), at(source)).where("c_kept"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, free_name, materialize, release
+from .common import arrow_schema, materialize, release, shield
 
 BITS = 64
 #: Distinct fingerprints of a bucket that are compared directly; larger buckets are cut again.
@@ -294,9 +294,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, tile: int = TILE) -> DataFrame:
     """Keep one row of each group, with all columns of ``docs``: the one with the smallest id (rows without an id come
     last, ties go to the smallest fingerprint); of rows that repeat both, any one."""
-    fp = free_name(docs, "fp")
-    out = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
-    at, wire = docs.columns.index(text_col), arrow_schema(out)
+    inner, place, restore = shield(docs)
+    i, at = place(id_col), docs.columns.index(text_col)
+    out = T.StructType([*inner.schema.fields, T.StructField("fp", T.LongType())])
+    wire = arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -304,14 +305,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             cols = [c.cast(f.type) for c, f in zip(b.columns, wire, strict=False)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(fps, pa.int64())], schema=wire)
 
-    rows = materialize(docs.mapInArrow(run, out), "fingerprinted")
-    groups = materialize(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(id_col).alias("low"), F.count("*").alias("n")), "simhash-groups")
+    rows = materialize(inner.mapInArrow(run, out), "fingerprinted")
+    groups = materialize(rows.groupBy("fp").agg(F.min(i).alias("low"), F.count("*").alias("n")), "simhash-groups")
     best = F.min(F.struct(F.col("low").isNull().alias("none"), F.col("low").alias("low"), F.col("fp").alias("fp")))
-    chosen = classes(groups, radius, tile).groupBy("root").agg(best.alias("best")).select(F.col("best.fp").alias("_c_fp"), F.col("best.low").alias("_c_low"))
+    chosen = classes(groups, radius, tile).groupBy("root").agg(best.alias("best")).select(F.col("best.fp").alias("c_fp"), F.col("best.low").alias("c_low"))
     # both columns are keys: thousands of copies share a fingerprint, but not an id
-    kept = rows.join(chosen, (rows[fp] == chosen["_c_fp"]) & rows[id_col].eqNullSafe(chosen["_c_low"]), "left_semi")
-    repeated = materialize(rows.groupBy(fp, id_col).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(fp).alias("_r_fp"), F.col(id_col).alias("_r_id")), "repeated")
-    same = (rows[fp] == repeated["_r_fp"]) & rows[id_col].eqNullSafe(repeated["_r_id"])
+    kept = rows.join(chosen, (F.col("fp") == F.col("c_fp")) & F.col(i).eqNullSafe(F.col("c_low")), "left_semi")
+    repeated = materialize(rows.groupBy("fp", F.col(i).alias("id")).agg(F.count("*").alias("n")).where("n > 1").select(F.col("fp").alias("r_fp"), F.col("id").alias("r_id")), "repeated")
     if not repeated.limit(1).count():
-        return kept.select(*docs.columns)
-    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates([fp, id_col])).select(*docs.columns)
+        return restore(kept)
+    same = (F.col("fp") == F.col("r_fp")) & F.col(i).eqNullSafe(F.col("r_id"))
+    once = kept.join(repeated, same, "left_semi").dropDuplicates(["fp", i])
+    return restore(kept.join(repeated, same, "left_anti").unionByName(once))
