@@ -34,6 +34,7 @@ BITS = 64
 #: Distinct fingerprints of a bucket that are compared directly; larger buckets are cut again.
 TILE = 1024
 _CHUNK = 1 << 15
+_ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -72,31 +73,32 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def within(planes: np.ndarray, queries: np.ndarray, radius: int, block: int = 16) -> np.ndarray:
     """Bit-sliced comparison.
 
-    planes: (tiles, 64) words; bit lane of word [t, b] is bit b of tile t's lane. queries: (tiles, q) fingerprints.
+    planes: (tiles, bits) words; lane i of word [t, b] is bit b of tile t's i-th fingerprint. queries: (tiles, q, bits // 64) fingerprints.
     Gives (tiles, q) words whose set lanes are within ``radius`` of the query. Tiles all of whose lanes have passed the
     radius are abandoned after each ``block`` planes.
     """
-    tiles, q = queries.shape
-    width = max(1, int(radius).bit_length())
+    tiles, q, words = queries.shape
+    bits = words * 64
     alive = np.arange(tiles)
     result = np.zeros((tiles, q), dtype=np.uint64)
-    digits = [np.zeros((tiles, q), dtype=np.uint64) for _ in range(width)]
+    digits = [np.zeros((tiles, q), dtype=np.uint64) for _ in range(max(1, int(radius).bit_length()))]
     over = np.zeros((tiles, q), dtype=np.uint64)
     qs, ps = queries, planes
-    for start in range(0, BITS, block):
+    for start in range(0, bits, block):
         for b in range(start, start + block):
-            bit = (qs >> np.uint64(b)) & np.uint64(1)
+            bit = (qs[:, :, b // 64] >> np.uint64(b % 64)) & np.uint64(1)
             carry = ps[:, b, None] ^ (np.uint64(0) - bit)  # lanes that differ in this bit
             for d in digits:  # carry-save: add one bit to every lane's counter
-                d_old = d.copy()
+                both = carry & d
                 np.bitwise_xor(d, carry, out=d)
-                carry = carry & d_old
+                carry = both
             over |= carry
         passed = over | _greater(digits, radius)
-        live = (passed != np.uint64(0xFFFFFFFFFFFFFFFF)).any(axis=1)
-        if start + block >= BITS:
+        if start + block >= bits:
             result[alive] = ~passed
-        elif not live.all():
+            break
+        live = (passed != _ALL).any(axis=1)
+        if not live.all():
             alive, qs, ps, over = alive[live], qs[live], ps[live], over[live]
             digits = [d[live] for d in digits]
             if not len(alive):
@@ -107,7 +109,7 @@ def within(planes: np.ndarray, queries: np.ndarray, radius: int, block: int = 16
 def _greater(digits: list[np.ndarray], radius: int) -> np.ndarray:
     """Lanes whose binary counter is above ``radius``."""
     gt = np.zeros_like(digits[0])
-    eq = np.full_like(digits[0], np.uint64(0xFFFFFFFFFFFFFFFF))
+    eq = np.full_like(digits[0], _ALL)
     for i in reversed(range(len(digits))):
         if radius >> i & 1:
             eq &= digits[i]
@@ -118,19 +120,20 @@ def _greater(digits: list[np.ndarray], radius: int) -> np.ndarray:
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
-    """(tiles, 64) words from tiles * 64 fingerprints."""
-    bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 64, 8), axis=2, bitorder="little")
+    """(tiles, bits) words from (tiles * 64, words) fingerprints."""
+    n, words = fps.shape
+    bits = np.unpackbits(np.ascontiguousarray(fps, "<u8").view(np.uint8).reshape(-1, 64, 8 * words), axis=2, bitorder="little")
     lanes = np.ascontiguousarray(bits.transpose(0, 2, 1))  # tile, bit, lane
-    return np.packbits(lanes, axis=2, bitorder="little").view("<u8").reshape(-1, 64)
+    return np.packbits(lanes, axis=2, bitorder="little").view("<u8").reshape(-1, 64 * words)
 
 
 def links_in_runs(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs i > j within the radius. Rows are sorted by key; all rows of a key are compared."""
-    n = len(fps)
+    n, words = fps.shape
     tiles = -(-n // 64)
-    padded = np.zeros(tiles * 64, dtype=np.uint64)
+    padded = np.zeros((tiles * 64, words), dtype=np.uint64)
     padded[:n] = fps
-    planes, queries = bit_planes(padded), padded.reshape(-1, 64)
+    planes, queries = bit_planes(padded), padded.reshape(-1, 64, words)
     first = np.concatenate([[True], keys[1:] != keys[:-1]]) if n else np.zeros(0, bool)
     begin = np.maximum.accumulate(np.where(first, np.arange(n), 0)) if n else np.zeros(0, int)
     # the furthest tile back that a row of tile t still has to meet
@@ -231,7 +234,7 @@ def links(fps: DataFrame, radius: int = 2, tile: int = TILE, held: list | None =
 
     def out(k: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
         ids = np.concatenate([[0], np.cumsum((k[1:] != k[:-1]).any(axis=1))])
-        root = spanning(len(f), *links_in_runs(ids, f, radius))
+        root = spanning(len(f), *links_in_runs(ids, f[:, None], radius))
         own = np.nonzero(root != np.arange(len(f)))[0]
         yield pa.RecordBatch.from_arrays([pa.array(f[own].view(np.int64)), pa.array(f[root[own]].view(np.int64))], ["a", "b"])
 
@@ -291,29 +294,143 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(label, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, tile: int = TILE) -> DataFrame:
-    """Keep one row of each group, with all columns of ``docs``: the one with the smallest id (rows without an id come
-    last, ties go to the smallest fingerprint); of rows that repeat both, any one."""
+#: Near copies: bits of a fingerprint, bits that may differ, least similarity of shingle sets, recall aimed at.
+WIDE, SIMILARITY, RECALL = 128, 0.8, 0.95
+#: Rows of a bucket that meet each other; of larger buckets every row meets its own part and the pivots.
+PART, PIVOTS = 2048, 1024
+
+
+def wide_fingerprint(text: str | None, shingle: int = 5) -> bytes:
+    """A 128-bit SimHash over the set of shingles of one whole text."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return bytes(WIDE // 8)
+    joined = b" ".join(words)
+    n = max(1, len(words) - shingle + 1)
+    ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
+    starts = [0, *(e + 1 for e in ends[: n - 1])]
+    last = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
+    digest = xxhash.xxh128_digest
+    hashes = list({digest(joined[a:b], 42) for a, b in zip(starts, last, strict=True)})
+    counts = np.zeros(WIDE, dtype=np.int64)
+    for i in range(0, len(hashes), _CHUNK):
+        part = np.frombuffer(b"".join(hashes[i : i + _CHUNK]), np.uint8).reshape(-1, WIDE // 8)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    # an even vote is settled by the first hash in order, not always to 0: else short texts would look alike
+    tie = np.unpackbits(np.frombuffer(min(hashes), np.uint8), bitorder="little").astype(bool)
+    twice = 2 * counts
+    return np.packbits((twice > len(hashes)) | ((twice == len(hashes)) & tie), bitorder="little").tobytes()
+
+
+def expected_agreement(similarity: float) -> float:
+    """Chance that a fingerprint bit agrees for two equally large shingle sets of this Jaccard similarity."""
+    return 1 - float(np.arccos(2 * similarity / (1 + similarity))) / float(np.pi)
+
+
+def radius_for(similarity: float, deviations: float = 1.25) -> int:
+    """Bits that may differ: the expected number at this similarity and a margin for the estimate's spread."""
+    p = 1 - expected_agreement(similarity)
+    return int(WIDE * p + deviations * (WIDE * p * (1 - p)) ** 0.5)
+
+
+def table_plan(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> np.ndarray:
+    """(tables, bits) positions: keys grow with the logarithm of the number of fingerprints, so buckets stay small, and there are as many tables as the
+    recall needs."""
+    b = max(14, int(np.ceil(np.log2(max(2, n) / 64))))
+    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - expected_agreement(similarity) ** b)))
+    r = np.random.default_rng(20)
+    return np.stack([r.permutation(WIDE)[:b] for _ in range(tables)])
+
+
+def wide_links(fps: DataFrame, similarity: float = SIMILARITY, held: list | None = None) -> DataFrame:
+    """(a, b) structs of (hi, lo), a > b: a spanning forest of the links within each bucket, from distinct (hi, lo)."""
+    held = [] if held is None else held
+    plan, radius = table_plan(fps.count(), similarity), radius_for(similarity)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = (1 << np.arange(plan.shape[1], dtype=np.int64))[:, None]
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):  # a row becomes one for each table
+                b = whole.slice(at, 4096)
+                hi, lo = (np.ascontiguousarray(b.column(i).to_numpy(zero_copy_only=False)) for i in (0, 1))
+                bits = np.unpackbits(np.stack([hi, lo], axis=1).astype("<i8").view(np.uint8), axis=1, bitorder="little")
+                key = [((bits[:, pos].astype(np.int64) @ powers)[:, 0] << 12) + t for t, pos in enumerate(plan)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key)), pa.array(np.tile(hi, len(plan))), pa.array(np.tile(lo, len(plan)))], ["key", "hi", "lo"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = np.zeros((0, 4), np.int64)
+        for b in batches:
+            rows = np.concatenate([rest, np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(4)], axis=1)])
+            other = np.nonzero((rows[:, :2] != rows[-1, :2]).any(axis=1))[0]
+            cut = int(other[-1]) + 1 if len(other) else 0  # the last bucket may go on in the next batch
+            if cut:
+                yield from out(rows[:cut])
+            rest = rows[cut:]
+        if len(rest):
+            yield from out(rest)
+
+    def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids = np.concatenate([[0], np.cumsum((rows[1:, :2] != rows[:-1, :2]).any(axis=1))])
+        size = np.bincount(ids)
+        rows = rows[size[ids] > 1]
+        if not len(rows):
+            return
+        ids = np.concatenate([[0], np.cumsum((rows[1:, :2] != rows[:-1, :2]).any(axis=1))])
+        root = spanning(len(rows), *links_in_runs(ids, rows[:, 2:].view(np.uint64), radius))
+        own = np.nonzero(root != np.arange(len(rows)))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rows[own, 2], rows[own, 3], rows[root[own], 2], rows[root[own], 3])], ["ah", "al", "bh", "bl"])
+
+    rows = fps.select("hi", "lo").mapInArrow(keys, "key long, hi long, lo long")
+    hot = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PART), "simhash-hot", held)
+    parts = F.ceil(F.col("n") / PART)
+    dealt = rows.join(hot, "key", "left")
+    own = dealt.select("key", F.when(F.col("n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("lo", "hi"), parts)).cast("long").alias("part"), "hi", "lo")
+    if hot.limit(1).count():  # rows of a large bucket meet the same pivots in every part, which joins the parts
+        pivots = dealt.where(F.col("n").isNotNull() & (F.pmod(F.xxhash64("hi", "lo"), F.col("n")) < PIVOTS))
+        own = own.unionByName(pivots.select("key", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)).alias("part"), "hi", "lo"))
+    found = own.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(meet, "ah long, al long, bh long, bl long")
+    a, b = F.struct(F.col("ah").alias("hi"), F.col("al").alias("lo")), F.struct(F.col("bh").alias("hi"), F.col("bl").alias("lo"))
+    return found.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """Keep one row of each group of near copies, with all columns of ``docs``: the one with the smallest id (rows without an id come
+    last, ties go to the smallest fingerprint); of rows that repeat both, any one.
+
+    Near copies are texts whose sets of ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or more, as 128-bit fingerprints tell
+    it: at most ``radius_for(similarity)`` bits differ. Such a radius is too wide for cutting fingerprints into blocks, so candidates share sampled
+    bits in one of many tables; their distances are counted bit-sliced.
+    """
     inner, place, restore = shield(docs)
     i, at = place(id_col), docs.columns.index(text_col)
-    out = T.StructType([*inner.schema.fields, T.StructField("fp", T.LongType())])
+    out = T.StructType([*inner.schema.fields, T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType())])
     wire = arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, shingle) for t in b.column(at).to_pylist()], dtype="<u8").view("<i8")
+            raw = b"".join(wide_fingerprint(t, shingle) for t in b.column(at).to_pylist())
+            fps = np.frombuffer(raw, "<i8").reshape(-1, 2)
             cols = [c.cast(f.type) for c, f in zip(b.columns, wire, strict=False)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(fps, pa.int64())], schema=wire)
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(fps[:, 0]), pa.array(fps[:, 1])], schema=wire)
 
     rows = materialize(inner.mapInArrow(run, out), "fingerprinted")
-    groups = materialize(rows.groupBy("fp").agg(F.min(i).alias("low"), F.count("*").alias("n")), "simhash-groups")
-    best = F.min(F.struct(F.col("low").isNull().alias("none"), F.col("low").alias("low"), F.col("fp").alias("fp")))
-    chosen = classes(groups, radius, tile).groupBy("root").agg(best.alias("best")).select(F.col("best.fp").alias("c_fp"), F.col("best.low").alias("c_low"))
-    # both columns are keys: thousands of copies share a fingerprint, but not an id
-    kept = rows.join(chosen, (F.col("fp") == F.col("c_fp")) & F.col(i).eqNullSafe(F.col("c_low")), "left_semi")
-    repeated = materialize(rows.groupBy("fp", F.col(i).alias("id")).agg(F.count("*").alias("n")).where("n > 1").select(F.col("fp").alias("r_fp"), F.col("id").alias("r_id")), "repeated")
+    groups = materialize(rows.groupBy("hi", "lo").agg(F.min(i).alias("low"), F.count("*").alias("n")), "simhash-groups")
+    held: list[str] = []
+    edges = materialize(wide_links(groups, similarity, held), "simhash-links")
+    release(docs.sparkSession, held)
+    comp = components(edges)
+    node = F.struct("hi", "lo")
+    roots = groups.withColumn("node", node).join(comp, "node", "left").select("hi", "lo", "low", F.coalesce("root", "node").alias("root"))
+    best = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "hi", "lo"))
+    chosen = roots.groupBy("root").agg(best.alias("best")).select(F.col("best.hi").alias("c_hi"), F.col("best.lo").alias("c_lo"), F.col("best.low").alias("c_low"))
+    # the id is a key too: thousands of copies share a fingerprint, but not an id
+    kept = rows.join(chosen, (F.col("hi") == F.col("c_hi")) & (F.col("lo") == F.col("c_lo")) & F.col(i).eqNullSafe(F.col("c_low")), "left_semi")
+    repeated = rows.groupBy("hi", "lo", F.col(i).alias("id")).agg(F.count("*").alias("n")).where("n > 1")
+    repeated = materialize(repeated.select(F.col("hi").alias("r_hi"), F.col("lo").alias("r_lo"), F.col("id").alias("r_id")), "repeated")
     if not repeated.limit(1).count():
         return restore(kept)
-    same = (F.col("fp") == F.col("r_fp")) & F.col(i).eqNullSafe(F.col("r_id"))
-    once = kept.join(repeated, same, "left_semi").dropDuplicates(["fp", i])
+    same = (F.col("hi") == F.col("r_hi")) & (F.col("lo") == F.col("r_lo")) & F.col(i).eqNullSafe(F.col("r_id"))
+    once = kept.join(repeated, same, "left_semi").dropDuplicates(["hi", "lo", i])
     return restore(kept.join(repeated, same, "left_anti").unionByName(once))
