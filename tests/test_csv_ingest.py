@@ -1,0 +1,69 @@
+import csv
+import io
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from ledgerloom.sources import csv_ingest as C
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ('a,b\n"x,1","y ""q"""', [["a", "b"], ["x,1", 'y "q"']]),
+        ('a\nx"y"z', [["a"], ['x"y"z']]),
+        ('a\n"d"tail', [["a"], ["dtail"]]),
+        ("﻿a\r1\r\n2\n", [["a"], ["1"], ["2"]]),
+        ("a,b\n , \n1,2", [["a", "b"], ["1", "2"]]),
+        ('a\n"line\nbreak"', [["a"], ["line\nbreak"]]),
+        ("", []),
+    ],
+)
+def test_records(text, want):
+    assert list(C.records(text)) == want
+
+
+@pytest.mark.parametrize(("text", "message"), [('a\n"open', "unclosed quote"), ("", "empty file"), (" \n", "empty file"), ('"', "unclosed quote")])
+def test_file_errors(text, message):
+    with pytest.raises(ValueError, match=message):
+        C.parse(text)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.text(alphabet='ab",\n é', min_size=1, max_size=6).filter(str.strip), min_size=2, max_size=3), min_size=1, max_size=4))
+def test_round_trip(rows):
+    out = io.StringIO()
+    csv.writer(out, quoting=csv.QUOTE_ALL).writerows(rows)
+    assert list(C.records(out.getvalue())) == rows
+
+
+def files(spark, *texts):
+    return spark.createDataFrame([(f"f{i}", t) for i, t in enumerate(texts)], "path string, text string")
+
+
+def test_players(spark):
+    text = "id,name,role,basePrice,role\np-1,Ann,x,100,Batter\nP-1,Again,x,5,Bowler\np-2,Bo,x,abc,Keeper\np-2,Bo,x,7,Keeper\nold,Old,x,1,Bowler\np-3,,x,1,Bowler\np-4,Cy,x,1,Umpire\np-5,Di\n"
+    recs = C.read_records(spark, files(spark, text, "id,name\n1,2", '"'), C.PLAYER_COLUMNS)
+    pool = spark.createDataFrame([("OLD",)], "player_id string")
+    p = C.preview_players(recs, pool)
+    got = {r["line"]: (r["player_id"], r["error"]) for r in p.collect()}
+    assert got == {
+        2: ("p-1", None), 3: ("p-1", "duplicate id in the file"), 4: ("p-2", "bad base price"), 5: ("p-2", None), 6: ("old", "duplicate id in the pool"),
+        7: ("p-3", "name is required"), 8: ("p-4", "unknown role"), 9: ("p-5", "unknown role"),
+    }
+    errors = {r["path"]: r["file_error"] for r in recs.where("file_error is not null").collect()}
+    assert errors == {"f1": "missing columns: role, baseprice", "f2": "unclosed quote"}
+    assert C.commit(p, recs).count() == 0
+    good = C.read_records(spark, files(spark, "id,name,role,baseprice\nq-1,A,bat,1\n", "id,name,role,baseprice\nq-1,A,batsman,1\nq-2,B,bowler,2\n"), C.PLAYER_COLUMNS)
+    assert {r["player_id"] for r in C.commit(C.preview_players(good, pool), good).collect()} == {"q-1", "q-2"}
+
+
+def test_teams_refused_for_their_name_leave_their_id_free(spark):
+    text = "id,name,purse,active,pin\nt-1,Reds,100,,1234\nt-2, reds ,100,yes,\nt-2,Blues,100,no,\nt-1,Greens,5,1,\nt-3,Old,5,1,\nt-4,New,,1,\nt-5,Nu,1,perhaps,\nt-6,Ox,1,,12\n"
+    recs = C.read_records(spark, files(spark, text), C.TEAM_COLUMNS)
+    pool = spark.createDataFrame([("t-9", "OLD")], "team_id string, name string")
+    out = C.preview_teams(recs, pool)
+    assert not any("pin" in c for c in out.columns)
+    got = {r["line"]: r["error"] for r in out.collect()}
+    assert got == {2: None, 3: "duplicate name in the file", 4: None, 5: "duplicate id in the file", 6: "duplicate name in the pool", 7: "bad purse", 8: "active is no boolean", 9: "bad pin"}
