@@ -15,6 +15,7 @@ WS = r"\x20\x09-\x0D"
 WORD = rf"[^{WS}]+"
 
 _fallback: dict[str, str] = {}
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +48,7 @@ def materialize(df: DataFrame, label: str, held: list | None = None) -> DataFram
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    _made.append(path)
     if held is not None:
         held.append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -61,6 +63,18 @@ def release(spark: SparkSession, held: list[str]) -> None:
     held.clear()
 
 
+def mark() -> int:
+    """A place in the list of written tables, for ``sweep``."""
+    return len(_made)
+
+
+def sweep(spark: SparkSession, since: int, keep: str) -> None:
+    """Delete the tables written since the mark, but the one under ``keep``: what has been read into it isn't needed any more."""
+    gone = [p for p in _made[since:] if f"/{keep}-" not in p]
+    _made[since:] = [p for p in _made[since:] if p not in gone]
+    release(spark, gone)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
