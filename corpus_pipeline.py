@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import decontaminate, line_dedup, packing, quality_rules, simhash
-from ledgerloom.llm.common import materialize, table
+from ledgerloom.llm.common import mark, materialize, sweep, table
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each group of near copies stays: five-word shingles, a similarity of 0.8 or more."""
     return simhash.deduplicate(docs)
 
 
@@ -51,6 +51,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    since = mark()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        sweep(spark, since, f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
