@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bound on the labelled rows that are fitted: so many of each class, of at most MAX_TRAIN_BYTES in all.
-SAMPLE_PER_CLASS = 700
+SAMPLE_PER_CLASS = 1000
 MAX_TRAIN_BYTES = 16_000_000
 EMBED, WIDTH, FILTERS, HIDDEN = 6, 6, 16, 16
 STRIDE, CHUNK = 2, 64
@@ -150,7 +150,7 @@ def _step(model: Model, tables: np.ndarray, x: np.ndarray, y: float, weight: flo
     return -weight * (np.log(s + 1e-9) if y else np.log(1 - s + 1e-9))
 
 
-def train(texts: list[str | None], labels: list[int], shares: tuple[float, float] | None = None, epochs: int = 5, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Model:
+def train(texts: list[str | None], labels: list[int], shares: tuple[float, float] | None = None, epochs: int = 10, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Model:
     """Fit by Adam. ``shares``: class shares of the population, for which the sampled rows are weighted."""
     model = new_model(seed)
     if len(set(labels)) < 2:
