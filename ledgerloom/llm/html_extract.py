@@ -24,28 +24,32 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never shown or never the article.
-DROP = frozenset("script style noscript template head title nav aside footer form button select option textarea iframe object svg canvas audio video dialog menu map".split())
+DROP = frozenset("script style noscript template head title nav aside footer button select option textarea iframe object svg canvas audio video dialog menu map".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: A start tag of these ends an open paragraph.
 ENDS_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html", "legend"}
 PROSE = frozenset("h1 h2 h3 h4 h5 h6 hgroup p pre blockquote figcaption".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
-#: Words of a class or an id that mark what isn't the article.
+#: Words of a class or an id that mark readers' comments, whatever the element.
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|commentary-list|respond|replies|reply|disqus)(?:$|[\s_-]|\d)", re.I)
+#: Words that mark page furniture, unless the element turns out to hold the article or most of the page.
 MARKS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|banner|sponsor|sponsored|promo|promoted|promotion|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|pagination|pager"
-    r"|sidebar|sidebars|side|aside|widget|widgets|footer|foot|masthead|topbar|toolbar|header|comment|comments|commentlist|respond|replies|reply|disqus|cookie|cookies|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay"
+    r"|sidebar|sidebars|aside|widget|widgets|footer|foot|masthead|topbar|toolbar|header|cookie|cookies|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay"
     r"|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|trending|popular|copyright|legal|skip|hidden|search|outbrain|taboola)(?:$|[\s_-]|\d)",
     re.I,
 )
 SPACE = re.compile(r"\s+")
-SIGMA, SHARE = 1.5, 0.2
+SIGMA, SHARE, MOST = 1.5, 0.2, 0.6
 
 
 class Node:
-    __slots__ = ("tag", "parent", "drop", "serial", "main")
+    """An element: ``drop`` if it never holds the article, ``soft`` if it is marked as furniture, ``main`` if as the article."""
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool, serial: int, main: bool):
-        self.tag, self.parent, self.drop, self.serial, self.main = tag, parent, drop, serial, main
+    __slots__ = ("tag", "parent", "drop", "serial", "main", "soft")
+
+    def __init__(self, tag: str, parent: Node | None, drop: bool, serial: int, main: bool, soft: bool = False):
+        self.tag, self.parent, self.drop, self.serial, self.main, self.soft = tag, parent, drop, serial, main, soft
 
 
 class Blocks(HTMLParser):
@@ -62,7 +66,7 @@ class Blocks(HTMLParser):
         text = SPACE.sub(" ", "".join(self.text)).strip()
         if text:
             node = self.node
-            while node.tag not in BLOCK and node.parent:
+            while node.tag not in BLOCK and not node.soft and node.parent:
                 node = node.parent
             self.blocks.append((node, text, self.tags))
             self.tags = 0
@@ -89,18 +93,22 @@ class Blocks(HTMLParser):
                 if tag == "hr":
                     self.flush()
             return
-        up, drop = self.node, self.node.drop
+        up, drop, soft = self.node, self.node.drop, False
+        inside = self._inside(("article", "main"))
         if not drop:
-            drop = tag in DROP or (tag == "header" and not self._inside(("article", "main")))
-            # what is marked around the whole article is a wrapper
-            if not drop and tag not in ("html", "body", "article", "main"):
-                a = dict(attrs)
+            drop = tag in DROP or (tag == "header" and not inside)
+            a = dict(attrs)
+            if not drop and tag not in ("html", "body"):
                 words = f"{a.get('class') or ''} {a.get('id') or ''}"
-                drop = (a.get("role") or "").lower() in ROLES or bool(words.strip() and MARKS.search(words)) or "hidden" in a or (a.get("aria-hidden") or "").lower() == "true" or "display:none" in (a.get("style") or "").replace(" ", "").lower()
-        if drop and not up.drop:
+                drop = bool(COMMENTS.search(words)) or "hidden" in a or (a.get("aria-hidden") or "").lower() == "true" or "display:none" in (a.get("style") or "").replace(" ", "").lower()
+                found = MARKS.search(words)
+                # the head of an article is part of it
+                soft = tag == "form" or (a.get("role") or "").lower() in ROLES or bool(found and not (inside and "head" in found[0].lower()))
+                soft &= tag not in ("article", "main")
+        if (drop and not up.drop) or soft:
             self.flush()
         self.serial += 1
-        self.node = Node(tag, up, drop, self.serial, tag in ("article", "main") or ("role", "main") in attrs)
+        self.node = Node(tag, up, drop, self.serial, not drop and (tag in ("article", "main") or ("role", "main") in attrs), soft)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # a slash doesn't close an element
@@ -132,7 +140,7 @@ class Blocks(HTMLParser):
             between = self.node
             block = False
             while between is not node.parent:
-                block |= between.tag in BLOCK or between.drop != (between.parent.drop if between.parent else False)
+                block |= between.tag in BLOCK or between.soft or between.drop != (between.parent.drop if between.parent else False)
                 between = between.parent
             if block:
                 self.flush()
@@ -163,6 +171,24 @@ def ancestors(node: Node) -> list[Node]:
     return out
 
 
+def content(blocks: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+    """Without the blocks of marked furniture. What is around the article or around most of the page is a wrapper, whatever its class says."""
+    total = sum(len(t) for _, t, _ in blocks)
+    weight: dict[int, int] = {}
+    wraps: set[int] = set()
+    for n, t, _ in blocks:
+        main = False
+        while n:
+            main |= n.main
+            if n.soft:
+                weight[n.serial] = weight.get(n.serial, 0) + len(t)
+                if main:
+                    wraps.add(n.serial)
+            n = n.parent
+    gone = {s for s, w in weight.items() if s not in wraps and w < MOST * total}
+    return [b for b in blocks if not any(n.serial in gone for n in ancestors(b[0]))] if gone else blocks
+
+
 def extract(html: str | None) -> str:
     """The main text of one page: blocks joined by one newline."""
     if not html:
@@ -172,6 +198,9 @@ def extract(html: str | None) -> str:
     p.close()
     p.flush()
     blocks = p.blocks
+    if not blocks:
+        return ""
+    blocks = content(blocks)
     if not blocks:
         return ""
     total = sum(len(t) for _, t, _ in blocks)

@@ -108,7 +108,7 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     used = shifts.select("k1", "k2").unionByName(shifts.select(F.col("f1").alias("k1"), F.col("f2").alias("k2"))).distinct()
     need = materialize(lines.join(used, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), "matched-lines", held)
     pair = shifts.join(need.select(F.col("k1").alias("f1"), F.col("k2").alias("f2"), F.col("lines").alias("other")), ["f1", "f2"]).join(need, ["k1", "k2"])
-    gone = pair.select("k1", "k2", runs_to_delete(F.col("lines"), F.transform("other", lambda x: F.struct(x["h"].alias("h"))), F.col("shifts"), min_run_words).alias("gone"))
+    gone = pair.select("k1", "k2", runs_to_delete(F.col("lines"), F.col("other"), F.col("shifts"), min_run_words).alias("gone"))
     gone = gone.where(F.size("gone") > 0).groupBy("k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
     return gone
 

@@ -309,6 +309,8 @@ PAGES = [
     ("", ""),
     ("<p></p><script>var a = '<p>x</p>';</script>", ""),
     ("just text", "just text"),
+    ("<div class='has-sidebar'><article><div class='article-header'><h1>T</h1></div><p>One.</p><div class='ad'>Buy</div><p>Two.</p></article><div id='sidebar'>Links</div></div><article class='comment'><p>" + "I say so. " * 30 + "</p></article>", "T\nOne.\nTwo."),
+    ("<form id=all><div id=cookie-notice>We use cookies</div><div><h2>H</h2><p>" + "Words and words. " * 20 + "</p></div><div class=social-share>Share</div></form>", "H\n" + ("Words and words. " * 20).strip()),
     ("<article><p>Caf&eacute; &#x1F600; &nbsp;x</p><form><input value=a>Subscribe</form><p>End</article>", "Café 😀 x\nEnd"),
 ]
 
