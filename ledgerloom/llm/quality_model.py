@@ -23,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bound on the labelled rows that are fitted: so many of each class, of at most MAX_TRAIN_BYTES in all.
+#: Bound on the labelled rows that are fitted: so many of each class, of at most MAX_TRAIN_BYTES in all; texts above
+#: MAX_TRAIN_TEXT bytes are scored like any, but not fitted.
 SAMPLE_PER_CLASS = 1000
 MAX_TRAIN_BYTES = 16_000_000
+MAX_TRAIN_TEXT = 2_000_000
 EMBED, WIDTH, FILTERS, HIDDEN = 6, 6, 16, 16
 STRIDE, CHUNK = 2, 64
 THRESHOLD = 0.7
@@ -191,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
     counts = dict(lab.groupBy("_y").count().collect())  # two rows
     order = F.xxhash64("_id")
     ids = lab.where("_y = 0").orderBy(order, "_id").limit(per_class).unionByName(lab.where("_y = 1").orderBy(order, "_id").limit(per_class))
-    text = docs.select(F.col(id_col).alias("_id"), F.col("text").cast("string").alias("_t"))
+    text = docs.select(F.col(id_col).alias("_id"), F.col("text").cast("string").alias("_t")).where(F.coalesce(F.octet_length("_t"), F.lit(0)) <= MAX_TRAIN_TEXT)
     # 2 * per_class ids at most: a proven bound for the broadcast and for what comes to the driver
     rows = text.join(F.broadcast(ids), "_id").dropDuplicates(["_id"]).select("_id", "_y", "_t").toLocalIterator()
     sample, used = [], 0
