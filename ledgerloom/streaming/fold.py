@@ -24,6 +24,8 @@ class Settings:
     max_squad: int | None = None
     reintroduce: bool = True
     allow_override: bool = True
+    roles: dict[str, str] = field(default_factory=dict)  # player -> role
+    role_max: dict[str, int] = field(default_factory=dict)  # role -> most of it in a squad; absent: open
 
     def increment(self, price: int) -> int:
         return next((i for up, i in self.tiers if up is None or price <= up), self.step)
@@ -48,6 +50,10 @@ class Auction:
     bid_team: str | None = None
     sequence: int = 0
     last: tuple | None = None
+    owner: dict[str, str] = field(default_factory=dict)  # sold player -> team
+    paid: dict[str, int] = field(default_factory=dict)
+    seen: set[str] = field(default_factory=set)  # players with a transaction
+    unsold_once: set[str] = field(default_factory=set)
 
     def need(self, ok: bool, reason: str) -> None:
         if not ok:
@@ -69,6 +75,30 @@ class Auction:
         self.need(bool(player) and player not in self.players, "player exists")
         self.players[player], self.base[player] = "available", amount or self.settings.base_price
 
+    def do_team_update(self, player, team, amount, override):
+        self.need(self.status == "not-started", "already started")
+        self.need(team in self.teams, "no such team")
+        self.need(amount is not None and amount > 0, "bad amount")
+        self.teams[team] = amount
+
+    def do_team_remove(self, player, team, amount, override):
+        self.need(self.status == "not-started", "already started")
+        self.need(team in self.teams, "no such team")
+        self.need(not self.squad[team], "has sold players")
+        del self.teams[team], self.squad[team]
+
+    def do_player_update(self, player, team, amount, override):
+        self.need(self.status == "not-started", "already started")
+        self.need(player in self.players, "no such player")
+        self.need(amount is not None and amount > 0, "bad amount")
+        self.base[player] = amount
+
+    def do_player_remove(self, player, team, amount, override):
+        self.need(self.status == "not-started", "already started")
+        self.need(player in self.players, "no such player")
+        self.need(player not in self.seen, "has a history")
+        del self.players[player], self.base[player]
+
     def do_start(self, player, team, amount, override):
         self.need(self.status == "not-started", "already started")
         self.need(bool(self.teams) and bool(self.players), "needs a team and a player")
@@ -98,6 +128,9 @@ class Auction:
         self.need(team in self.teams, "no such team")
         self.need(price <= self.teams[team], "beyond the purse")
         self.need(self.settings.max_squad is None or self.squad[team] < self.settings.max_squad, "squad is full")
+        role = self.settings.roles.get(self.current)
+        most = self.settings.role_max.get(role)
+        self.need(most is None or sum(t == team and self.settings.roles.get(p) == role for p, t in self.owner.items()) < most, "role is full")
 
     def do_bid(self, player, team, amount, override):
         self.need(self.status == "live", "not live")
@@ -124,6 +157,8 @@ class Auction:
         who = self.current
         self.last = ("sale", who, buyer, price, self.bid, self.bid_team)
         self.players[who], self.current, self.bid, self.bid_team = "sold", None, None, None
+        self.owner[who], self.paid[who] = buyer, price
+        self.seen.add(who)
         self.teams[buyer] -= price
         self.squad[buyer] += 1
         self.sequence += 1
@@ -135,6 +170,8 @@ class Auction:
         self.need(self.bid is None or override, "has a bid")
         who = self.current
         self.players[who], self.current, self.bid, self.bid_team = "unsold", None, None, None
+        self.unsold_once.add(who)
+        self.seen.add(who)
         self.sequence += 1
         self.last = ("unsold", who)
         return self.sequence, who, None, None
@@ -146,6 +183,7 @@ class Auction:
             self.need(self.bid is None, "the current player has a bid")
             self.players[self.current] = "available" if self.current not in self.unsold_once else "unsold"
         self.players[who], self.current, self.bid, self.bid_team = "current", who, bid, bid_team
+        del self.owner[who]
         self.teams[buyer] += price
         self.squad[buyer] -= 1
         self.sequence += 1
@@ -153,28 +191,23 @@ class Auction:
         return self.sequence, who, buyer, price
 
     def do_reset(self, player, team, amount, override):
-        back = self.spent_back
         for p in self.players:
             self.players[p] = "available"
+        for who, t in self.owner.items():
+            self.teams[t] += self.paid[who]
         for t in self.teams:
-            self.teams[t], self.squad[t] = back.get(t, self.teams[t]), 0
+            self.squad[t] = 0
+        self.owner.clear()
+        self.seen.clear()
+        self.unsold_once.clear()
         self.status, self.current, self.bid, self.bid_team, self.sequence, self.last = "not-started", None, None, None, 0, None
 
-    def __post_init__(self) -> None:
-        self.unsold_once: set[str] = set()
-        self.spent_back: dict[str, int] = {}
-
-
 def run_commands(rows: Iterator[tuple], settings: Settings) -> list[tuple]:
     """(seq, command, accepted, reason, tx_sequence, player, team, price, remaining) for each command in order."""
     state, out = Auction(settings), []
     for seq, command, player, team, amount, override in rows:
         try:
             tx, who, buyer, price = state.apply(command, player, team, amount, override)
-            if command == "unsold":
-                state.unsold_once.add(who)
-            if command == "team.add":
-                state.spent_back[team] = state.teams[team]
             out.append((seq, command, True, None, tx, who, buyer, price, state.teams.get(buyer)))
         except Refused as e:
             out.append((seq, command, False, str(e), None, player, team, amount, state.teams.get(team)))

@@ -118,6 +118,19 @@ def test_squad_limit():
     assert rows[-1][2:4] == (False, "squad is full")
 
 
+def test_role_limit_and_reset():
+    s = Settings(roles={"p1": "Batter", "p2": "Batter"}, role_max={"Batter": 1})
+    one = [("player.select", "p1", None, None, False), ("bid", None, "t1", 100, False), ("sell", None, None, None, False)]
+    rows = play(*one, ("player.select", "p2", None, None, False), ("bid", None, "t1", 100, False), ("bid", None, "t2", 100, False), ("reset", None, None, None, False), ("start", None, None, None, False), *one, settings=s)
+    assert [r[2] for r in rows[5:]] == [True] * 4 + [False] + [True] * 6
+    assert rows[9][3] == "role is full" and (rows[-1][4], rows[-1][8]) == (1, 900)
+
+
+def test_setup_commands_before_the_start_only():
+    setup = [(1, "team.add", None, "t1", 1000, False), (2, "team.update", None, "t1", 300, False), (3, "team.update", None, "t9", 300, False), (4, "team.add", None, "t2", 5, False), (5, "team.remove", None, "t2", None, False), (6, "player.add", "p1", None, 100, False), (7, "player.update", "p1", None, 200, False), (8, "player.add", "p2", None, 1, False), (9, "player.remove", "p2", None, None, False), (10, "start", None, None, None, False), (11, "team.remove", None, "t1", None, False), (12, "player.select", "p1", None, None, False), (13, "bid", None, "t1", 100, False), (14, "bid", None, "t1", 200, False), (15, "team.add", None, "t1", 1, False)]
+    assert [r[2] for r in run_commands(setup, Settings())] == [True, True, False, True, True, True, True, True, True, True, False, True, False, True, False]
+
+
 COMMAND = st.tuples(st.sampled_from(["player.select", "bid", "sell", "unsold", "undo", "pause", "resume"]), st.sampled_from(["p1", "p2"]), st.sampled_from(["t1", "t2", None]), st.sampled_from([None, 100, 150, 200, 400, 900]), st.booleans())
 
 
