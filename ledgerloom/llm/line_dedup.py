@@ -124,7 +124,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hit = gone.select(F.col("k1").alias("g1"), F.col("k2").alias("g2"), "gone")
     k1, k2 = keys_of(i, t)
     rows = inner.withColumns({"k1": k1, "k2": k2})
-    out = rows.join(hit, (F.col("k1") == F.col("g1")) & (F.col("k2") == F.col("g2")), "left")
+    # hashed at every size: the deletions grow with the corpus, so they are never broadcast, and texts need no sort
+    out = rows.join(hit.hint("shuffle_hash"), (F.col("k1") == F.col("g1")) & (F.col("k2") == F.col("g2")), "left")
     # the kept stretches between deleted lines, which are sorted
     left = let(
         F.split(F.col(t).cast("string"), "\n"),
