@@ -44,7 +44,8 @@ def materialize(df: DataFrame, label: str, held: list | None = None) -> DataFram
     """
     spark = df.sparkSession
     path = table_path(spark, label)
-    df.write.mode("overwrite").parquet(path)
+    # zstd streams through small buffers; snappy pages would pile up in direct memory over thousands of short tasks
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
