@@ -256,7 +256,14 @@ def cut_spans(text: str | None, starts: list[int], ends: list[int]) -> str | Non
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
     """``docs`` with benchmark passages removed: hit spans are cut out of the text, and a document goes if they cover more
-    than ``max_coverage`` of its words. Documents without a hit come back unchanged, empty ones too."""
+    than ``max_coverage`` of its words. Documents without a hit come back unchanged, empty ones too.
+
+    A cut brings the words around it together; where one block of items holds the whole benchmark, texts are scanned again until nothing is hit.
+    """
+    blocks = blocks_of(benchmark)
+    block = next(blocks, [])
+    if next(blocks, None) is None:
+        return _clean_once(docs, Automaton(block, window), text_col, max_coverage)
     inner, place, restore = shield(docs)
     marked = mark(inner, benchmark, place(text_col), window)
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
@@ -277,5 +284,30 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window:
     return restore(kept.mapInArrow(run, out))
 
 
+def _clean_once(docs: DataFrame, automaton: Automaton, text_col: str, max_coverage: float) -> DataFrame:
+    """``clean`` with all items in one automaton, in one pass over the texts."""
+    inner, _, restore = shield(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+    out = T.StructType(inner.schema.fields)
+    wire, at = arrow_schema(out), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = shared.value.scan
+        for b in batches:
+            texts, keep = b.column(at).to_pylist(), np.ones(b.num_rows, bool)
+            for k, text in enumerate(texts):
+                words = words_of(text)
+                spans, _ = scan(words)
+                keep[k] = sum(e - s for s, e in spans) <= max_coverage * len(words)
+                while spans and keep[k]:
+                    text = texts[k] = cut_spans(text, [s for s, _ in spans], [e for _, e in spans])
+                    spans, _ = scan(words_of(text))
+            cols = [c.cast(f.type) for c, f in zip(b.columns, wire, strict=True)]
+            cols[at] = pa.array(texts, wire.field(at).type)
+            yield pa.RecordBatch.from_arrays(cols, schema=wire).filter(pa.array(keep))
+
+    return restore(inner.mapInArrow(run, out))
+
+
 def digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

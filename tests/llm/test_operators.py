@@ -406,6 +406,15 @@ def test_clean_cuts_spans_and_drops_covered_documents(spark, tidy, nothing):
     docs = spark.createDataFrame([(1, f"{prose} {item.upper().replace(' ', ', ')}; {prose}"), (2, f"a {item} b"), (3, prose)], "doc_id long, text string")
     got = {x["doc_id"]: x["text"] for x in decontaminate.clean(docs, bench).collect()}
     assert got == {1: f"{prose} ; {prose}", 3: prose}
+    # the same with many blocks
+    many = bench.unionByName(spark.createDataFrame([(2, "r1 r2"), (3, "r3")], "item_id long, text string"))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(decontaminate.blocks_of, "__defaults__", ("item_id", "text", 5))
+        assert {x["doc_id"]: x["text"] for x in decontaminate.clean(docs, many).collect()} == got
+    # a cut that brings a passage together
+    halves = item.split()
+    nested = spark.createDataFrame([(9, f"{prose} {' '.join(halves[:5])} {item} {' '.join(halves[5:])} {prose}")], "doc_id long, text string")
+    assert decontaminate.clean(nested, bench).first()["text"].split() == prose.split() * 2
     same = decontaminate.clean(tidy, bench)
     assert same.columns == tidy.columns and Counter(map(str, same.collect())) == Counter(map(str, tidy.collect()))
     assert decontaminate.clean(nothing, bench).collect() == []
