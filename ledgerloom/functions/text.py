@@ -118,3 +118,49 @@ def action_text(c: Column) -> Column:
 
 def size_kb(c: Column) -> Column:
     return F.format_string("%.1f KB", c / 1024)
+
+
+#: Shown names of statuses.
+STATUS_TEXT = {
+    "not-started": "Not started",
+    "live": "Live",
+    "paused": "Paused",
+    "completed": "Completed",
+    "available": "Available",
+    "current": "On the block",
+    "sold": "Sold",
+    "unsold": "Unsold",
+    "waiting": "Waiting",
+}
+#: Headlines by status, then by result.
+STATUS_LINE = {"not-started": "Auction is ready to begin", "paused": "Auction paused by the operator", "completed": "Auction complete · thank you"}
+RESULT_LINE = {"sold": "Player sold", "unsold": "Player unsold", "live": "Live bidding"}
+
+
+def _named(c: Column, names: dict[str, str]) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), c)
+
+
+def status_text(c: Column) -> Column:
+    """The shown name, an unknown status itself, or 'Unknown' for none."""
+    return F.coalesce(_named(c, STATUS_TEXT), F.nullif(c, F.lit("")), F.lit("Unknown"))
+
+
+def status_class(c: Column) -> Column:
+    return F.regexp_replace(F.lower(F.coalesce(F.nullif(c, F.lit("")), F.lit("not-started"))), "[^a-z-]", "-")
+
+
+def headline(status: Column, result: Column) -> Column:
+    return F.coalesce(_named(status, STATUS_LINE), _named(result, RESULT_LINE), F.lit("Next player coming up"))
+
+
+def currency(c: Column, symbol: str = "₹") -> Column:
+    """A rounded amount with its sign; a dash for null."""
+    whole = F.floor(c + F.lit(0.5)).cast("long")
+    return F.when(c.isNull(), "—").otherwise(F.concat(F.lit(symbol), indian_grouping(whole)))
+
+
+def date_time(ts: Column, with_date: bool = True) -> Column:
+    """Day, month and minutes, or a time of day with seconds, in the session's time zone; a dash for null."""
+    text = F.lower(F.date_format(ts, "hh:mm a" if with_date else "hh:mm:ss a"))
+    return F.coalesce(F.concat(F.date_format(ts, "dd MMM, "), text) if with_date else text, F.lit("—"))

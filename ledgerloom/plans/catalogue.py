@@ -296,6 +296,20 @@ def full_state_json(spark: SparkSession, d: str) -> DataFrame:
     return report.export_state(M.teams(spark, d).withColumn("pin_hash", F.lit("x")), ["pin_hash"])
 
 
+@query
+def status_labels(spark: SparkSession, d: str) -> DataFrame:
+    a = M.actions(spark, d)
+    status = F.when(F.col("action") == "click", "live").when(F.col("action") == "view", "current").when(F.col("action") == "purchase", "sold").when(F.col("action") == "error", "").otherwise("Odd One!")
+    state = F.when(F.col("event_id") % 5 == 0, "paused").otherwise("live")
+    return a.select("event_id", X.status_text(status).alias("text"), X.status_class(status).alias("css"), X.headline(state, status).alias("headline"), X.currency(F.col("amount")).alias("money"))
+
+
+@query
+def display_times(spark: SparkSession, d: str) -> DataFrame:
+    ts = F.col("ts").cast("timestamp")
+    return M.actions(spark, d).select("event_id", X.date_time(ts).alias("shown"), X.date_time(ts, False).alias("clock"))
+
+
 @query
 def bid_attribution(spark: SparkSession, d: str) -> DataFrame:
     """Bids to the view just before them: last value over the ordered log, instead of an as-of join."""

@@ -109,6 +109,10 @@ ORACLES = {
     "snapshot_summary": f"""with {_TEAMS}, {_TX} select owner, count(distinct teams.team_id) teams, count(sequence) active_sales from teams left join (select * from tx where "type" = 'sale' and not reversed) x using (team_id) group by 1""",
     "device_labels": f"with {_TEAMS}, {_ACT} select event_id, actor, case when actor % 10 = 0 then 'Admin' when name is not null then 'Team: ' || name else 'Display' end label from act left join teams on actor * 11 = team_id where action = 'view'",
     "full_state_json": f"""with {_TEAMS} select '{{"team_id":' || team_id || ',"name":"' || name || '","owner":"' || owner || '","initial_purse":' || initial_purse || '}}' json from teams""",
+    "status_labels": f"""with {_ACT}, s as (select *, case action when 'click' then 'live' when 'view' then 'current' when 'purchase' then 'sold' when 'error' then '' else 'Odd One!' end st from act)
+ select event_id, case st when 'live' then 'Live' when 'current' then 'On the block' when 'sold' then 'Sold' when '' then 'Unknown' else st end "text", case st when '' then 'not-started' when 'Odd One!' then 'odd-one-' else st end css,
+ case when event_id % 5 = 0 then 'Auction paused by the operator' when st = 'sold' then 'Player sold' when st = 'live' then 'Live bidding' else 'Next player coming up' end headline, '₹' || {_money('amount')} money from s""",
+    "display_times": f"with {_ACT} select event_id, strftime(ts, '%d %b, ') || lower(strftime(ts, '%I:%M %p')) shown, lower(strftime(ts, '%I:%M:%S %p')) clock from act",
     "bid_attribution": f"with {_ACT}, s as (select *, last_value(case when action = 'view' then event_id end ignore nulls) over (partition by actor order by ts, event_id rows between unbounded preceding and current row) selected from act) select event_id, actor, amount, selected from s where action = 'click'",
     "spend_rollup": f"""with {_TEAMS}, {_TX} select owner, reversed, cast(sum(price) as bigint) spend, count(*) sales from tx join teams using (team_id) where "type" = 'sale' group by rollup (owner, reversed)""",
 }
