@@ -17,7 +17,6 @@ once; an empty benchmark hits nothing; repeated documents get a row each; clashi
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from itertools import repeat
@@ -307,7 +306,3 @@ def _clean_once(docs: DataFrame, automaton: Automaton, text_col: str, max_covera
             yield pa.RecordBatch.from_arrays(cols, schema=wire).filter(pa.array(keep))
 
     return restore(inner.mapInArrow(run, out))
-
-
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
