@@ -19,7 +19,7 @@ component id unless the whole component has none; other columns are dropped, so
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -295,143 +295,142 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(label, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near copies: bits of a fingerprint, bits that may differ, least similarity of shingle sets, recall aimed at.
-WIDE, SIMILARITY, RECALL = 128, 0.8, 0.95
-#: Rows of a bucket that meet each other; of larger buckets every row meets its own part and the pivots.
-PART, PIVOTS = 2048, 1024
+#: Near copies: least similarity of shingle sets; minima in a key and keys of a set; keys whose buckets are first linked as stars.
+SIMILARITY, BAND, TABLES, STARS = 0.8, 8, 42, 12
+#: Rows of a bucket that are paired in one block; larger buckets are paired block by block, every block with every other.
+PART = 2048
+#: Not read any more: buckets have no pivots. The tests still set it.
+PIVOTS = 0
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5) -> bytes:
-    """A 128-bit SimHash over the set of shingles of one whole text."""
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of one whole text; a text of fewer words is one shingle."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return bytes(WIDE // 8)
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
     starts = [0, *(e + 1 for e in ends[: n - 1])]
     last = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
-    digest = xxhash.xxh128_digest
-    hashes = list({digest(joined[a:b], 42) for a, b in zip(starts, last, strict=True)})
-    counts = np.zeros(WIDE, dtype=np.int64)
-    for i in range(0, len(hashes), _CHUNK):
-        part = np.frombuffer(b"".join(hashes[i : i + _CHUNK]), np.uint8).reshape(-1, WIDE // 8)
-        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    # an even vote is settled by the first hash in order, not always to 0: else short texts would look alike
-    tie = np.unpackbits(np.frombuffer(min(hashes), np.uint8), bitorder="little").astype(bool)
-    twice = 2 * counts
-    return np.packbits((twice > len(hashes)) | ((twice == len(hashes)) & tie), bitorder="little").tobytes()
-
-
-def expected_agreement(similarity: float) -> float:
-    """Chance that a fingerprint bit agrees for two equally large shingle sets of this Jaccard similarity."""
-    return 1 - float(np.arccos(2 * similarity / (1 + similarity))) / float(np.pi)
-
-
-def radius_for(similarity: float, deviations: float = 1.25) -> int:
-    """Bits that may differ: the expected number at this similarity and a margin for the estimate's spread."""
-    p = 1 - expected_agreement(similarity)
-    return int(WIDE * p + deviations * (WIDE * p * (1 - p)) ** 0.5)
-
-
-def table_plan(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> np.ndarray:
-    """(tables, bits) positions: keys grow with the logarithm of the number of fingerprints, so buckets stay small, and there are as many tables as the
-    recall needs."""
-    b = max(14, int(np.ceil(np.log2(max(2, n) / 64))))
-    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - expected_agreement(similarity) ** b)))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts, last, strict=True)], dtype="<u8"))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each table: hashed together from BAND minima, the table's number in the low six bits."""
+    import xxhash
+
+    if not len(hashes):
+        return np.zeros(0, np.int64)
     r = np.random.default_rng(20)
-    return np.stack([r.permutation(WIDE)[:b] for _ in range(tables)])
+    a, b = (r.integers(0, 1 << 64, BAND * TABLES, dtype=np.uint64) for _ in range(2))
+    a |= np.uint64(1)
+    low = np.full(BAND * TABLES, _ALL)
+    for i in range(0, len(hashes), 512):  # bounded memory however long the text is
+        x = hashes[i : i + 512, None]
+        low = np.minimum(low, ((x ^ (x >> np.uint64(31))) * a + b).min(axis=0))
+    raw = low.astype("<u8").tobytes()
+    keys = [(xxhash.xxh64_intdigest(raw[8 * BAND * t : 8 * BAND * (t + 1)], t) << 6 | t) & 0xFFFFFFFFFFFFFFFF for t in range(TABLES)]
+    return np.array(keys, dtype=np.uint64).view(np.int64)
 
 
-def wide_links(fps: DataFrame, similarity: float = SIMILARITY, held: list | None = None) -> DataFrame:
-    """(a, b) structs of (hi, lo), a > b: a spanning forest of the links within each bucket, from distinct (hi, lo)."""
-    held = [] if held is None else held
-    plan, radius = table_plan(fps.count(), similarity), radius_for(similarity)
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = (1 << np.arange(plan.shape[1], dtype=np.int64))[:, None]
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4096):  # a row becomes one for each table
-                b = whole.slice(at, 4096)
-                hi, lo = (np.ascontiguousarray(b.column(i).to_numpy(zero_copy_only=False)) for i in (0, 1))
-                bits = np.unpackbits(np.stack([hi, lo], axis=1).astype("<i8").view(np.uint8), axis=1, bitorder="little")
-                key = [((bits[:, pos].astype(np.int64) @ powers)[:, 0] << 12) + t for t, pos in enumerate(plan)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key)), pa.array(np.tile(hi, len(plan))), pa.array(np.tile(lo, len(plan)))], ["key", "hi", "lo"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((0, 4), np.int64)
+def expected_recall(similarity: float) -> float:
+    """Chance that two sets of this Jaccard similarity share a key."""
+    return 1 - (1 - similarity**BAND) ** TABLES
+
+
+def similar(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: float, shingle: int, held: list) -> DataFrame:
+    """The (a, b) of ``pairs`` whose shingle sets have at least this Jaccard similarity, computed exactly. ``texts`` gives (s, text) for a table of s."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = np.concatenate([rest, np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(4)], axis=1)])
-            other = np.nonzero((rows[:, :2] != rows[-1, :2]).any(axis=1))[0]
-            cut = int(other[-1]) + 1 if len(other) else 0  # the last bucket may go on in the next batch
-            if cut:
-                yield from out(rows[:cut])
-            rest = rows[cut:]
-        if len(rest):
-            yield from out(rest)
-
-    def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ids = np.concatenate([[0], np.cumsum((rows[1:, :2] != rows[:-1, :2]).any(axis=1))])
-        size = np.bincount(ids)
-        rows = rows[size[ids] > 1]
-        if not len(rows):
-            return
-        ids = np.concatenate([[0], np.cumsum((rows[1:, :2] != rows[:-1, :2]).any(axis=1))])
-        root = spanning(len(rows), *links_in_runs(ids, rows[:, 2:].view(np.uint64), radius))
-        own = np.nonzero(root != np.arange(len(rows)))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rows[own, 2], rows[own, 3], rows[root[own], 2], rows[root[own], 3])], ["ah", "al", "bh", "bl"])
-
-    rows = fps.select("hi", "lo").mapInArrow(keys, "key long, hi long, lo long")
-    hot = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PART), "simhash-hot", held)
-    parts = F.ceil(F.col("n") / PART)
-    dealt = rows.join(hot, "key", "left")
-    own = dealt.select("key", F.when(F.col("n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("lo", "hi"), parts)).cast("long").alias("part"), "hi", "lo")
-    if hot.limit(1).count():  # rows of a large bucket meet the same pivots in every part, which joins the parts
-        pivots = dealt.where(F.col("n").isNotNull() & (F.pmod(F.xxhash64("hi", "lo"), F.col("n")) < PIVOTS))
-        own = own.unionByName(pivots.select("key", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)).alias("part"), "hi", "lo"))
-    found = own.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(meet, "ah long, al long, bh long, bl long")
-    a, b = F.struct(F.col("ah").alias("hi"), F.col("al").alias("lo")), F.struct(F.col("bh").alias("hi"), F.col("bl").alias("lo"))
-    return found.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
+            sets = [shingle_set(t, shingle).view("<i8") for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["s", "grams"])
+
+    pairs = materialize(pairs, "near-pairs", held)
+    ids = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
+    sets = materialize(texts(ids).mapInArrow(run, "s long, grams array<long>"), "shingle-sets", held)
+    side = lambda x: sets.select(F.col("s").alias(x), F.col("grams").alias(f"g{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    shared = F.size(F.array_intersect("ga", "gb"))
+    return both.where(shared >= F.lit(similarity) * (F.size("ga") + F.size("gb") - shared) - F.lit(1e-9)).select("a", "b")
+
+
+def cross_pairs(rows: DataFrame, part: int) -> DataFrame:
+    """(a, b) with a > b: all pairs of a bucket with different labels, from (key, s, label). A bucket above ``part`` rows is dealt into
+    parts by hash, and each part meets itself and every other one as a block of its own: exact, and no block is large."""
+    of = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    of = of.select("key", F.ceil(F.col("n") / part).cast("long").alias("parts"))
+    dealt = rows.join(of, "key").withColumn("p", F.pmod(F.xxhash64("s"), F.col("parts")))
+    left = dealt.select("key", F.col("s").alias("ls"), F.col("label").alias("ll"), F.col("p").alias("i"), F.explode(F.sequence(F.col("p"), F.col("parts") - 1)).alias("j"))
+    right = dealt.select("key", F.col("s").alias("rs"), F.col("label").alias("rl"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("p"))).alias("i"), F.col("p").alias("j"))
+    met = left.join(right, ["key", "i", "j"]).where("ll <> rl and (i < j or ls < rs)")
+    return met.select(F.greatest("ls", "rs").alias("a"), F.least("ls", "rs").alias("b")).distinct()
+
+
+def near_links(groups: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: float, shingle: int, held: list) -> DataFrame:
+    """(a, b): verified links that join all sets which a chain of verified candidate pairs joins, from distinct sets (s, keys)."""
+    bands = groups.select("s", F.explode("keys").alias("key"))
+    buckets = materialize(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("s").alias("hub")).where("n > 1").select("key", "hub"), "near-buckets", held)
+    shared = materialize(bands.join(buckets, "key"), "near-rows", held)
+    # stars first: a large group of copies is joined by a link or a few for each member
+    star = shared.where((F.col("s") > F.col("hub")) & (F.col("key").bitwiseAND(F.lit(63)) < STARS)).select(F.col("s").alias("a"), F.col("hub").alias("b")).distinct()
+    first = materialize(similar(star, texts, similarity, shingle, held), "near-links")
+    comp = components(first)
+    # then every pair of a bucket that isn't joined yet
+    rows = shared.join(comp, shared["s"] == comp["node"], "left").select("key", "s", F.coalesce("root", "s").alias("label"))
+    rows = materialize(rows, "near-labelled", held)
+    second = similar(cross_pairs(rows, PART), texts, similarity, shingle, held)
+    return first.unionByName(second)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """Keep one row of each group of near copies, with all columns of ``docs``: the one with the smallest id (rows without an id come
-    last, ties go to the smallest fingerprint); of rows that repeat both, any one.
+    last, ties go to the smallest set hash); of rows that repeat both, any one.
 
-    Near copies are texts whose sets of ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or more, as 128-bit fingerprints tell
-    it: at most ``radius_for(similarity)`` bits differ. Such a radius is too wide for cutting fingerprints into blocks, so candidates share sampled
-    bits in one of many tables; their distances are counted bit-sliced.
+    Near copies are texts whose sets of ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or more, and what a chain of such pairs
+    joins. Candidates share a key of minima in one of many tables (``expected_recall``); every link is then verified on the sets
+    themselves, so nothing below the similarity is ever linked. Wordless texts are copies of each other.
     """
     inner, place, restore = shield(docs)
     i, at = place(id_col), docs.columns.index(text_col)
-    out = T.StructType([*inner.schema.fields, T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType())])
+    out = T.StructType([*inner.schema.fields, T.StructField("s", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
     wire = arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for b in batches:
-            raw = b"".join(wide_fingerprint(t, shingle) for t in b.column(at).to_pylist())
-            fps = np.frombuffer(raw, "<i8").reshape(-1, 2)
+            sets = [shingle_set(t, shingle) for t in b.column(at).to_pylist()]
+            ids = np.array([xxhash.xxh64_intdigest(x.tobytes(), 7) if len(x) else 0 for x in sets], dtype=np.uint64).view(np.int64)
+            keys = pa.array([band_keys(x) for x in sets], wire.field(len(wire) - 1).type)
             cols = [c.cast(f.type) for c, f in zip(b.columns, wire, strict=False)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(fps[:, 0]), pa.array(fps[:, 1])], schema=wire)
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(ids), keys], schema=wire)
 
     rows = materialize(inner.mapInArrow(run, out), "fingerprinted")
-    groups = materialize(rows.groupBy("hi", "lo").agg(F.min(i).alias("low"), F.count("*").alias("n")), "simhash-groups")
+    groups = materialize(rows.groupBy("s").agg(F.min(i).alias("low"), F.first("keys").alias("keys")), "near-groups")
+
+    def texts(ids: DataFrame) -> DataFrame:
+        # the id is a key too: thousands of copies share a set, but not an id
+        need = groups.join(ids, "s", "left_semi").select(F.col("s").alias("n_s"), F.col("low").alias("n_low"))
+        found = rows.join(need, (F.col("s") == F.col("n_s")) & F.col(i).eqNullSafe(F.col("n_low")), "left_semi")
+        return found.select("s", F.col(place(text_col)).cast("string").alias("text")).dropDuplicates(["s"])
+
     held: list[str] = []
-    edges = materialize(wide_links(groups, similarity, held), "simhash-links")
+    edges = materialize(near_links(groups, texts, similarity, shingle, held), "near-links")
     release(docs.sparkSession, held)
     comp = components(edges)
-    node = F.struct("hi", "lo")
-    roots = groups.withColumn("node", node).join(comp, "node", "left").select("hi", "lo", "low", F.coalesce("root", "node").alias("root"))
-    best = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "hi", "lo"))
-    chosen = roots.groupBy("root").agg(best.alias("best")).select(F.col("best.hi").alias("c_hi"), F.col("best.lo").alias("c_lo"), F.col("best.low").alias("c_low"))
-    # the id is a key too: thousands of copies share a fingerprint, but not an id
-    kept = rows.join(chosen, (F.col("hi") == F.col("c_hi")) & (F.col("lo") == F.col("c_lo")) & F.col(i).eqNullSafe(F.col("c_low")), "left_semi")
-    repeated = rows.groupBy("hi", "lo", F.col(i).alias("id")).agg(F.count("*").alias("n")).where("n > 1")
-    repeated = materialize(repeated.select(F.col("hi").alias("r_hi"), F.col("lo").alias("r_lo"), F.col("id").alias("r_id")), "repeated")
+    roots = groups.join(comp, F.col("s") == F.col("node"), "left").select("s", "low", F.coalesce("root", "s").alias("root"))
+    best = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "s"))
+    chosen = roots.groupBy("root").agg(best.alias("best")).select(F.col("best.s").alias("c_s"), F.col("best.low").alias("c_low"))
+    kept = rows.join(chosen, (F.col("s") == F.col("c_s")) & F.col(i).eqNullSafe(F.col("c_low")), "left_semi")
+    repeated = rows.groupBy("s", F.col(i).alias("id")).agg(F.count("*").alias("n")).where("n > 1")
+    repeated = materialize(repeated.select(F.col("s").alias("r_s"), F.col("id").alias("r_id")), "repeated")
     if not repeated.limit(1).count():
         return restore(kept)
-    same = (F.col("hi") == F.col("r_hi")) & (F.col("lo") == F.col("r_lo")) & F.col(i).eqNullSafe(F.col("r_id"))
-    once = kept.join(repeated, same, "left_semi").dropDuplicates(["hi", "lo", i])
+    same = (F.col("s") == F.col("r_s")) & F.col(i).eqNullSafe(F.col("r_id"))
+    once = kept.join(repeated, same, "left_semi").dropDuplicates(["s", i])
     return restore(kept.join(repeated, same, "left_anti").unionByName(once))

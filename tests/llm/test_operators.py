@@ -134,6 +134,56 @@ def test_deduplicate_catches_near_copies_only(spark, monkeypatch, part):
     assert len(close) <= 3
 
 
+def single_linkage(texts, least=0.8):
+    """The smallest place of each group of a similarity graph, by brute force."""
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and jaccard(texts[i], texts[j]) >= least:
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    return sorted(set(label))
+
+
+def test_deduplicate_pairs_within_a_hot_bucket(spark, monkeypatch):
+    """Pairs of near copies among moderately similar texts from one template: all of a bucket meets, however it is dealt into parts."""
+    monkeypatch.setattr(simhash, "PART", 4)
+    r = random.Random(22)
+    word = lambda: f"u{r.randrange(20_000)}"
+    template, texts = [word() for _ in range(150)], []
+    for _ in range(60):
+        t = [*template, *(word() for _ in range(60))]
+        texts.append(" ".join(t))
+        t[-r.randrange(8, 30)] = word()
+        texts.append(" ".join(t))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in simhash.deduplicate(docs).collect()) == single_linkage(texts)
+
+
+def test_cross_pairs_are_all_pairs(spark):
+    r = random.Random(23)
+    rows = [(k, s, s if r.random() < 0.5 else 0) for k in range(3) for s in r.sample(range(1, 500), 40)]
+    want = {(max(s, t), min(s, t)) for k, s, x in rows for m, t, y in rows if k == m and x != y}
+    for part in (2048, 7):
+        got = simhash.cross_pairs(spark.createDataFrame(rows, "key long, s long, label long"), part).collect()
+        assert len(got) == len(want) and {tuple(x) for x in got} == want
+
+
+def test_deduplicate_keeps_the_threshold(spark):
+    """Texts just above and below the similarity, and short ones that share a shingle."""
+    r = random.Random(24)
+    word = lambda: f"u{r.randrange(20_000)}"
+    texts = ["a b c d e f", "a b c d e g", "b c d e f g"]
+    for k in range(120):
+        n = r.randrange(60, 300)
+        base = [word() for _ in range(n)]
+        new = int(n * (0.1 if k % 2 else 0.15))  # words put in place of the last ones: a similarity of some 0.82 or 0.74
+        texts += [" ".join(base), " ".join(base[: n - new] + [word() for _ in range(new)])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in simhash.deduplicate(docs).collect()) == single_linkage(texts)
+    assert simhash.expected_recall(0.8) > 0.999
+
+
 def test_deduplicate_awkward(tidy, nothing):
     kept = simhash.deduplicate(tidy)
     assert kept.columns == tidy.columns
