@@ -4,10 +4,10 @@ Lines with a word are hashed (outer white space apart). From each line the short
 hash; of the span hashes that start within ``REACH_WORDS`` words the smallest is selected. So two texts that share a
 line-aligned run of SPAN_WORDS + REACH_WORDS words (50) select at least one span in common: the fingerprints are guaranteed.
 
-An aggregate gives the earliest place of each fingerprint, in the order of (doc_id, text hash, line); every later place is joined to it. No pairs
-among the later places are made, so a passage in a third of all documents costs a row for each of them. A match is extended both ways, line by
-line; runs of ``MIN_RUN_WORDS`` words or more are deleted from the later place. What is deleted stands earlier in the same
-order, so the first copy of every line stays.
+Round each fingerprint that stands at two places, the shortest runs of lines with ``MIN_RUN_WORDS`` words, at every alignment, are hashed too. An
+aggregate gives the earliest place of each such run, in the order of (doc_id, text hash, line); at every later place its lines go. So each run has an
+earliest place of its own, whichever texts hold parts of it, and longer runs are unions of such runs. No pairs among places are made: a passage in a
+third of all documents costs a few rows for each of them. What is deleted stands earlier in the same order, so the first copy of every line stays.
 
 Defined results: null, empty and wordless texts stay as they are; lines without a word between deleted lines stay; rows that repeat
 both id and text count as one place and lose the same lines; null ids come last; a text may lose all its lines and is then empty; an empty table gives an
@@ -67,29 +67,22 @@ def selected(lines: Column, spans: Column) -> Column:
     return F.array_distinct(F.filter(minima, lambda m: m["p"] >= 0))
 
 
-def runs_to_delete(own: Column, other: Column, shifts: Column, min_run_words: int) -> Column:
-    """Original numbers of ``own``'s lines in matching runs of enough words. ``shifts``: (shift, places), where line p of own matches
-    line p - shift of other."""
+def windows(lines: Column, words: int) -> Column:
+    """Distinct (position, lines) of the shortest runs of lines with ``words`` words that start or end at each line. A longer run is the union of
+    those inside it: a line that the run's first window leaves out has ``words`` words of the run before it."""
+    start = F.struct(F.lit(0).alias("w"), F.lit(0).alias("n"))
 
-    def along(d: Column) -> Column:
-        start = F.struct(
-            F.array().cast("array<int>").alias("out"), F.array().cast("array<int>").alias("run"), F.lit(0).alias("words"), F.lit(False).alias("hit"), F.lit(0).alias("at")
-        )
+    def shortest(ls: Column) -> Column:
+        return F.aggregate(ls, start, lambda a, x: F.when(a["w"] >= words, a).otherwise(F.struct((a["w"] + x["w"]).alias("w"), (a["n"] + 1).alias("n"))))
 
-        def close(a: Column) -> Column:
-            return F.when(a["hit"] & (a["words"] >= min_run_words), F.concat(a["out"], a["run"])).otherwise(a["out"])
+    def both(ls: Column, i: Column) -> Column:
+        ahead = shortest(F.slice(ls, i + 1, F.lit(words)))  # every line has a word
+        back = shortest(F.reverse(F.slice(ls, F.greatest(i + 2 - words, F.lit(1)), F.least(i + 1, F.lit(words)))))
+        run = lambda g, p: F.when(g["w"] >= words, F.struct(p.cast("int").alias("p"), g["n"].alias("n")))
+        return F.array(let(ahead, lambda g: run(g, i)), let(back, lambda g: run(g, i - g["n"] + 1)))
 
-        def step(a: Column, x: Column) -> Column:
-            q = a["at"] - d["shift"]
-            same = F.coalesce((q >= 0) & (F.get(other, q)["h"] == x["h"]), F.lit(False))
-            return F.when(
-                same,
-                F.struct(a["out"].alias("out"), F.concat(a["run"], F.array(x["i"])).alias("run"), (a["words"] + x["w"]).alias("words"), (a["hit"] | F.array_contains(d["places"], a["at"])).alias("hit"), (a["at"] + 1).alias("at")),
-            ).otherwise(F.struct(close(a).alias("out"), F.array().cast("array<int>").alias("run"), F.lit(0).alias("words"), F.lit(False).alias("hit"), (a["at"] + 1).alias("at")))
-
-        return let(F.aggregate(own, start, step), close)
-
-    return F.array_distinct(F.flatten(F.transform(shifts, along)))
+    found = let(lines, lambda ls: F.flatten(F.transform(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: both(ls, i))))
+    return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
 
 
 def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run_words: int = MIN_RUN_WORDS, held: list | None = None) -> DataFrame:
@@ -99,18 +92,20 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     marked = lines.withColumn("spans", span_hashes(F.col("lines")))
     prints = marked.select("k1", "k2", F.explode(selected(F.col("lines"), F.col("spans"))).alias("s")).select("k1", "k2", F.col("s.p").alias("p"), F.col("s.h").alias("h"))
     prints = materialize(prints, "fingerprints", held)
-    first = prints.groupBy("h").agg(F.min(F.struct("k1", "k2", "p")).alias("first"), F.max(F.struct("k1", "k2", "p")).alias("last")).where("first <> last")
-    first = materialize(first.select("h", F.col("first.k1").alias("f1"), F.col("first.k2").alias("f2"), F.col("first.p").alias("q")), "first-places", held)
-    later = prints.join(first, "h").where("not (k1 = f1 and k2 = f2 and p = q)")
-    shifts = later.groupBy("k1", "k2", "f1", "f2", (F.col("p") - F.col("q")).alias("shift")).agg(F.sort_array(F.collect_set("p")).alias("places"))
-    shifts = materialize(shifts.groupBy("k1", "k2", "f1", "f2").agg(F.collect_list(F.struct("shift", "places")).alias("shifts")), "matches", held)
-    # lines of holders and of holders' copies, one row for each text: repeated rows share a key
-    used = shifts.select("k1", "k2").unionByName(shifts.select(F.col("f1").alias("k1"), F.col("f2").alias("k2"))).distinct()
-    need = materialize(lines.join(used, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), "matched-lines", held)
-    pair = shifts.join(need.select(F.col("k1").alias("f1"), F.col("k2").alias("f2"), F.col("lines").alias("other")), ["f1", "f2"]).join(need, ["k1", "k2"])
-    gone = pair.select("k1", "k2", runs_to_delete(F.col("lines"), F.col("other"), F.col("shifts"), min_run_words).alias("gone"))
-    gone = gone.where(F.size("gone") > 0).groupBy("k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
-    return gone
+    place = F.struct("k1", "k2", "p")
+    twice = materialize(prints.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h"), "repeated-fingerprints", held)
+    hit = materialize(prints.join(twice, "h").groupBy("k1", "k2").agg(F.collect_set("p").alias("places")), "matches", held)
+    # one row for each text: repeated rows share a key
+    need = lines.join(hit, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    near = F.filter(windows(F.col("lines"), min_run_words), lambda x: F.exists("places", lambda q: (q >= x["p"]) & (q < x["p"] + x["n"])))
+    runs = need.select("k1", "k2", "lines", F.explode(near).alias("x"))
+    own = F.slice("lines", F.col("x.p") + 1, F.col("x.n"))
+    runs = runs.select("k1", "k2", F.col("x.p").alias("p"), F.xxhash64(F.transform(own, lambda x: x["h"])).alias("h"), F.transform(own, lambda x: x["i"]).alias("own"))
+    runs = materialize(runs, "runs", held)
+    first = runs.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    first = materialize(first.select("h", "first"), "first-places", held)
+    later = runs.join(first, "h").where(place != F.col("first"))
+    return later.groupBy("k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("own")))).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run_words: int = MIN_RUN_WORDS, removed: str | None = None) -> DataFrame:

@@ -343,6 +343,28 @@ def test_line_dedup_against_all_pairs(spark):
     assert got == want
 
 
+def test_line_dedup_with_several_holders(spark):
+    """An earlier text holds just part of a repeated run; runs put together from several texts, with short lines at their edges."""
+    r = random.Random(12)
+    common, next_line = words(r, 38), words(r, 15)
+    texts = {0: "\n".join([words(r, 40), common, words(r, 40)])}
+    for d in range(1, 5):
+        texts[d] = "\n".join([words(r, 40), common, next_line, words(r, 40)])
+    texts[5] = "\n".join([words(r, 40), common, words(r, 40), common, next_line])
+    pool = [words(r, r.choice([3, 8, 15, 25, 38, 55])) for _ in range(14)]
+    for d in range(6, 70):
+        parts = []
+        for _ in range(r.randrange(1, 4)):
+            at = r.randrange(len(pool))
+            parts += [*pool[at : at + r.randrange(1, 7)], words(r, r.randrange(3, 30))]
+        texts[d] = "\n".join(parts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(docs).collect()}
+    assert all(common not in got[d] for d in (2, 3, 4))
+    want = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone) for (d, t), gone in zip(texts.items(), brute_first_copies(texts).values(), strict=True)}
+    assert got == want
+
+
 def test_line_dedup_awkward(tidy, nothing):
     out = line_dedup.dedup_lines(tidy)
     assert out.columns == tidy.columns and out.count() == tidy.count()
