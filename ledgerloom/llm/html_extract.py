@@ -4,8 +4,8 @@ The parser's events become a list of text blocks, each with its element path, it
 that never hold the article (navigation, headers and footers of the page, asides, forms, notices, adverts, comments, scripts
 and so on, by element, ARIA role or class and id words) are left out. Over the remaining blocks, text-to-tag ratios are smoothed with a Gaussian
 and clustered at a threshold; the heaviest cluster says which container holds the content, and all blocks of that
-container come out in page order, the short ones too. A marked ``article`` or ``main`` element is taken as the
-container where its text is a fair share of the page's.
+container come out in page order, the short ones too. A marked ``article`` or ``main`` element whose text is a fair share of the page's is taken as
+the container where half of the cluster lies in it or the cluster holds half of it; elsewhere the cluster alone decides.
 
 Defined results: null and empty pages, and pages without text, give an empty text of 0 characters; unclosed and stray tags are read as
 browsers do (a paragraph ends where the next block starts); character references are decoded; one row for each input row, repeats too.
@@ -212,12 +212,13 @@ def extract(html: str | None) -> str:
             if n.main:
                 weight[n.serial] = weight.get(n.serial, 0) + len(t)
                 mains[n.serial] = n
+    marked = None
     if mains:
         # the innermost marked element that still holds most of what the marked elements hold
         best = max(weight.values())
         serial = max(s for s, w in weight.items() if w >= 0.8 * best)
         if weight[serial] >= SHARE * total:
-            return "\n".join(t for path, (_, t, _) in zip(paths, blocks, strict=True) if any(n.serial == serial for n in path))
+            marked = mains[serial]
     ratio = smooth([len(t) / max(1, k) for _, t, k in blocks])
     mean = sum(ratio) / len(ratio)
     dev = math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio))
@@ -233,6 +234,9 @@ def extract(html: str | None) -> str:
         runs.append(cur)
     core = max(runs, key=lambda run: sum(len(blocks[i][1]) for i in run))
     size = sum(len(blocks[i][1]) for i in core)
+    # a marked element is the container if half of the cluster lies in it or the cluster holds half of it
+    if marked and 2 * sum(len(blocks[i][1]) for i in core if marked in paths[i]) >= min(size, weight[marked.serial]):
+        return "\n".join(t for path, (_, t, _) in zip(paths, blocks, strict=True) if marked in path)
     # the innermost element that holds nearly all of the cluster
     held: dict[int, int] = {}
     for i in core:

@@ -400,6 +400,16 @@ def test_html(spark, tidy):
     assert html_extract.main_text(pages.limit(0)).collect() == []
 
 
+def test_html_cluster_decides_where_the_mark_misleads():
+    """A marked list of teasers beside unmarked prose: the prose is what comes out. Where the mark holds the prose it is the container."""
+    teasers = "".join(f"<li><a href=x><b>Teaser</b> <i>number</i> {i}</a></li>" for i in range(25))
+    prose = "".join(f"<p>{'Plain sentences of an essay that goes on. ' * 5}{i}</p>" for i in range(6))
+    text = html_extract.extract(f"<body><article>{teasers}</article><div>{prose}</div></body>")
+    assert "essay" in text and "Teaser" not in text
+    text = html_extract.extract(f"<body><div>{teasers}</div><article>{prose}</article></body>")
+    assert text.count("\n") == 5 and "Teaser" not in text
+
+
 def test_html_deep_and_broken():
     assert html_extract.extract("<div>" * 3000 + "deep" + "</div>" * 10) == "deep"
     assert html_extract.extract("<p>a<p>b</b></i></div><table><tr><td>c<td>d</table>") != ""
