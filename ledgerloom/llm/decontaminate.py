@@ -257,17 +257,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window:
     """``docs`` with benchmark passages removed: hit spans are cut out of the text, and a document goes if they cover more
     than ``max_coverage`` of its words. Documents without a hit come back unchanged, empty ones too.
 
-    A cut brings the words around it together; where one block of items holds the whole benchmark, texts are scanned again until nothing is hit.
+    A cut brings the words around it together, so texts that were cut are scanned again until nothing is hit, whatever the benchmark's size.
     """
     blocks = blocks_of(benchmark)
     block = next(blocks, [])
     if next(blocks, None) is None:
         return _clean_once(docs, Automaton(block, window), text_col, max_coverage)
     inner, place, restore = shield(docs)
-    marked = mark(inner, benchmark, place(text_col), window)
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     n_hit = total(F.col("found.ends")) - total(F.col("found.starts"))
-    kept = marked.where((n_hit == 0) | (n_hit <= F.lit(max_coverage) * F.col("found.n_words")))
     out = T.StructType(inner.schema.fields)
     wire, at = arrow_schema(out), docs.columns.index(text_col)
 
@@ -276,11 +274,17 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window:
             found = b.column(b.num_columns - 1)
             starts, ends = found.field("starts").to_pylist(), found.field("ends").to_pylist()
             cols = [c.cast(f.type) for c, f in zip(b.columns, wire, strict=False)]
-            if any(starts):
-                cols[at] = pa.array([cut_spans(t, s, e) for t, s, e in zip(b.column(at).to_pylist(), starts, ends, strict=True)], wire.field(at).type)
+            cols[at] = pa.array([cut_spans(t, s, e) for t, s, e in zip(b.column(at).to_pylist(), starts, ends, strict=True)], wire.field(at).type)
             yield pa.RecordBatch.from_arrays(cols, schema=wire)
 
-    return restore(kept.mapInArrow(run, out))
+    done, todo, most = None, inner, F.lit(max_coverage) * F.col("found.n_words")
+    while todo is not None:  # every round takes words off each text it goes on with
+        marked = materialize(mark(todo, benchmark, place(text_col), window), "decontaminate")
+        free = marked.where(n_hit == 0).drop("found")
+        hit = marked.where(n_hit > 0) if done is not None else marked.where((n_hit > 0) & (n_hit <= most))
+        done = free if done is None else done.unionByName(free)
+        todo = materialize(hit.mapInArrow(run, out), "decontaminate-cut") if hit.limit(1).count() else None
+    return restore(done)
 
 
 def _clean_once(docs: DataFrame, automaton: Automaton, text_col: str, max_coverage: float) -> DataFrame:

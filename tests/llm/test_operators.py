@@ -505,6 +505,24 @@ def test_clean_cuts_spans_and_drops_covered_documents(spark, tidy, nothing):
 # 8 ------------------------------------------------------------------------------------------------------------------
 
 
+def test_clean_rescans_with_many_blocks(spark, monkeypatch):
+    """Passages inside passages, with a benchmark of several blocks."""
+    r = random.Random(41)
+    items = [words(r, 15) for _ in range(4)]
+    inner = items[0].split()
+    for x in items[1:]:
+        inner = [*x.split()[:7], *inner, *x.split()[7:]]
+    prose = words(r, 200)
+    docs = spark.createDataFrame([(1, f"{prose} {' '.join(inner)} {prose}"), (2, prose), (3, f"{prose} {items[1]}"), (4, items[2]), (5, None)], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    one = {x["doc_id"]: x["text"] for x in decontaminate.clean(docs, bench).collect()}
+    monkeypatch.setattr(decontaminate.blocks_of, "__defaults__", ("item_id", "text", 20))
+    monkeypatch.setattr(decontaminate.mark, "__defaults__", (*decontaminate.mark.__defaults__[:-1], 20))
+    many = {x["doc_id"]: x["text"] for x in decontaminate.clean(docs, bench).collect()}
+    assert many == one and many[1].split() == prose.split() * 2 and set(many) == {1, 2, 3, 5}
+
+
+
 def test_lookup_table_is_even_and_stable():
     names = [f"s{i}" for i in range(10)]
     t = sharding.lookup_table(names, 1009)
