@@ -6,7 +6,8 @@ chunk; max-pool over all chunks; logistic output. For scoring, embedding and fil
 256 x filters values for each position, so a text costs ``width`` gathers a window.
 
 Training takes at most ``SAMPLE_PER_CLASS`` labelled rows of either class, the first by a hash of doc_id (a
-bound that doesn't grow with the corpus). Their whole texts come to the driver, long ones too. The bias is set for the class shares
+bound that doesn't grow with the corpus). Their whole texts come to the driver, long ones too, as long as those of a class stay within half of
+``MAX_TRAIN_BYTES``: in the order of the hash, a text that doesn't fit is left out and the next ones are tried. The bias is set for the class shares
 of all training labels. Scoring reads every whole text where it lies, in Arrow batches.
 
 Defined results: null and empty texts are scored as a text of one zero byte; labels, lang, source and ids are no
@@ -23,11 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bound on the labelled rows that are fitted: so many of each class, of at most MAX_TRAIN_BYTES in all; texts above
-#: MAX_TRAIN_TEXT bytes are scored like any, but not fitted.
+#: Bound on the labelled rows that are fitted: so many of each class, of at most half of MAX_TRAIN_BYTES for each.
 SAMPLE_PER_CLASS = 1000
 MAX_TRAIN_BYTES = 16_000_000
-MAX_TRAIN_TEXT = 2_000_000
 EMBED, WIDTH, FILTERS, HIDDEN = 6, 6, 16, 16
 STRIDE, CHUNK = 2, 64
 THRESHOLD = 0.7
@@ -188,19 +187,30 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def within_bytes(rows: list[tuple], most: int | None = None) -> list:
+    """Ids of the (class, hash, id, bytes) that are fitted: in hash order within each class, for which half of ``most`` is free; only a text that
+    doesn't fit is left out."""
+    half = (MAX_TRAIN_BYTES if most is None else most) // 2
+    used, out = {}, []
+    for y, _, i, n in sorted(rows):
+        if used.get(y, 0) + n <= half:
+            used[y] = used.get(y, 0) + n
+            out.append(i)
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> Model:
     lab = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_y"))
     counts = dict(lab.groupBy("_y").count().collect())  # two rows
     order = F.xxhash64("_id")
     ids = lab.where("_y = 0").orderBy(order, "_id").limit(per_class).unionByName(lab.where("_y = 1").orderBy(order, "_id").limit(per_class))
-    text = docs.select(F.col(id_col).alias("_id"), F.col("text").cast("string").alias("_t")).where(F.coalesce(F.octet_length("_t"), F.lit(0)) <= MAX_TRAIN_TEXT)
+    text = docs.select(F.col(id_col).alias("_id"), F.col("text").cast("string").alias("_t"))
     # 2 * per_class ids at most: a proven bound for the broadcast and for what comes to the driver
-    rows = text.join(F.broadcast(ids), "_id").dropDuplicates(["_id"]).select("_id", "_y", "_t").toLocalIterator()
-    sample, used = [], 0
-    for r in sorted(((r["_id"], r["_y"], r["_t"]) for r in rows), key=lambda r: r[0]):
-        used += len(r[2] or "")
-        if used <= MAX_TRAIN_BYTES:
-            sample.append(r)
+    rows = text.join(F.broadcast(ids), "_id").groupBy("_id", "_y").agg(F.min("_t").alias("_t"))
+    sizes = rows.select("_y", order.alias("_h"), "_id", F.coalesce(F.octet_length("_t"), F.lit(0)).alias("_n")).collect()
+    chosen = within_bytes([tuple(r) for r in sizes])
+    fitted = rows.where(F.col("_id").isin(chosen)) if chosen else rows.limit(0)
+    sample = sorted(((r["_id"], r["_y"], r["_t"]) for r in fitted.toLocalIterator()), key=lambda r: r[0])
     total = sum(counts.values()) or 1
     return train([r[2] for r in sample], [r[1] for r in sample], (counts.get(0, 0) / total, counts.get(1, 0) / total))
 

@@ -218,6 +218,14 @@ def test_classifier_learns_and_covers_whole_texts(spark, tidy, nothing):
     assert quality_model.score(docs.limit(3), blank).where("score <> 0.5").count() == 0
 
 
+def test_training_bytes_are_bounded_by_class_in_hash_order():
+    rows = [(y, (i * 7919) % 101, i, 10) for i in range(100) for y in [int(i >= 50)]]
+    chosen = quality_model.within_bytes(rows, 400)
+    assert sum(i < 50 for i in chosen) == sum(i >= 50 for i in chosen) == 20  # no class vanishes, though classes are ordered by id
+    assert {i for i in chosen if i < 50} == {r[2] for r in sorted(rows)[:20]}
+    assert quality_model.within_bytes([(0, 1, 1, 900), (0, 2, 2, 20), (1, 3, 3, 20)], 100) == [2, 3]
+
+
 def test_slabs_and_chunks_agree():
     model = quality_model.new_model()
     tables = model.tables()
