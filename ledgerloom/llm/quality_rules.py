@@ -1,8 +1,8 @@
 """Quality rules with thresholds that adapt to language and source (DataFrame functions only).
 
 Every text gets exact counts by array functions in its own row: no shuffle, no exploded words. Four ratios of these counts go
-into quantile sketches: a sketch is the histogram of a ratio in steps of one thousandth, clamped at ``BINS``, so it is
-exact to a step, of bounded size and merged by adding counts. Sketches are kept for (lang, source), merged to
+into quantile sketches: a sketch is the histogram of a ratio in steps of one thousandth up to ``BINS`` and of one per cent above, so it is
+exact to a step, of bounded size and merged by adding counts. The ratio itself is held against the fence. Sketches are kept for (lang, source), merged to
 lang and to the whole table; a document takes the finest with ``min_group`` documents. The upper fence of a ratio is
 q3 + ``fences`` * max(q3 - q1, least spread); documents above a fence go, whatever their language or source normally looks like.
 
@@ -74,14 +74,20 @@ def ratio(c: Column, name: str) -> Column:
 
 
 def with_ratios(df: DataFrame, c: str) -> DataFrame:
-    """Whole thousandths, clamped: the bins of the sketches."""
+    """Whole thousandths."""
     col = F.col(c)
-    return df.withColumns({f"{c}_{r}": F.least(F.floor(ratio(col, r)).cast("int"), F.lit(BINS)) for r in RATIOS})
+    return df.withColumns({f"{c}_{r}": F.floor(ratio(col, r)).cast("long") for r in RATIOS})
+
+
+def bin_of(thousandths: Column) -> Column:
+    """The bin of a sketch: thousandths up to BINS, above them the lower end of a step of one per cent."""
+    step = F.floor(F.log(thousandths / BINS) / F.log(F.lit(1.01)))
+    return F.when(thousandths <= BINS, thousandths).otherwise(F.floor(BINS * F.pow(F.lit(1.01), step)).cast("long"))
 
 
 def sketches(rows: DataFrame, c: str, lang: str, source: str) -> DataFrame:
     """(lang, source, ratio, bin, n): one histogram for each ratio and group."""
-    bins = F.explode(F.array(*[F.struct(F.lit(r).alias("ratio"), F.col(f"{c}_{r}").alias("bin")) for r in RATIOS]))
+    bins = F.explode(F.array(*[F.struct(F.lit(r).alias("ratio"), bin_of(F.col(f"{c}_{r}")).alias("bin")) for r in RATIOS]))
     return rows.select(F.col(lang).alias("lang"), F.col(source).alias("source"), bins.alias("s")).groupBy("lang", "source", F.col("s.ratio").alias("ratio"), F.col("s.bin").alias("bin")).agg(F.count("*").alias("n"))
 
 

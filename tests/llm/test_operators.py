@@ -589,6 +589,16 @@ def test_quality_counts(spark, tidy, nothing):
     assert quality_rules.keep(nothing).collect() == []
 
 
+def test_extreme_ratios_pass_no_fence(spark):
+    """A group of long words: what is far above its fence goes, its own words stay."""
+    r = random.Random(43)
+    word = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+    rows = [(i, " ".join(word(r.randrange(25, 31)) for _ in range(60)), "xx", "s0") for i in range(150)]
+    rows.append((999, " ".join(word(400) for _ in range(60)), "xx", "s0"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert {x["doc_id"] for x in quality_rules.measure(docs).where("not kept").collect()} == {999}
+
+
 def test_thresholds_follow_language_and_source(spark):
     """Symbols that are usual in one source are odd in another; groups that are too small take their language's fence."""
     r = random.Random(10)
