@@ -15,6 +15,8 @@
 Defined results: a null or wordless text has fingerprint zero and is linked like any other; fewer words than the
 shingle length make one shingle of the whole sequence; repeated rows each get a row; null ids never become a
 component id unless the whole component has none; other columns are dropped, so clashing names don't matter.
+
+``deduplicate`` is another relation: exact Jaccard similarity of shingle sets, with candidates from keys of minima.
 """
 
 from __future__ import annotations
