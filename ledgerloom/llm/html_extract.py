@@ -1,11 +1,12 @@
 """Main text of web pages from standard-library parser events.
 
-The parser's events become a list of text blocks, each with its element path, its length and the number of tags in it. Blocks of elements
+The parser's events become a list of text blocks, each with its element and its lines: a line ends where the block or the source line does. Blocks of elements
 that never hold the article (navigation, headers and footers of the page, asides, forms, notices, adverts, comments, scripts
-and so on, by element, ARIA role or class and id words) are left out. Over the remaining blocks, text-to-tag ratios are smoothed with a Gaussian
+and so on, by element, ARIA role or class and id words) are left out. Over the lines of the remaining blocks, text-to-tag ratios are smoothed with a Gaussian
 and clustered at a threshold; the heaviest cluster says which container holds the content, and all blocks of that
 container come out in page order, the short ones too. A marked ``article`` or ``main`` element whose text is a fair share of the page's is taken as
-the container where half of the cluster lies in it or the cluster holds half of it; elsewhere the cluster alone decides.
+the container where half of the cluster lies in it or the cluster holds half of it; elsewhere the cluster alone decides. Every page with text goes this way, and
+every step is linear in the page.
 
 Defined results: null and empty pages, and pages without text, give an empty text of 0 characters; unclosed and stray tags are read as
 browsers do (a paragraph ends where the next block starts); character references are decoded; one row for each input row, repeats too.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -44,32 +46,51 @@ SIGMA, SHARE, MOST = 1.5, 0.2, 0.6
 
 
 class Node:
-    """An element: ``drop`` if it never holds the article, ``soft`` if it is marked as furniture, ``main`` if as the article."""
+    """An element: ``drop`` if it never holds the article, ``soft`` if it is marked as furniture, ``main`` if as the article. ``home`` is the
+    nearest block or furniture element round it, itself included. Parents have lower serials than their children."""
 
-    __slots__ = ("tag", "parent", "drop", "serial", "main", "soft")
+    __slots__ = ("tag", "parent", "drop", "serial", "main", "soft", "home")
 
     def __init__(self, tag: str, parent: Node | None, drop: bool, serial: int, main: bool, soft: bool = False):
         self.tag, self.parent, self.drop, self.serial, self.main, self.soft = tag, parent, drop, serial, main, soft
+        self.home: Node = self if parent is None or tag in BLOCK or soft else parent.home
+
+
+@dataclass
+class Piece:
+    """A text block, with (characters, tags since the line before) of each of its lines."""
+
+    node: Node
+    text: str
+    lines: list[tuple[int, int]]
 
 
 class Blocks(HTMLParser):
-    """Collects [node of the enclosing block, text, tags] in page order."""
+    """Collects the text blocks in page order. A block's lines end where the source breaks lines. Open elements are found by tag, so the work is
+    linear in the page, however deep it is nested."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.node = Node("#root", None, False, 0, False)
-        self.blocks: list[tuple[Node, str, int]] = []
+        root = Node("#root", None, False, 0, False)
+        self.nodes, self.open = [root], [root]
+        self.at: dict[str, list[int]] = {}  # tag -> places of its open elements in ``open``
+        self.walls: list[int] = []  # places of open block elements
+        self.blocks: list[Piece] = []
         self.text: list[str] = []
-        self.tags, self.serial = 0, 0
+        self.lines: list[tuple[int, int]] = []
+        self.chars, self.tags = 0, 0
+
+    def end_line(self) -> None:
+        if self.chars:
+            self.lines.append((self.chars, self.tags))
+            self.chars = self.tags = 0
 
     def flush(self) -> None:
+        self.end_line()
         text = SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            node = self.node
-            while node.tag not in BLOCK and not node.soft and node.parent:
-                node = node.parent
-            self.blocks.append((node, text, self.tags))
-            self.tags = 0
+            self.blocks.append(Piece(self.open[-1].home, text, self.lines))
+        self.lines = []
         self.text.clear()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -93,8 +114,9 @@ class Blocks(HTMLParser):
                 if tag == "hr":
                     self.flush()
             return
-        up, drop, soft = self.node, self.node.drop, False
-        inside = self._inside(("article", "main"))
+        up, soft = self.open[-1], False
+        drop = up.drop
+        inside = bool(self.at.get("article") or self.at.get("main"))
         if not drop:
             drop = tag in DROP or (tag == "header" and not inside)
             a = dict(attrs)
@@ -107,48 +129,49 @@ class Blocks(HTMLParser):
                 soft &= tag not in ("article", "main")
         if (drop and not up.drop) or soft:
             self.flush()
-        self.serial += 1
-        self.node = Node(tag, up, drop, self.serial, not drop and (tag in ("article", "main") or ("role", "main") in attrs), soft)
+        node = Node(tag, up, drop, len(self.nodes), not drop and (tag in ("article", "main") or ("role", "main") in attrs), soft)
+        self.nodes.append(node)
+        self.at.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCK:
+            self.walls.append(len(self.open))
+        self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # a slash doesn't close an element
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        if tag in VOID:
-            return
-        self._close(tag)
-
-    def _inside(self, tags: tuple[str, ...]) -> bool:
-        node = self.node
-        while node:
-            if node.tag in tags:
-                return True
-            node = node.parent
-        return False
+        if tag not in VOID:
+            self._close(tag)
 
     def _close(self, tag: str, within: tuple[str, ...] = ()) -> None:
-        """Close the nearest open ``tag``; an inline end tag doesn't reach over a block."""
-        node = self.node
-        while node.parent and node.tag != tag:
-            if node.tag in within or (tag not in BLOCK and tag not in DROP and node.tag in BLOCK):
-                return
-            if tag == "p" and node.tag in BLOCK:
-                return
-            node = node.parent
-        if node.parent:
-            between = self.node
-            block = False
-            while between is not node.parent:
-                block |= between.tag in BLOCK or between.soft or between.drop != (between.parent.drop if between.parent else False)
-                between = between.parent
-            if block:
-                self.flush()
-            self.node = node.parent
+        """Close the nearest open ``tag``, unless an element of ``within`` lies between; an inline or paragraph end tag doesn't reach over a block."""
+        places = self.at.get(tag)
+        if not places:
+            return
+        place = places[-1]
+        if any(self.at[w][-1] > place for w in within if self.at.get(w)):
+            return
+        if (tag == "p" or (tag not in BLOCK and tag not in DROP)) and self.walls and self.walls[-1] > place:
+            return
+        shut = self.open[place:]
+        if any(n.tag in BLOCK or n.soft or n.drop != n.parent.drop for n in shut):
+            self.flush()
+        del self.open[place:]
+        for n in shut:
+            self.at[n.tag].pop()
+        while self.walls and self.walls[-1] >= place:
+            self.walls.pop()
 
     def handle_data(self, data: str) -> None:
-        if not self.node.drop:
-            self.text.append(data)
+        if self.open[-1].drop:
+            return
+        self.text.append(data)
+        first, *more = data.split("\n")
+        self.chars += len(first.strip())
+        for line in more:
+            self.end_line()
+            self.chars += len(line.strip())
 
 
 def smooth(x: list[float], sigma: float = SIGMA) -> list[float]:
@@ -163,30 +186,56 @@ def smooth(x: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
-def ancestors(node: Node) -> list[Node]:
-    out = []
-    while node:
-        out.append(node)
-        node = node.parent
+def upwards(nodes: list[Node], own: dict[int, float]) -> list[float]:
+    """For each element the sum over itself and all that is in it."""
+    total = [0.0] * len(nodes)
+    for s, w in own.items():
+        total[s] += w
+    for n in reversed(nodes[1:]):
+        total[n.parent.serial] += total[n.serial]
+    return total
+
+
+def downwards(nodes: list[Node], own: set[int]) -> list[bool]:
+    """For each element whether it or one round it is in ``own``."""
+    out = [False] * len(nodes)
+    for n in nodes:
+        out[n.serial] = n.serial in own or (n.parent is not None and out[n.parent.serial])
     return out
 
 
-def content(blocks: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+def weights(blocks: list[Piece], of=lambda b: len(b.text)) -> dict[int, float]:
+    own: dict[int, float] = {}
+    for b in blocks:
+        own[b.node.serial] = own.get(b.node.serial, 0) + of(b)
+    return own
+
+
+def content(blocks: list[Piece], nodes: list[Node]) -> list[Piece]:
     """Without the blocks of marked furniture. What is around the article or around most of the page is a wrapper, whatever its class says."""
-    total = sum(len(t) for _, t, _ in blocks)
-    weight: dict[int, int] = {}
-    wraps: set[int] = set()
-    for n, t, _ in blocks:
-        main = False
-        while n:
-            main |= n.main
-            if n.soft:
-                weight[n.serial] = weight.get(n.serial, 0) + len(t)
-                if main:
-                    wraps.add(n.serial)
-            n = n.parent
-    gone = {s for s, w in weight.items() if s not in wraps and w < MOST * total}
-    return [b for b in blocks if not any(n.serial in gone for n in ancestors(b[0]))] if gone else blocks
+    total = sum(len(b.text) for b in blocks)
+    weight = upwards(nodes, weights(blocks))
+    wraps = upwards(nodes, {n.serial: 1 for n in nodes if n.main and weight[n.serial]})
+    gone = downwards(nodes, {n.serial for n in nodes if n.soft and not wraps[n.serial] and weight[n.serial] < MOST * total})
+    return [b for b in blocks if not gone[b.node.serial]]
+
+
+def cluster(ratios: list[float], sizes: list[int]) -> tuple[int, int]:
+    """Range of lines: of the runs whose smoothed text-to-tag ratio reaches the threshold, the one with most text. The threshold is the ratios'
+    standard deviation, or 0.8 of the highest where that is less."""
+    x = smooth(ratios)
+    mean = sum(x) / len(x)
+    bar = min(math.sqrt(sum((r - mean) ** 2 for r in x) / len(x)), 0.8 * max(x))
+    best, most, start, held = (0, 0), -1, None, 0
+    for i, r in enumerate([*x, -1.0]):
+        if r >= bar:
+            start = i if start is None else start
+            held += sizes[i]
+        elif start is not None:
+            if held > most:
+                best, most = (start, i), held
+            start, held = None, 0
+    return best
 
 
 def extract(html: str | None) -> str:
@@ -197,57 +246,41 @@ def extract(html: str | None) -> str:
     p.feed(html)
     p.close()
     p.flush()
-    blocks = p.blocks
-    if not blocks:
-        return ""
-    blocks = content(blocks)
+    nodes = p.nodes
+    blocks = content(p.blocks, nodes)
     if not blocks:
         return ""
-    total = sum(len(t) for _, t, _ in blocks)
-    paths = [ancestors(n) for n, _, _ in blocks]
-    weight: dict[int, int] = {}
-    mains: dict[int, Node] = {}
-    for path, (_, t, _) in zip(paths, blocks, strict=True):
-        for n in path:
-            if n.main:
-                weight[n.serial] = weight.get(n.serial, 0) + len(t)
-                mains[n.serial] = n
-    marked = None
-    if mains:
+    lines = [(k, chars, tags) for k, b in enumerate(blocks) for chars, tags in b.lines]
+    lo, hi = cluster([c / max(1, t) for _, c, t in lines], [c for _, c, _ in lines])
+    core: dict[int, int] = {}  # block -> characters of its lines in the cluster
+    for k, c, _ in lines[lo:hi]:
+        core[k] = core.get(k, 0) + c
+    size = sum(core.values())
+    own: dict[int, float] = {}
+    for k, c in core.items():
+        own[blocks[k].node.serial] = own.get(blocks[k].node.serial, 0) + c
+    held = upwards(nodes, own)
+    weight = upwards(nodes, weights(blocks))
+    marked = [n for n in nodes if n.main and weight[n.serial]]
+    if marked:
         # the innermost marked element that still holds most of what the marked elements hold
-        best = max(weight.values())
-        serial = max(s for s, w in weight.items() if w >= 0.8 * best)
-        if weight[serial] >= SHARE * total:
-            marked = mains[serial]
-    ratio = smooth([len(t) / max(1, k) for _, t, k in blocks])
-    mean = sum(ratio) / len(ratio)
-    dev = math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio))
-    bar = min(dev, 0.8 * max(ratio))
-    runs, cur = [], []
-    for i, r in enumerate(ratio):
-        if r >= bar:
-            cur.append(i)
-        elif cur:
-            runs.append(cur)
-            cur = []
-    if cur:
-        runs.append(cur)
-    core = max(runs, key=lambda run: sum(len(blocks[i][1]) for i in run))
-    size = sum(len(blocks[i][1]) for i in core)
-    # a marked element is the container if half of the cluster lies in it or the cluster holds half of it
-    if marked and 2 * sum(len(blocks[i][1]) for i in core if marked in paths[i]) >= min(size, weight[marked.serial]):
-        return "\n".join(t for path, (_, t, _) in zip(paths, blocks, strict=True) if marked in path)
+        best = max(weight[n.serial] for n in marked)
+        node = [n for n in marked if weight[n.serial] >= 0.8 * best][-1]
+        # it is the container if it is a fair share of the page, and half of the cluster lies in it or the cluster holds half of it
+        if weight[node.serial] >= SHARE * weight[0] and 2 * held[node.serial] >= min(size, weight[node.serial]):
+            return joined(blocks, nodes, node)
     # the innermost element that holds nearly all of the cluster
-    held: dict[int, int] = {}
-    for i in core:
-        for n in paths[i]:
-            held[n.serial] = held.get(n.serial, 0) + len(blocks[i][1])
-    serial = max(s for s, w in held.items() if w >= 0.8 * size)
-    node = next(n for i in core for n in paths[i] if n.serial == serial)
+    node = [n for n in nodes if held[n.serial] >= 0.8 * size][-1]
     # a heading or paragraph beside the container belongs to it; other text beside it doesn't
-    while node.parent and all(n.tag in PROSE for path, (n, _, _) in zip(paths, blocks, strict=True) if node.parent in path and node not in path):
+    other = upwards(nodes, weights(blocks, lambda b: b.node.tag not in PROSE))
+    while node.parent and other[node.parent.serial] == other[node.serial]:
         node = node.parent
-    return "\n".join(t for path, (_, t, _) in zip(paths, blocks, strict=True) if node in path)
+    return joined(blocks, nodes, node)
+
+
+def joined(blocks: list[Piece], nodes: list[Node], container: Node) -> str:
+    inside = downwards(nodes, {container.serial})
+    return "\n".join(b.text for b in blocks if inside[b.node.serial])
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
