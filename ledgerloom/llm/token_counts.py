@@ -2,13 +2,11 @@
 
 Texts are cut before single spaces that stand between two non-space characters, once a piece has ``PIECE``
 characters. No piece of a byte-level pre-tokenizer runs over such a place (a piece takes a space only at its start), so counts of the
-parts add up to the count of the whole, and a very long text never meets the encoder at once. Parts go to the encoder
-in calls of about equal bytes.
+parts add up to the count of the whole, and a very long text never meets the encoder at once. The parts of an Arrow batch go to
+the encoder in calls of about equal UTF-8 bytes (``balanced``): many short texts share a call, a long one fills several.
 
-The reference is the library of the vocabulary file (``tokenizers`` for .json, ``sentencepiece`` for .model). Where the same
-byte-level vocabulary lies beside it as ranks, parts in which the two libraries cannot differ (characters below U+0250, no special
-string) are encoded from the ranks, which is several times faster; each worker first compares both on parts of its
-own data and stays with the reference library if they ever differ.
+Every part goes through the library of the vocabulary file: ``tokenizers`` for .json, ``sentencepiece`` for .model. Other
+vocabularies than byte-level ones have no safe places; their texts are not cut.
 
 Defined results: null counts as empty (0 bytes, 0 tokens); special strings inside texts are what the tokenizer file makes of them by default; no
 begin, end or added tokens; no truncation or padding; one row for each input row; extra columns are dropped.
@@ -16,100 +14,73 @@ begin, end or added tokens; no truncation or padding; one row for each input row
 
 from __future__ import annotations
 
-import base64
 import functools
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of a part at least before it is cut, and bytes that go to the encoder in one call.
-PIECE, CALL_BYTES = 1 << 15, 1 << 20
+#: Characters of a part at least before it is cut, and about the bytes that go to the encoder in one call.
+PIECE, CALL_BYTES = 1 << 15, 1 << 18
 OVER = 512
-#: Parts on which a worker compares the two libraries.
-PROBES = 12
 SAFE = re.compile(r"(?<=\S) (?=\S)")
-#: The character classes of the two libraries' patterns agree below this; others go to the reference library.
-_OTHER = re.compile(r"[^\x00-ɏ]")
 
 
-def plain(part: str) -> bool:
-    if part.isascii():
-        return True
-    try:
-        part.encode("latin-1")  # far faster than a search
-        return True
-    except UnicodeEncodeError:
-        return not _OTHER.search(part)
+def library(name: str) -> tuple[Callable[[list[str]], list[int]], bool]:
+    """Lengths of a list of texts in one call of the vocabulary's library, and whether texts may be cut at safe places."""
+    import public_tokenizers
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has its cores already
+    path = str(public_tokenizers.path(name))
+    if not name.endswith(".json"):
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        return lambda texts: [len(x) for x in sp.encode(texts, num_threads=1)], False
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    return lambda texts: [len(e) for e in tok.encode_batch_fast(texts, add_special_tokens=False)], tok.normalizer is None and "ByteLevel" in str(tok.pre_tokenizer)
+
+
+def balanced(sizes: list[int], call_bytes: int = CALL_BYTES) -> list[tuple[int, int]]:
+    """Ranges of parts for one call each: as many calls as the bytes need, cut where the running sum passes each call's equal share."""
+    total = sum(sizes)
+    calls = max(1, -(-total // call_bytes))
+    out, start, run = [], 0, 0
+    for i, n in enumerate(sizes):
+        run += n
+        if run * calls >= total * (len(out) + 1):
+            out.append((start, i + 1))
+            start = i + 1
+    return out if start == len(sizes) else [*out, (start, len(sizes))]
 
 
 class Encoder:
     def __init__(self, name: str):
-        import public_tokenizers
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has its cores already
-        path = str(public_tokenizers.path(name))
-        self.byte_level, self.ranks, self.special = False, None, []
-        if not name.endswith(".json"):
-            import sentencepiece
-
-            sp = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.each = lambda texts: [len(x) for x in sp.encode(texts, num_threads=1)]
-            return
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        tok.no_truncation()
-        tok.no_padding()
-        self.each = lambda texts: [len(e) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-        self.byte_level = tok.normalizer is None and "ByteLevel" in str(tok.pre_tokenizer)
-        self.special = [t.content for t in tok.get_added_tokens_decoder().values()]
-        twin = path.removesuffix(".json") + ".tiktoken"
-        if self.byte_level and os.path.exists(twin):
-            import tiktoken
-
-            with open(twin, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.probes = PROBES
-
-    def fast(self, part: str) -> int | None:
-        """The count from the ranks, or None where only the reference library may count."""
-        if self.ranks is None or not plain(part) or any(s in part for s in self.special):
-            return None
-        n = len(self.ranks.encode_ordinary(part))
-        if self.probes:
-            self.probes -= 1
-            if self.each([part])[0] != n:
-                self.ranks = None
-                return None
-        return n
-
-    def lengths(self, texts: list[str | None]) -> list[int]:
-        out, call, size = [0] * len(texts), [], 0
-
-        def send() -> None:
-            for (k, _), n in zip(call, self.each([p for _, p in call]), strict=True):
-                out[k] += n
-            call.clear()
+        self.encode, self.cuts = library(name)
 
+    def lengths(self, texts: list[str | None], sizes: list[int] | None = None) -> list[int]:
+        """Tokens of each text; ``sizes``: their UTF-8 bytes, where they are known."""
+        owner: list[int] = []
+        parts: list[str] = []
+        weights: list[int] = []
         for k, text in enumerate(texts):
-            for part in parts_of(text or "") if self.byte_level else [text or ""]:
-                if not part:
-                    continue
-                n = self.fast(part)
-                if n is not None:
-                    out[k] += n
-                    continue
-                call.append((k, part))
-                size += len(part)
-                if size >= CALL_BYTES:
-                    send()
-                    size = 0
-        send()
+            if not text:
+                continue
+            own = parts_of(text) if self.cuts and len(text) > PIECE else [text]
+            owner += [k] * len(own)
+            parts += own
+            weights += [sizes[k]] if sizes and len(own) == 1 else [len(p.encode("utf-8", "surrogatepass")) for p in own]
+        out = [0] * len(texts)
+        for a, b in balanced(weights):
+            for k, n in zip(owner[a:b], self.encode(parts[a:b]), strict=True):
+                out[k] += n
         return out
 
 
@@ -137,7 +108,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for b in batches:
-            n = pa.array(enc.lengths(b.column(2).to_pylist()), pa.int64())
+            n = pa.array(enc.lengths(b.column(2).to_pylist(), b.column(1).to_pylist()), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n], ["id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
