@@ -14,13 +14,15 @@
 
 Defined results: a null or wordless text has fingerprint zero and is linked like any other; fewer words than the
 shingle length make one shingle of the whole sequence; repeated rows each get a row; null ids never become a
-component id unless the whole component has none; other columns are dropped, so clashing names don't matter.
+component id unless the whole component has none; ids may be of any type that can be ordered; other columns are dropped, so clashing names don't matter.
 
-``deduplicate`` is another relation: exact Jaccard similarity of shingle sets, with candidates from keys of minima.
+``deduplicate`` links texts by the Jaccard similarity of their five-word shingle sets: longer fingerprints, compared by the same bit planes inside buckets of
+sets that share minima, give candidates, which are verified exactly.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
@@ -68,28 +70,28 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype="<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "id long, fp long")
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return src.mapInArrow(run, f"id {dict(src.dtypes)['id']}, fp long")
 
 
-def within(planes: np.ndarray, queries: np.ndarray, radius: int, block: int = 16) -> np.ndarray:
+def within(planes: np.ndarray, queries: np.ndarray, radius: int, block: int = 16, ignore: np.ndarray | None = None) -> np.ndarray:
     """Bit-sliced comparison.
 
     planes: (tiles, bits) words; lane i of word [t, b] is bit b of tile t's i-th fingerprint. queries: (tiles, q, bits // 64) fingerprints.
-    Gives (tiles, q) words whose set lanes are within ``radius`` of the query. Tiles all of whose lanes have passed the
-    radius are abandoned after each ``block`` planes.
+    Gives (tiles, q) words whose set lanes are within ``radius`` of the query; lanes set in ``ignore`` (tiles, q) don't count. A query leaves its tile's
+    block of 64 lanes as soon as all of them have passed the radius, which is looked at after each ``block`` planes.
     """
     tiles, q, words = queries.shape
     bits = words * 64
-    alive = np.arange(tiles)
-    result = np.zeros((tiles, q), dtype=np.uint64)
-    digits = [np.zeros((tiles, q), dtype=np.uint64) for _ in range(max(1, int(radius).bit_length()))]
-    over = np.zeros((tiles, q), dtype=np.uint64)
-    qs, ps = queries, planes
-    for start in range(0, bits, block):
+    result = np.zeros(tiles * q, dtype=np.uint64)
+    over = np.zeros(tiles * q, dtype=np.uint64) if ignore is None else ignore.reshape(-1)
+    alive = np.nonzero(over != _ALL)[0]
+    over, tile, qs = over[alive], alive // q, queries.reshape(-1, words)[alive]
+    digits = [np.zeros(len(alive), dtype=np.uint64) for _ in range(max(1, int(radius).bit_length()))]
+    for start in range(0, bits if len(alive) else 0, block):
         for b in range(start, start + block):
-            bit = (qs[:, :, b // 64] >> np.uint64(b % 64)) & np.uint64(1)
-            carry = ps[:, b, None] ^ (np.uint64(0) - bit)  # lanes that differ in this bit
+            bit = (qs[:, b // 64] >> np.uint64(b % 64)) & np.uint64(1)
+            carry = planes[tile, b] ^ (np.uint64(0) - bit)  # lanes that differ in this bit
             for d in digits:  # carry-save: add one bit to every lane's counter
                 both = carry & d
                 np.bitwise_xor(d, carry, out=d)
@@ -99,13 +101,13 @@ def within(planes: np.ndarray, queries: np.ndarray, radius: int, block: int = 16
         if start + block >= bits:
             result[alive] = ~passed
             break
-        live = (passed != _ALL).any(axis=1)
+        live = passed != _ALL
         if not live.all():
-            alive, qs, ps, over = alive[live], qs[live], ps[live], over[live]
+            alive, tile, qs, over = alive[live], tile[live], qs[live], over[live]
             digits = [d[live] for d in digits]
             if not len(alive):
                 break
-    return result
+    return result.reshape(tiles, q)
 
 
 def _greater(digits: list[np.ndarray], radius: int) -> np.ndarray:
@@ -129,15 +131,24 @@ def bit_planes(fps: np.ndarray) -> np.ndarray:
     return np.packbits(lanes, axis=2, bitorder="little").view("<u8").reshape(-1, 64 * words)
 
 
-def links_in_runs(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i > j within the radius. Rows are sorted by key; all rows of a key are compared."""
+_BELOW = np.array([(1 << i) - 1 for i in range(65)], dtype=np.uint64)  # the lowest i lanes
+
+
+def links_in_runs(keys: np.ndarray, fps: np.ndarray, radius: int, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs i > j within the radius. Rows are sorted by key, then by label if there are labels; all rows of a key with different labels are compared."""
     n, words = fps.shape
+    if not n:
+        return np.zeros(0, int), np.zeros(0, int)
     tiles = -(-n // 64)
     padded = np.zeros((tiles * 64, words), dtype=np.uint64)
     padded[:n] = fps
     planes, queries = bit_planes(padded), padded.reshape(-1, 64, words)
-    first = np.concatenate([[True], keys[1:] != keys[:-1]]) if n else np.zeros(0, bool)
-    begin = np.maximum.accumulate(np.where(first, np.arange(n), 0)) if n else np.zeros(0, int)
+    at = np.arange(n)
+    first = np.concatenate([[True], keys[1:] != keys[:-1]])
+    begin = np.full(tiles * 64, n)  # a row meets those from the begin of its key ...
+    begin[:n] = np.maximum.accumulate(np.where(first, at, 0))
+    end = np.zeros(tiles * 64, int)  # ... to the begin of its label, or to itself
+    end[:n] = at if labels is None else np.maximum.accumulate(np.where(first | np.concatenate([[True], labels[1:] != labels[:-1]]), at, 0))
     # the furthest tile back that a row of tile t still has to meet
     back = np.arange(tiles) - begin[np.arange(tiles) * 64] // 64
     left, right = [], []
@@ -146,17 +157,17 @@ def links_in_runs(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.nd
         for part in np.array_split(t, max(1, len(t) // 512)):
             if not len(part):
                 continue
-            hit = within(planes[part - off], queries[part], radius)
+            base = (part - off)[:, None] * 64
+            rows = part[:, None] * 64 + np.arange(64)
+            meet = _BELOW[np.clip(end[rows] - base, 0, 64)] & ~_BELOW[np.clip(begin[rows] - base, 0, 64)]
+            hit = within(planes[part - off], queries[part], radius, ignore=~meet)
             rows, cols = np.nonzero(hit)
             if not len(rows):
                 continue
             lanes = np.unpackbits(hit[rows, cols].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             r, lane = np.nonzero(lanes)
-            i = part[rows[r]] * 64 + cols[r]
-            j = (part[rows[r]] - off) * 64 + lane
-            ok = (j < i) & (i < n)
-            left.append(i[ok])
-            right.append(j[ok])
+            left.append(part[rows[r]] * 64 + cols[r])
+            right.append((part[rows[r]] - off) * 64 + lane)
     if not left:
         return np.zeros(0, int), np.zeros(0, int)
     return np.concatenate(left), np.concatenate(right)
@@ -299,10 +310,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Near copies: least similarity of shingle sets; minima in a key and keys of a set; keys whose buckets are first linked as stars.
 SIMILARITY, BAND, TABLES, STARS = 0.8, 8, 42, 12
-#: Rows of a bucket that are paired in one block; larger buckets are paired block by block, every block with every other.
+#: Bits of the fingerprints of shingle sets, and the radius within which two of them are candidates: at a similarity of 0.8 the expected
+#: distance is 155 with a standard deviation of 11.5.
+SET_BITS, SET_RADIUS = 1024, 192
+#: Rows of a bucket that are compared in one block; larger buckets are compared block by block, every block with every other.
 PART = 2048
-#: Not read any more: buckets have no pivots. The tests still set it.
-PIVOTS = 0
 
 
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -321,27 +333,42 @@ def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts, last, strict=True)], dtype="<u8"))
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A key for each table: hashed together from BAND minima, the table's number in the low six bits."""
+@functools.cache
+def _mixers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    r = np.random.default_rng(20)
+    odd = lambda n: r.integers(0, 1 << 64, n, dtype=np.uint64) | np.uint64(1)
+    return odd(BAND * TABLES), odd(BAND * TABLES), odd(SET_BITS // 8)
+
+
+def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of one set: a key for each table, hashed together from BAND minima with the table's number in the low six bits, and the SimHash of SET_BITS bits. Each
+    shingle adds a random signed byte to every bit's sum, so that sets of a few shingles follow the law of angles too."""
     import xxhash
 
     if not len(hashes):
-        return np.zeros(0, np.int64)
-    r = np.random.default_rng(20)
-    a, b = (r.integers(0, 1 << 64, BAND * TABLES, dtype=np.uint64) for _ in range(2))
-    a |= np.uint64(1)
-    low = np.full(BAND * TABLES, _ALL)
+        return np.zeros(0, np.int64), np.zeros(SET_BITS // 64, np.int64)
+    a, b, c = _mixers()
+    low, total = np.full(BAND * TABLES, _ALL), np.zeros(SET_BITS, np.float32)
     for i in range(0, len(hashes), 512):  # bounded memory however long the text is
         x = hashes[i : i + 512, None]
-        low = np.minimum(low, ((x ^ (x >> np.uint64(31))) * a + b).min(axis=0))
+        x = x ^ (x >> np.uint64(31))
+        low = np.minimum(low, (x * a + b).min(axis=0))
+        y = x * c
+        y ^= y >> np.uint64(32)
+        # sums of whole numbers, exact as long as a set has fewer than 100,000 shingles and off by parts per million beyond
+        total += np.ones(len(x), np.float32) @ y.view(np.int8).astype(np.float32)
     raw = low.astype("<u8").tobytes()
     keys = [(xxhash.xxh64_intdigest(raw[8 * BAND * t : 8 * BAND * (t + 1)], t) << 6 | t) & 0xFFFFFFFFFFFFFFFF for t in range(TABLES)]
-    return np.array(keys, dtype=np.uint64).view(np.int64)
+    return np.array(keys, dtype=np.uint64).view(np.int64), np.packbits(2 * total + np.float32(len(hashes)) > 0, bitorder="little").view("<i8")
 
 
 def expected_recall(similarity: float) -> float:
-    """Chance that two sets of this Jaccard similarity share a key."""
-    return 1 - (1 - similarity**BAND) ** TABLES
+    """Chance that two sets of equal size and this Jaccard similarity share a key and lie within the radius."""
+    from math import acos, comb, pi
+
+    p = acos(2 * similarity / (1 + similarity)) / pi
+    near = sum(comb(SET_BITS, k) * p**k * (1 - p) ** (SET_BITS - k) for k in range(SET_RADIUS + 1))
+    return (1 - (1 - similarity**BAND) ** TABLES) * near
 
 
 def similar(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: float, shingle: int, held: list) -> DataFrame:
@@ -361,31 +388,85 @@ def similar(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], similarit
     return both.where(shared >= F.lit(similarity) * (F.size("ga") + F.size("gb") - shared) - F.lit(1e-9)).select("a", "b")
 
 
-def cross_pairs(rows: DataFrame, part: int) -> DataFrame:
-    """(a, b) with a > b: all pairs of a bucket with different labels, from (key, s, label). A bucket above ``part`` rows is dealt into
-    parts by hash, and each part meets itself and every other one as a block of its own: exact, and no block is large."""
+def bucket_pairs(rows: DataFrame, radius: int, keys: list[str], stars: bool = False) -> DataFrame:
+    """(a, b) with a > b: pairs of one block (``keys``) with different labels whose fingerprints are within the radius, from
+    (keys, label, s, part, fp). ``stars``: only pairs with the block's first row. Blocks are compared one after the other by bit planes, in bounded memory."""
+
+    def pairs(block: np.ndarray, cols: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        s, part = cols["s"], cols["part"]
+        i, j = links_in_runs(block, cols["fp"], radius, None if stars else cols["label"])
+        if stars:
+            ok = np.concatenate([[True], block[1:] != block[:-1]])[j]
+        else:
+            split = cols["i"] != cols["j"]  # a block of two parts: only pairs across
+            ok = ~split[i] | (part[i] != part[j])
+        a, b = s[i[ok]], s[j[ok]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: dict[str, np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = {n: batch.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(names) if n != "fp"}
+            cols["fp"] = batch.column(len(names) - 1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(batch.num_rows, -1)
+            if rest is not None:
+                cols = {n: np.concatenate([rest[n], c]) for n, c in cols.items()}
+            block = _runs([cols[k] for k in keys])
+            last = block[-1]
+            cut = int(np.searchsorted(block, last))  # the last block may go on in the next batch
+            if stars and len(block) - cut > PART:
+                # a star needs only its hub from what has been seen
+                yield from pairs(block, cols)
+                rest = {n: c[cut : cut + 1] for n, c in cols.items()}
+                continue
+            if cut:
+                yield from pairs(block[:cut], {n: c[:cut] for n, c in cols.items()})
+            rest = {n: c[cut:] for n, c in cols.items()}
+        if rest is not None:
+            yield from pairs(_runs([rest[k] for k in keys]), rest)
+
+    names = [*keys, "label", "s", "part", "fp"]
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *(["s"] if stars else ["label", "s"])).select(*names)
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _runs(cols: list[np.ndarray]) -> np.ndarray:
+    """Numbers of the runs of equal rows."""
+    change = np.zeros(len(cols[0]), bool)
+    for c in cols:
+        change[1:] |= c[1:] != c[:-1]
+    return np.cumsum(change)
+
+
+def candidates(rows: DataFrame, part: int, radius: int) -> DataFrame:
+    """(a, b) with a > b: pairs of a bucket with different labels and fingerprints within the radius, from (key, s, label, fp). A bucket above ``part`` rows is
+    dealt into parts by hash, and each part meets itself and every other one as a block of its own: exact, and no block is large. Only pairs within the radius are
+    ever made."""
     of = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
     of = of.select("key", F.ceil(F.col("n") / part).cast("long").alias("parts"))
-    dealt = rows.join(of, "key").withColumn("p", F.pmod(F.xxhash64("s"), F.col("parts")))
-    left = dealt.select("key", F.col("s").alias("ls"), F.col("label").alias("ll"), F.col("p").alias("i"), F.explode(F.sequence(F.col("p"), F.col("parts") - 1)).alias("j"))
-    right = dealt.select("key", F.col("s").alias("rs"), F.col("label").alias("rl"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("p"))).alias("i"), F.col("p").alias("j"))
-    met = left.join(right, ["key", "i", "j"]).where("ll <> rl and (i < j or ls < rs)")
-    return met.select(F.greatest("ls", "rs").alias("a"), F.least("ls", "rs").alias("b")).distinct()
+    dealt = rows.join(of, "key").withColumn("part", F.pmod(F.xxhash64("s"), F.col("parts")))
+    blocks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("i"), F.greatest("part", o).alias("j")))
+    dealt = dealt.select("key", "s", "label", "part", "fp", F.explode(blocks).alias("x")).select("key", "x.i", "x.j", "label", "s", "part", "fp")
+    return bucket_pairs(dealt, radius, ["key", "i", "j"])
 
 
-def near_links(groups: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: float, shingle: int, held: list) -> DataFrame:
-    """(a, b): verified links that join all sets which a chain of verified candidate pairs joins, from distinct sets (s, keys)."""
+def near_links(groups: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: float, shingle: int, held: list, radius: int = SET_RADIUS) -> DataFrame:
+    """(a, b): verified links that join all sets which a chain of verified candidate pairs joins, from distinct sets (s, keys, fp)."""
     bands = groups.select("s", F.explode("keys").alias("key"))
-    buckets = materialize(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("s").alias("hub")).where("n > 1").select("key", "hub"), "near-buckets", held)
+    buckets = materialize(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "near-buckets", held)
     shared = materialize(bands.join(buckets, "key"), "near-rows", held)
+    prints = groups.select("s", "fp")
     # stars first: a large group of copies is joined by a link or a few for each member
-    star = shared.where((F.col("s") > F.col("hub")) & (F.col("key").bitwiseAND(F.lit(63)) < STARS)).select(F.col("s").alias("a"), F.col("hub").alias("b")).distinct()
-    first = materialize(similar(star, texts, similarity, shingle, held), "near-links")
+    zero = F.lit(0).cast("long")
+    star = shared.where(F.col("key").bitwiseAND(F.lit(63)) < STARS).join(prints, "s").select("key", F.col("s").alias("label"), "s", zero.alias("part"), "fp")
+    first = materialize(similar(bucket_pairs(star, radius, ["key"], stars=True), texts, similarity, shingle, held), "near-links")
     comp = components(first)
     # then every pair of a bucket that isn't joined yet
     rows = shared.join(comp, shared["s"] == comp["node"], "left").select("key", "s", F.coalesce("root", "s").alias("label"))
-    rows = materialize(rows, "near-labelled", held)
-    second = similar(cross_pairs(rows, PART), texts, similarity, shingle, held)
+    apart = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    rows = materialize(rows.join(apart, "key").join(prints, "s").select("key", "s", "label", "fp"), "near-labelled", held)
+    second = similar(candidates(rows, PART, radius), texts, similarity, shingle, held)
     return first.unionByName(second)
 
 
@@ -394,12 +475,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     last, ties go to the smallest set hash); of rows that repeat both, any one.
 
     Near copies are texts whose sets of ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or more, and what a chain of such pairs
-    joins. Candidates share a key of minima in one of many tables (``expected_recall``); every link is then verified on the sets
-    themselves, so nothing below the similarity is ever linked. Wordless texts are copies of each other.
+    joins. Sets that share a key of minima form a bucket; inside each bucket SimHash fingerprints are compared by bit planes, and pairs within the radius are
+    candidates (``expected_recall``). Every link is then verified on the sets themselves, so nothing below the similarity is ever linked. Wordless texts are
+    copies of each other.
     """
     inner, place, restore = shield(docs)
     i, at = place(id_col), docs.columns.index(text_col)
-    out = T.StructType([*inner.schema.fields, T.StructField("s", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    longs = T.ArrayType(T.LongType())
+    out = T.StructType([*inner.schema.fields, T.StructField("s", T.LongType()), T.StructField("keys", longs), T.StructField("fp", longs)])
     wire = arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,12 +491,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in batches:
             sets = [shingle_set(t, shingle) for t in b.column(at).to_pylist()]
             ids = np.array([xxhash.xxh64_intdigest(x.tobytes(), 7) if len(x) else 0 for x in sets], dtype=np.uint64).view(np.int64)
-            keys = pa.array([band_keys(x) for x in sets], wire.field(len(wire) - 1).type)
+            keys, fps = zip(*map(sketch, sets), strict=True) if sets else ((), ())
             cols = [c.cast(f.type) for c, f in zip(b.columns, wire, strict=False)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(ids), keys], schema=wire)
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(ids), *(pa.array(list(x), wire.field(len(wire) - 1).type) for x in (keys, fps))], schema=wire)
 
     rows = materialize(inner.mapInArrow(run, out), "fingerprinted")
-    groups = materialize(rows.groupBy("s").agg(F.min(i).alias("low"), F.first("keys").alias("keys")), "near-groups")
+    groups = materialize(rows.groupBy("s").agg(F.min(i).alias("low"), F.first("keys").alias("keys"), F.first("fp").alias("fp")), "near-groups")
 
     def texts(ids: DataFrame) -> DataFrame:
         # the id is a key too: thousands of copies share a set, but not an id
