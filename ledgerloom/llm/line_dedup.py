@@ -37,14 +37,28 @@ def keys_of(id_col: str, text_col: str) -> list[Column]:
     return [F.coalesce(F.col(id_col).cast("long"), F.expr("9223372036854775807L")).alias("k1"), F.xxhash64(F.col(text_col).cast("string")).alias("k2")]
 
 
+def ahead(ls: Column, i: Column, most: int, body) -> Column:
+    """``body`` over line i and the next ones, ``most`` lines in all at most, by place: no part of the array is copied."""
+    return F.transform(F.sequence(F.lit(0), F.least(F.lit(most), F.size(ls) - i) - 1), lambda k: body(F.get(ls, i + k)))
+
+
+def shortest(words: Column, least: int) -> Column:
+    """Number of leading entries whose words reach ``least``, null if all together don't."""
+    start = F.struct(F.lit(0).alias("w"), F.lit(0).alias("n"))
+    got = F.aggregate(words, start, lambda a, w: F.when(a["w"] >= least, a).otherwise(F.struct((a["w"] + w).alias("w"), (a["n"] + 1).alias("n"))))
+    return let(got, lambda g: F.when(g["w"] >= least, g["n"]))
+
+
+def hash_of(ls: Column, i: Column, n: Column) -> Column:
+    return F.xxhash64(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.get(ls, i + k)["h"]))
+
+
 def span_hashes(lines: Column) -> Column:
     """For each line the hash of the shortest span with SPAN_WORDS words, null if the text ends before."""
 
     def one(ls: Column, i: Column) -> Column:
-        ahead = F.slice(ls, i + 1, F.lit(SPAN_WORDS))  # every line has a word
-        start = F.struct(F.lit(0).alias("w"), F.lit(0).alias("n"))
-        got = F.aggregate(ahead, start, lambda a, x: F.when(a["w"] >= SPAN_WORDS, a).otherwise(F.struct((a["w"] + x["w"]).alias("w"), (a["n"] + 1).alias("n"))))
-        return let(got, lambda g: F.when(g["w"] >= SPAN_WORDS, F.xxhash64(F.transform(F.slice(ls, i + 1, g["n"]), lambda x: x["h"]))))
+        n = shortest(ahead(ls, i, SPAN_WORDS, lambda x: x["w"]), SPAN_WORDS)  # every line has a word
+        return let(n, lambda n: F.when(n.isNotNull(), hash_of(ls, i, n)))
 
     return let(lines, lambda ls: F.transform(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: one(ls, i)))
 
@@ -53,38 +67,42 @@ def selected(lines: Column, spans: Column) -> Column:
     """Distinct (position, span hash) of the minima of all windows, ties to the right."""
 
     def minimum(rows: Column, i: Column) -> Column:
-        ahead = F.slice(rows, i + 1, F.lit(REACH_WORDS + 1))
         start = F.struct(F.lit(0).alias("before"), F.lit(None).cast("long").alias("h"), F.lit(-1).alias("p"), i.alias("at"))
 
         def step(a: Column, x: Column) -> Column:
             better = (a["before"] <= REACH_WORDS) & x["g"].isNotNull() & (a["h"].isNull() | (x["g"] <= a["h"]))
             return F.struct((a["before"] + x["w"]).alias("before"), F.when(better, x["g"]).otherwise(a["h"]).alias("h"), F.when(better, a["at"]).otherwise(a["p"]).alias("p"), (a["at"] + 1).alias("at"))
 
-        return let(F.aggregate(ahead, start, step), lambda a: F.struct(a["p"].alias("p"), a["h"].alias("h")))
+        return let(F.aggregate(ahead(rows, i, REACH_WORDS + 1, lambda x: x), start, step), lambda a: F.struct(a["p"].alias("p"), a["h"].alias("h")))
 
     rows = F.zip_with(lines, spans, lambda x, g: F.struct(x["w"].alias("w"), g.alias("g")))
     minima = let(rows, lambda r: F.transform(F.sequence(F.lit(0), F.size(r) - 1), lambda i: minimum(r, i)))
-    return F.array_distinct(F.filter(minima, lambda m: m["p"] >= 0))
+    # both ends of the windows only move on, and so do their minima: equal ones are neighbours
+    return let(minima, lambda m: F.filter(m, lambda x, i: (x["p"] >= 0) & ((i == 0) | (x["p"] != F.get(m, i - 1)["p"]))))
+
+
+_FIELD = 1 << 31
 
 
 def windows(lines: Column, words: int) -> Column:
-    """Distinct (position, lines) of the shortest runs of lines with ``words`` words that start or end at each line. A longer run is the union of
+    """Distinct position * 2^31 + lines of the shortest runs of lines with ``words`` words that start or end at each line. A longer run is the union of
     those inside it: a line that the run's first window leaves out has ``words`` words of the run before it."""
-    start = F.struct(F.lit(0).alias("w"), F.lit(0).alias("n"))
-
-    def shortest(ls: Column) -> Column:
-        return F.aggregate(ls, start, lambda a, x: F.when(a["w"] >= words, a).otherwise(F.struct((a["w"] + x["w"]).alias("w"), (a["n"] + 1).alias("n"))))
 
     def both(ls: Column, i: Column) -> Column:
-        ahead = shortest(F.slice(ls, i + 1, F.lit(words)))  # every line has a word
-        back = shortest(F.reverse(F.slice(ls, F.greatest(i + 2 - words, F.lit(1)), F.least(i + 1, F.lit(words)))))
-        run = lambda g, p: F.when(g["w"] >= words, F.struct(p.cast("int").alias("p"), g["n"].alias("n")))
-        return F.array(let(ahead, lambda g: run(g, i)), let(back, lambda g: run(g, i - g["n"] + 1)))
+        on = shortest(ahead(ls, i, words, lambda x: x["w"]), words)  # every line has a word
+        back = shortest(F.transform(F.sequence(F.lit(0), F.least(F.lit(words), i + 1) - 1), lambda k: F.get(ls, i - k)["w"]), words)
+        return F.array(i.cast("long") * _FIELD + on, let(back, lambda n: (i - n + 1).cast("long") * _FIELD + n))
 
     found = let(lines, lambda ls: F.flatten(F.transform(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: both(ls, i))))
     return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
 
 
+def counts_before(places: Column, n: Column) -> Column:
+    """For each of the places 0 to n, how many of the sorted distinct ``places`` are smaller."""
+    steps = lambda p: F.transform(p, lambda q, i: F.array_repeat(i, q - F.coalesce(F.get(p, i - 1), F.lit(-1))))
+    return let(places, lambda p: F.concat(F.flatten(steps(p)), F.array_repeat(F.size(p), n - F.coalesce(F.get(p, F.size(p) - 1), F.lit(-1)))))
+
+
 def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run_words: int = MIN_RUN_WORDS, held: list | None = None) -> DataFrame:
     """(k1, k2, gone): numbers of the lines that go, for texts that lose any."""
     held = [] if held is None else held
@@ -97,15 +115,24 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     hit = materialize(prints.join(twice, "h").groupBy("k1", "k2").agg(F.collect_set("p").alias("places")), "matches", held)
     # one row for each text: repeated rows share a key
     need = lines.join(hit, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-    near = F.filter(windows(F.col("lines"), min_run_words), lambda x: F.exists("places", lambda q: (q >= x["p"]) & (q < x["p"] + x["n"])))
-    runs = need.select("k1", "k2", "lines", F.explode(near).alias("x"))
-    own = F.slice("lines", F.col("x.p") + 1, F.col("x.n"))
-    runs = runs.select("k1", "k2", F.col("x.p").alias("p"), F.xxhash64(F.transform(own, lambda x: x["h"])).alias("h"), F.transform(own, lambda x: x["i"]).alias("own"))
+    # windows that hold a place: counts of places before both ends differ
+    at = lambda x: F.floor(x / _FIELD).cast("int")
+    size = lambda x: (x % _FIELD).cast("int")
+    runs = let(
+        F.struct("lines", counts_before(F.sort_array("places"), F.size("lines")).alias("upto")),
+        lambda z: F.transform(
+            F.filter(windows(z["lines"], min_run_words), lambda x: F.get(z["upto"], at(x) + size(x)) > F.get(z["upto"], at(x))),
+            lambda x: F.struct(
+                at(x).alias("p"), hash_of(z["lines"], at(x), size(x)).alias("h"), F.transform(F.sequence(F.lit(0), size(x) - 1), lambda k: F.get(z["lines"], at(x) + k)["i"]).alias("own")
+            ),
+        ),
+    )
+    runs = need.select("k1", "k2", F.explode(runs).alias("x")).select("k1", "k2", "x.p", "x.h", "x.own")
     runs = materialize(runs, "runs", held)
     first = runs.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
     first = materialize(first.select("h", "first"), "first-places", held)
     later = runs.join(first, "h").where(place != F.col("first"))
-    return later.groupBy("k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("own")))).alias("gone"))
+    return later.groupBy("k1", "k2").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("own")))).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run_words: int = MIN_RUN_WORDS, removed: str | None = None) -> DataFrame:
@@ -121,13 +148,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = inner.withColumns({"k1": k1, "k2": k2})
     # hashed at every size: the deletions grow with the corpus, so they are never broadcast, and texts need no sort
     out = rows.join(hit.hint("shuffle_hash"), (F.col("k1") == F.col("g1")) & (F.col("k2") == F.col("g2")), "left")
-    # the kept stretches between deleted lines, which are sorted
+    # lines whose number isn't deleted: the counts of deletions before both their ends are equal
     left = let(
         F.split(F.col(t).cast("string"), "\n"),
-        lambda ls: let(
-            F.aggregate(F.col("gone"), F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), lambda x, g: F.struct((g + 1).alias("at"), F.concat(x["out"], F.slice(ls, x["at"] + 1, g - x["at"])).alias("out"))),
-            lambda x: F.array_join(F.concat(x["out"], F.slice(ls, x["at"] + 1, F.size(ls))), "\n"),
-        ),
+        lambda ls: let(counts_before(F.col("gone"), F.size(ls)), lambda c: F.array_join(F.filter(ls, lambda x, i: F.get(c, i) == F.get(c, i + 1)), "\n")),
     )
     out = out.withColumn(t, F.when(F.col("gone").isNull(), F.col(t)).otherwise(left.cast(inner.schema[t].dataType)))
     if not removed:
