@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLOTS, SHARDS = 65_537, 64
@@ -45,13 +45,20 @@ def lookup_table(shards: list[str], slots: int = SLOTS) -> list[int]:
                 return table
 
 
+def slot_table(spark: SparkSession, names: list[str], slots: int = SLOTS) -> DataFrame:
+    """(slot, shard) as a table that SQL functions make from two literals: no rows pass through Python."""
+    filled = ",".join(map(str, lookup_table(names, slots)))
+    rows = spark.range(1, numPartitions=1).select(F.posexplode(F.split(F.lit(filled), ",")).alias("slot", "i"))
+    return rows.select("slot", F.get(F.array(*[F.lit(n) for n in names]), F.col("i").cast("int")).alias("shard"))
+
+
 def place(docs: DataFrame, keys: list[str] | str = "doc_id", shards: list[str] | int = SHARDS, slots: int = SLOTS) -> DataFrame:
     """(keys, slot, shard): one row for each input row."""
-    spark = docs.sparkSession
     names = [f"shard-{i:05d}" for i in range(shards)] if isinstance(shards, int) else list(shards)
     keys = [keys] if isinstance(keys, str) else list(keys)
-    filled = [(k, names[i]) for k, i in enumerate(lookup_table(names, slots))]
-    table = spark.createDataFrame(filled, "slot int, shard string")
+    table = slot_table(docs.sparkSession, names, slots).select(F.col("slot").alias("_slot"), F.col("shard").alias("_shard"))
     # a null changes nothing in the hash; the flag tells (null, 1) from (1, null)
     slot = F.pmod(F.xxhash64(*[x for k in keys for x in (F.col(k), F.col(k).isNull())]), F.lit(slots)).cast("int")
-    return docs.select(*keys, slot.alias("slot")).join(F.broadcast(table), "slot").select(*keys, "slot", "shard")
+    inner = docs.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], slot.alias("s"))
+    out = inner.join(F.broadcast(table), F.col("s") == F.col("_slot"))  # as many rows as slots, whatever the data
+    return out.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], F.col("s").alias("slot"), F.col("_shard").alias("shard"))
