@@ -2,7 +2,7 @@
 
 Documents are cut into sequences of at most ``max_len`` tokens. A global histogram of sequence lengths, whose size is bounded by ``max_len``, goes to the
 driver, where dynamic programming chooses the ``buckets`` boundaries that minimise padding. Inside each bucket,
-batches of a fixed token budget are formed: a bucket's rows are dealt to groups by hash, so many groups that each holds
+batches of a fixed token budget are formed: a bucket's rows are dealt to groups by a hash of their row number, so many groups that each holds
 about ``GROUP_BATCHES`` batches whatever the bucket's size, and rows are numbered within their group. One hot length only
 means more groups.
 
@@ -48,22 +48,24 @@ def optimal_boundaries(histogram: dict[int, int], buckets: int) -> list[int]:
 
 
 def sequences(lengths: DataFrame, id_col: str, n_col: str, max_len: int) -> DataFrame:
-    """(id, seq_no, seq_tokens): full sequences and the rest of each document."""
+    """(id, _row, seq_no, seq_tokens): full sequences and the rest of each document."""
     n = F.col(n_col)
     nos = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / max_len).cast("long"))).alias("seq_no")
-    rows = lengths.where(n > 0).select(F.col(id_col), n.alias("_n"), nos)
-    return rows.select(id_col, "seq_no", F.least(F.lit(max_len).cast("long"), F.col("_n") - F.col("seq_no") * max_len).alias("seq_tokens"))
+    rows = lengths.where(n > 0).select(F.col(id_col), "_row", n.alias("_n"), nos)
+    return rows.select(id_col, "_row", "seq_no", F.least(F.lit(max_len).cast("long"), F.col("_n") - F.col("seq_no") * max_len).alias("seq_tokens"))
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", max_len: int = MAX_LEN, buckets: int = BUCKETS, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
     """(id_col, seq_no, seq_tokens, bucket_len, batch_id): one row for each sequence; a batch has at most
     ``batch_tokens`` tokens, padding to its bucket's length counted."""
-    lengths = materialize(count_tokens(docs, tokenizer, id_col, text_col).select(id_col, "n_tokens"), "token-counts")
+    lengths = count_tokens(docs, tokenizer, id_col, text_col).select(id_col, "n_tokens")
     return pack_lengths(lengths, id_col, "n_tokens", max_len, buckets, batch_tokens)
 
 
 def pack_lengths(lengths: DataFrame, id_col: str = "doc_id", n_col: str = "n_tokens", max_len: int = MAX_LEN, buckets: int = BUCKETS, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
-    seqs = sequences(lengths, id_col, n_col, max_len)
+    # rows get numbers that are written with them: null and repeated ids are dealt to groups like any others, and a retried task reads the same numbers
+    numbered = materialize(lengths.select(id_col, n_col).withColumn("_row", F.monotonically_increasing_id()), "token-counts")
+    seqs = sequences(numbered, id_col, n_col, max_len)
     histogram = {r["seq_tokens"]: r["n"] for r in seqs.groupBy("seq_tokens").agg(F.count("*").alias("n")).collect()}  # max_len rows at most
     bounds = optimal_boundaries(histogram, buckets)
     if not bounds:
@@ -79,7 +81,7 @@ def pack_lengths(lengths: DataFrame, id_col: str = "doc_id", n_col: str = "n_tok
     for b, each, g in reversed(plan):
         at = F.col("seq_tokens") <= b
         bucket, rows_each, groups = F.when(at, b).otherwise(bucket), F.when(at, each).otherwise(rows_each), F.when(at, g).otherwise(groups)
-    dealt = seqs.select(id_col, "seq_no", "seq_tokens", bucket.cast("long").alias("bucket_len"), rows_each.alias("_each"), F.pmod(F.xxhash64(id_col, "seq_no", "seq_tokens"), groups.cast("long")).alias("_group"))
-    order = Window.partitionBy("bucket_len", "_group").orderBy(F.xxhash64(id_col, "seq_no"), id_col, "seq_no")
+    dealt = seqs.select(id_col, "_row", "seq_no", "seq_tokens", bucket.cast("long").alias("bucket_len"), rows_each.alias("_each"), F.pmod(F.xxhash64("_row", "seq_no"), groups.cast("long")).alias("_group"))
+    order = Window.partitionBy("bucket_len", "_group").orderBy(F.xxhash64("_row", "seq_no", F.lit(1)), "_row", "seq_no")
     batch = F.floor((F.row_number().over(order) - 1) / F.col("_each"))
     return dealt.select(id_col, "seq_no", "seq_tokens", "bucket_len", F.concat_ws("-", "bucket_len", "_group", batch.cast("string")).alias("batch_id"))
