@@ -10,7 +10,7 @@ earliest place of its own, whichever texts hold parts of it, and longer runs are
 third of all documents costs a few rows for each of them. What is deleted stands earlier in the same order, so the first copy of every line stays.
 
 Defined results: null, empty and wordless texts stay as they are; lines without a word between deleted lines stay; rows that repeat
-both id and text count as one place and lose the same lines; null ids come last; a text may lose all its lines and is then empty; an empty table gives an
+both id and text count as one place and lose the same lines; ids that aren't whole numbers are ordered as strings, null ids come last; a text may lose all its lines and is then empty; an empty table gives an
 empty result; all columns of the input come back, clashing names too, and every row stays.
 """
 
@@ -30,11 +30,16 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     bare = lambda x: F.regexp_replace(x, rf"^[{WS}]+|[{WS}]+$", "")
     lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), F.xxhash64(bare(x)).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("w")))
     lines = F.filter(lines, lambda x: x["w"] > 0)
-    return docs.where(text.isNotNull()).select(*keys_of(id_col, text_col), lines.alias("lines")).where(F.size("lines") > 0)
+    return docs.where(text.isNotNull()).select(*keys_of(docs, id_col, text_col), lines.alias("lines")).where(F.size("lines") > 0)
 
 
-def keys_of(id_col: str, text_col: str) -> list[Column]:
-    return [F.coalesce(F.col(id_col).cast("long"), F.expr("9223372036854775807L")).alias("k1"), F.xxhash64(F.col(text_col).cast("string")).alias("k2")]
+def keys_of(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """Id and hash of the text, in an order in which null ids come last."""
+    if dict(docs.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint"):
+        key = F.coalesce(F.col(id_col).cast("long"), F.expr("9223372036854775807L"))
+    else:
+        key = F.coalesce(F.concat(F.lit("0"), F.col(id_col).cast("string")), F.lit("1"))
+    return [key.alias("k1"), F.xxhash64(F.col(text_col).cast("string")).alias("k2")]
 
 
 def ahead(ls: Column, i: Column, most: int, body) -> Column:
@@ -144,7 +149,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = materialize(deletions(inner, i, t, min_run_words, held), "deletions")
     release(docs.sparkSession, held)
     hit = gone.select(F.col("k1").alias("g1"), F.col("k2").alias("g2"), "gone")
-    k1, k2 = keys_of(i, t)
+    k1, k2 = keys_of(inner, i, t)
     rows = inner.withColumns({"k1": k1, "k2": k2})
     # hashed at every size: the deletions grow with the corpus, so they are never broadcast, and texts need no sort
     out = rows.join(hit.hint("shuffle_hash"), (F.col("k1") == F.col("g1")) & (F.col("k2") == F.col("g2")), "left")
