@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +19,8 @@ WS = r"\x20\x09-\x0D"
 WORD = rf"[^{WS}]+"
 
 _fallback: dict[str, str] = {}
-_made: list[str] = []
+#: Tables written in the current run (``tables_of_run``), if there is one: threads and runs don't see each other's.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = tempfile.mkdtemp(prefix="ledgerloom-")
+        atexit.register(shutil.rmtree, _fallback[app], ignore_errors=True)
     return _fallback[app]
 
 
@@ -52,7 +58,9 @@ def materialize(df: DataFrame, label: str, held: list | None = None) -> DataFram
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    _made.append(path)
+    made = _made.get()
+    if made is not None:
+        made.append(path)
     if held is not None:
         held.append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -67,15 +75,20 @@ def release(spark: SparkSession, held: list[str]) -> None:
     held.clear()
 
 
-def mark() -> int:
-    """A place in the list of written tables, for ``sweep``."""
-    return len(_made)
+@contextmanager
+def tables_of_run() -> Iterator[list[str]]:
+    """Collects the tables that are written inside, for ``sweep``. Other runs in the same process have lists of their own."""
+    token = _made.set([])
+    try:
+        yield _made.get()
+    finally:
+        _made.reset(token)
 
 
-def sweep(spark: SparkSession, since: int, keep: str) -> None:
-    """Delete the tables written since the mark, but the one under ``keep``: what has been read into it isn't needed any more."""
-    gone = [p for p in _made[since:] if f"/{keep}-" not in p]
-    _made[since:] = [p for p in _made[since:] if p not in gone]
+def sweep(spark: SparkSession, made: list[str], keep: str) -> None:
+    """Delete the tables of a run, but the one under ``keep``: what has been read into it isn't needed any more."""
+    gone = [p for p in made if f"/{keep}-" not in p]
+    made[:] = [p for p in made if p not in gone]
     release(spark, gone)
 
 

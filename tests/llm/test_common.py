@@ -24,10 +24,14 @@ def test_shared_folder_comes_from_the_session():
 
 
 def test_tables_are_written_and_swept(spark):
-    since = common.mark()
-    a = common.materialize(spark.range(5), "one")
-    b = common.materialize(a.where("id > 1"), "two")
-    common.sweep(spark, since, "two")
+    with common.tables_of_run() as made:
+        a = common.materialize(spark.range(5), "one")
+        with common.tables_of_run() as other:
+            inner = common.materialize(spark.range(7), "inner")
+        b = common.materialize(a.where("id > 1"), "two")
+        assert len(made) == 2 and len(other) == 1
+        common.sweep(spark, made, "two")
+    assert inner.count() == 7  # another run's table stays
     assert sorted(r["id"] for r in b.collect()) == [2, 3, 4]
     held = []
     c = common.materialize(spark.range(1), "three", held)

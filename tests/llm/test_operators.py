@@ -275,6 +275,44 @@ def test_training_bytes_are_bounded_by_class_in_hash_order():
     assert quality_model.within_bytes([(0, 1, 1, 900), (0, 2, 2, 20), (1, 3, 3, 20)], 100) == [2, 3]
 
 
+def brute_score(model, text):
+    """The network by its definition: loops over windows, chunks and filters, in double precision."""
+    z = quality_model
+    x = list((text or "").encode() or b"\0")
+    x += [0] * (z.WIDTH - len(x) if len(x) < z.WIDTH else -(len(x) - z.WIDTH) % z.STRIDE)
+    act = []
+    for at in range(0, len(x) - z.WIDTH + 1, z.STRIDE):
+        v = sum(model.emb[x[at + k]].astype(float) @ model.conv[k].astype(float) for k in range(z.WIDTH))
+        act.append(np.maximum(v + model.cb, 0))
+    n = len(act)
+    starts = {0} if n <= z.CHUNK else {*range(0, n - z.CHUNK + 1, z.CHUNK // 2), n - z.CHUNK}
+    best = np.full(z.HIDDEN, -np.inf)
+    for s in starts:
+        part = np.array(act[s : s + z.CHUNK])
+        feature = np.concatenate([part.mean(0), np.sqrt((part**2).mean(0) + 1e-6)])
+        best = np.maximum(best, np.maximum(feature @ model.dense + model.db, 0))
+    return 1 / (1 + np.exp(-(best @ model.out + model.ob[0])))
+
+
+def test_scores_are_brute_force(spark):
+    r = random.Random(17)
+    model = quality_model.new_model()
+    model.out += 0.3
+    texts = [None, "", "a", "naïve", "日本語 text " * 30] + ["".join(r.choice("abc é#%\n") for _ in range(r.randrange(1, 900))) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for x in quality_model.score(docs, model).collect():
+        assert abs(x["score"] - brute_score(model, texts[x["doc_id"]])) < 1e-3, texts[x["doc_id"]]
+
+
+def test_held_out_accuracy(spark):
+    """On labelled rows that training never sees."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    out = quality_model.score(docs, quality_model.fit(docs, labels)).join(labels, "doc_id").where("held_out").collect()
+    assert len(out) > 60
+    assert np.mean([x["predicted"] == x["quality"] for x in out]) >= 0.9
+
+
 def test_slabs_and_chunks_agree():
     model = quality_model.new_model()
     tables = model.tables()
@@ -300,6 +338,28 @@ def test_token_counts_are_the_library_s(texts):
     assert token_counts.encoder("byte_bpe_50k.json").lengths(texts) == library_counts(texts)
 
 
+def test_calls_are_balanced_by_bytes(monkeypatch):
+    """Every part goes through the library, in calls of about equal bytes; long texts are spread over several."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    r = random.Random(16)
+    for _ in range(50):
+        sizes = [r.choice([1, 10, 1000, 30_000]) for _ in range(r.randrange(1, 200))]
+        ranges = token_counts.balanced(sizes, 50_000)
+        assert [x for a, b in ranges for x in range(a, b)] == list(range(len(sizes)))
+        sums = [sum(sizes[a:b]) for a, b in ranges]
+        assert max(sums) <= sum(sizes) / max(1, -(-sum(sizes) // 50_000)) + max(sizes)
+    enc, calls = token_counts.Encoder("byte_bpe_50k.json"), []
+    own = enc.encode
+    enc.encode = lambda parts: calls.append(sum(len(p.encode()) for p in parts)) or own(parts)
+    texts = ["naïve text " * r.randrange(1, 400) for _ in range(300)] + [None, "", "long words and é " * 60_000]
+    tok = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    assert enc.lengths(texts) == [len(tok.encode(t or "", add_special_tokens=False)) for t in texts]
+    total = sum(len((t or "").encode()) for t in texts)
+    assert sum(calls) == total and len(calls) >= total // token_counts.CALL_BYTES and max(calls) < 2 * token_counts.CALL_BYTES
+
+
 def test_long_texts_are_cut_at_safe_places(monkeypatch):
     r = random.Random(2)
     text = "".join(r.choice(["a", " ", "  ", "\n", " b", "don't ", "日本", "7 "]) for _ in range(20_000))
@@ -422,6 +482,28 @@ def test_line_dedup_with_several_holders(spark):
     assert got == want
 
 
+def test_line_dedup_of_many_equal_lines(spark):
+    """Linear in the lines of a text: 20,000 equal ones within seconds of what fifty take."""
+    import time
+
+    line = words(random.Random(13), 18)
+    took = []
+    for n in (50, 50, 20_000):
+        docs = spark.createDataFrame([(1, "\n".join([line] * n)), (2, "\n".join([line] * 4))], "doc_id long, text string")
+        start = time.time()
+        got = {x["doc_id"]: (x["n"], x["text"]) for x in line_dedup.dedup_lines(docs, removed="n").collect()}
+        took.append(time.time() - start)
+        assert got == {1: (n - 1, line) if n > 3 else None, 2: (4, "")} or got == {1: (n - 3, "\n".join([line] * 3)), 2: (4, "")}
+    assert took[2] < took[1] + 30
+
+
+def test_line_dedup_with_other_ids(spark):
+    line = words(random.Random(14), 60)
+    docs = spark.createDataFrame([("b", line), ("a", line), (None, line), ("a", "own")], "doc_id string, text string")
+    got = sorted((x["doc_id"] or "", x["text"]) for x in line_dedup.dedup_lines(docs).collect())
+    assert got == [("", ""), ("a", line), ("a", "own"), ("b", "")]
+
+
 def test_line_dedup_awkward(tidy, nothing):
     out = line_dedup.dedup_lines(tidy)
     assert out.columns == tidy.columns and out.count() == tidy.count()
@@ -467,6 +549,49 @@ def test_html_cluster_decides_where_the_mark_misleads():
     assert text.count("\n") == 5 and "Teaser" not in text
 
 
+def brute_cluster(ratios, sizes):
+    """Smoothing by the formula over all lines, the threshold by the definition, every range of lines tried."""
+    import math
+
+    n = len(ratios)
+    g = lambda d: math.exp(-d * d / (2 * 1.5**2)) if abs(d) <= 4 else 0
+    x = [sum(g(i - j) * ratios[j] for j in range(n)) / sum(g(i - j) for j in range(n)) for i in range(n)]
+    bar = min(np.std(x), 0.8 * max(x))
+    ranges = [(i, j) for i in range(n) for j in range(i + 1, n + 1) if all(v >= bar for v in x[i:j])]
+    return max(ranges, key=lambda r: (sum(sizes[r[0] : r[1]]), r[1] - r[0], -r[0]))
+
+
+def test_html_clusters_are_brute_force():
+    r = random.Random(15)
+    for _ in range(200):
+        sizes = [r.choice([1, 5, 20, 200, 400]) for _ in range(r.randrange(1, 25))]
+        ratios = [c / r.choice([1, 1, 2, 5]) for c in sizes]
+        lo, hi = html_extract.cluster(ratios, sizes)
+        a, b = brute_cluster(ratios, sizes)
+        assert sum(sizes[lo:hi]) == sum(sizes[a:b])
+
+
+def test_html_every_page_goes_through_the_clusters(monkeypatch):
+    """All pages of sf0.01 with text reach the clustering, with a line for each line of their blocks."""
+    import pyarrow.parquet as pq
+
+    calls = []
+    monkeypatch.setattr(html_extract, "cluster", lambda ratios, sizes, do=html_extract.cluster: calls.append(len(ratios)) or do(ratios, sizes))
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    texts = [html_extract.extract(h) for h in pages]
+    assert len(calls) == len(pages) and all(n >= t.count("\n") + 1 for n, t in zip(calls, texts, strict=True))
+    assert html_extract.extract("<p>one\ntwo three\n\n<p>four") == "one two three\nfour" and calls[-1] == 3
+
+
+def test_html_is_linear_in_depth():
+    import time
+
+    for page in ("<div>t " * 40_000, "<b><div>" + "<span>x" * 20_000 + "</b>" * 20_000 + "y<hr>" * 20_000, "<p>" + "<i>" * 20_000 + "<div>a</div>" * 20_000):
+        start = time.time()
+        assert html_extract.extract(page)
+        assert time.time() - start < 15
+
+
 def test_html_deep_and_broken():
     assert html_extract.extract("<div>" * 3000 + "deep" + "</div>" * 10) == "deep"
     assert html_extract.extract("<p>a<p>b</b></i></div><table><tr><td>c<td>d</table>") != ""
@@ -502,6 +627,16 @@ def test_packing_places_every_token_once(spark, tidy, nothing):
     assert packing.pack(nothing).collect() == []
 
 
+def test_packing_spreads_null_and_repeated_ids(spark):
+    lens = spark.range(40_000).select(F.when(F.col("id") % 3 > 0, 7).alias("doc_id"), F.lit(1500).cast("long").alias("n_tokens"))
+    out = packing.pack_lengths(lens, batch_tokens=8192).cache()
+    assert out.count() == 40_000
+    group = out.groupBy(F.substring_index("batch_id", "-", 2).alias("g")).agg(F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("none"))
+    rows = group.collect()
+    assert len(rows) > 50 and max(x["n"] for x in rows) < 3 * 40_000 / len(rows) and all(x["none"] for x in rows)
+    assert out.groupBy("batch_id").agg(F.sum("bucket_len").alias("t")).where("t > 8192").count() == 0
+
+
 # 7 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -593,6 +728,48 @@ def test_lookup_table_is_even_and_stable():
             sharding.lookup_table(*bad)
 
 
+def brute_table(names, slots):
+    """Each shard's whole preference list is written down; in turns, a shard takes its first free entry."""
+    number = lambda what, n: int.from_bytes(hashlib.sha256(f"{what}:{n}".encode()).digest()[:8], "big")
+    wish = {n: [(number("offset", n) % slots + j * (1 + number("skip", n) % (slots - 1))) % slots for j in range(slots)] for n in names}
+    owner = {}
+    while True:
+        for n in names:
+            owner[next(s for s in wish[n] if s not in owner)] = n
+            if len(owner) == slots:
+                return owner
+
+
+@pytest.mark.parametrize(("n", "slots"), [(1, 2), (3, 7), (7, 101), (5, 5)])
+def test_lookup_table_is_brute_force(spark, n, slots):
+    names = [f"node {i}" for i in range(n)]
+    want = brute_table(names, slots)
+    assert [names[i] for i in sharding.lookup_table(names, slots)] == [want[s] for s in range(slots)]
+    table = sharding.slot_table(spark, names, slots)
+    assert {x["slot"]: x["shard"] for x in table.collect()} == want
+    assert "ExistingRDD" not in table._jdf.queryExecution().toString()
+
+
+def test_placement_is_brute_force(spark, tidy):
+    """Every row's slot by a hash computed outside Spark, its shard by the written-down preference lists."""
+    import xxhash
+
+    names, slots = ["a", "b", "c"], 13
+    want = brute_table(names, slots)
+    for r in sharding.place(tidy.select("doc_id"), "doc_id", names, slots).collect():
+        # the engine's hash of a row: each column's hash is the next one's seed; nulls change nothing, a flag is hashed as an int
+        h = 42 if r["doc_id"] is None else xxhash.xxh64_intdigest(r["doc_id"].to_bytes(8, "little", signed=True), 42)
+        h = xxhash.xxh64_intdigest(int(r["doc_id"] is None).to_bytes(4, "little"), h)
+        slot = (h - (1 << 64) if h >> 63 else h) % slots
+        assert (r["slot"], r["shard"]) == (slot, want[slot])
+
+
+def test_placement_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "x", "y", 2)], "slot long, shard string, s string, k0 long")
+    out = sharding.place(docs, ["slot", "shard"], 3, 11)
+    assert out.columns == ["slot", "shard", "slot", "shard"] and out.count() == 1
+
+
 def test_placement(tidy, nothing):
     out = sharding.place(tidy).collect()
     assert len(out) == tidy.count()
@@ -688,10 +865,35 @@ def test_secrets(spark, tidy, nothing):
 def test_ledger_scans_only_unseen_pairs(spark):
     v1 = spark.createDataFrame([(1, "token=abcdef1"), (2, "token=abcdef1"), (3, "clean")], "doc_id long, text string")
     v2 = spark.createDataFrame([(1, "token=abcdef1"), (4, "secret: zzzzzz9")], "doc_id long, text string")
+    n = len(secret_scan.RULES)
     first = secret_scan.update_ledger(v1)
-    assert first.count() == 2
+    assert first.count() == 2 * n
     fresh = secret_scan.update_ledger(v2, first)
-    assert fresh.count() == 1
-    assert secret_scan.update_ledger(v2, first, rule_version="2").count() == 2
+    assert fresh.count() == n and fresh.select("blob").distinct().count() == 1
+    digits = secret_scan.Rule("digits", "[0-9]+", 0, 1)
+    more = secret_scan.update_ledger(v2, first.unionByName(fresh), rules=(*secret_scan.RULES, digits))
+    assert {(x["rule_version"], len(x["places"])) for x in more.collect()} == {(digits.version, 1)} and more.count() == 2  # the new rule scans alone
+    assert secret_scan.Rule("digits", "[0-9]+", 0, 2).version != digits.version
     out = secret_scan.findings(v1.unionByName(v2), first.unionByName(fresh)).collect()
     assert sorted((x["doc_id"], len(x["spans"])) for x in out) == [(1, 1), (1, 1), (2, 1), (3, 0), (4, 1)]
+
+
+def test_own_rules_are_used(spark):
+    docs = spark.createDataFrame([(1, "code 12345 token=abcdefgh")], "doc_id long, text string")
+    got = secret_scan.secrets(docs, rules=(secret_scan.Rule("dig", "[0-9]+", 0, 4),)).first()
+    assert got["spans"] == "dig:5:10" and got["n_dig"] == 1
+
+
+def test_ledger_stays_between_runs(spark, tmp_path):
+    """Two runs on one ledger folder: the second adds the unseen blob's pairs only, and both give what a run on an empty ledger gives."""
+    at = str(tmp_path / "ledger")
+    v1 = spark.createDataFrame([(1, "token=abcdef1"), (2, "token=abcdef1"), (3, "clean"), (None, None)], "doc_id long, text string")
+    v2 = v1.unionByName(spark.createDataFrame([(4, "secret: zzzzzz9"), (5, "clean")], "doc_id long, text string"))
+    n = len(secret_scan.RULES)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(secret_scan.secrets(v1, ledger_path=at)) == rows(secret_scan.secrets(v1))
+    assert spark.read.parquet(at).count() == 3 * n
+    assert rows(secret_scan.secrets(v2, ledger_path=at)) == rows(secret_scan.secrets(v2))
+    assert spark.read.parquet(at).count() == 4 * n
+    secret_scan.secrets(v2, ledger_path=at).collect()
+    assert spark.read.parquet(at).count() == 4 * n
