@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import decontaminate, line_dedup, packing, quality_rules, simhash
-from ledgerloom.llm.common import mark, materialize, sweep, table
+from ledgerloom.llm.common import materialize, sweep, table, tables_of_run
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    since = mark()
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-        sweep(spark, since, f"stage-{name}")
+    with tables_of_run() as made:
+        for name, stage in STAGES[:-1]:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+            sweep(spark, made, f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
