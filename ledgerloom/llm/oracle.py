@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import BINS, FENCES, MIN_GROUP, RATIOS
+from .quality_rules import BINS, FENCES, PRIOR, RATIOS
 
 _WS = r"\x20\x09-\x0D"
 
@@ -26,16 +26,17 @@ from d left join words using (rid) left join items using (rid)
 
 
 def _op9() -> str:
-    ratio = {r: f"least(1000 * {a} // greatest({b}, 1), {BINS})" for r, (a, b, _) in RATIOS.items()}
+    ratio = {r: f"cast(1000 * {a} // greatest({b}, 1) as bigint)" for r, (a, b, _) in RATIOS.items()}
     spread = " ".join(f"when '{r}' then {s}" for r, (_, _, s) in RATIOS.items())
-    sketch = " union all ".join(f"select lang, source, '{r}' ratio, r_{r} bin from m" for r in RATIOS)
+    sketch = " union all ".join(f"select lang, source, '{r}' ratio, case when r_{r} <= {BINS} then r_{r} else r_{r} - r_{r} % cast(pow(2, length(bin(r_{r})) - 7) as bigint) end bin from m" for r in RATIOS)
 
-    def fence(name: str, keys: str) -> str:
+    def level(name: str, keys: str) -> str:
         by = f"{keys}, " if keys else ""
         return f"""{name}_q as (select {by}ratio, bin, sum(n) over (partition by {by}ratio order by bin) upto, sum(n) over (partition by {by}ratio) total from (select {by}ratio, bin, count(*) n from sk group by {by}ratio, bin)),
- {name} as (select {by}ratio, max(total) total, min(bin) filter (4 * upto >= 3 * total) + {FENCES} * greatest(min(bin) filter (4 * upto >= 3 * total) - min(bin) filter (4 * upto >= total), case ratio {spread} end) up from {name}_q group by {by}ratio)"""
+ {name} as (select {by}ratio, cast(max(total) as bigint) n, min(bin) filter (4 * upto >= total) q1, min(bin) filter (4 * upto >= 3 * total) q3 from {name}_q group by {by}ratio)"""
 
-    within = " and ".join(f"r_{r} <= (select case when a.total >= {MIN_GROUP} then a.up when b.total >= {MIN_GROUP} then b.up else z.up end from a, b, z where a.lang is not distinct from m.lang and a.source is not distinct from m.source and b.lang is not distinct from m.lang and a.ratio = '{r}' and b.ratio = '{r}' and z.ratio = '{r}')" for r in RATIOS)
+    mixed = lambda q: f"(a.n * a.{q} + {PRIOR} * ((b.n * b.{q} + {PRIOR} * z.{q}) // (b.n + {PRIOR}))) // (a.n + {PRIOR})"
+    within = " and ".join(f"r_{r} <= (select q3 + {FENCES} * greatest(q3 - q1, case ratio {spread} end) from up where up.lang is not distinct from m.lang and up.source is not distinct from m.source and up.ratio = '{r}')" for r in RATIOS)
     return rf"""
 with d as (select row_number() over () rid, doc_id, lang, source, coalesce(text, '') t from documents),
 w as (select rid, regexp_extract_all(t, '[^{_WS}]+') w from d),
@@ -47,9 +48,10 @@ c as (select d.rid, doc_id, lang, source, cast(len(w) as bigint) n_words, length
 b0 as (select *, cast(len(ls) as bigint) n_lines, cast(len(ls) - len(list_distinct(ls)) as bigint) n_dup_lines from c),
 m as (select *, {", ".join(f"{x} r_{r}" for r, x in ratio.items())} from b0),
 sk as ({sketch}),
-{fence("a", "lang, source")},
-{fence("b", "lang")},
-{fence("z", "")},
+{level("a", "lang, source")},
+{level("b", "lang")},
+{level("z", "")},
+up as (select a.lang, a.source, a.ratio, {mixed("q1")} q1, {mixed("q3")} q3 from a join b on a.lang is not distinct from b.lang and a.ratio = b.ratio join z on z.ratio = a.ratio),
 v as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed, {within} inside from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and inside kept from v
 """

@@ -1,19 +1,19 @@
 """Quality rules with thresholds that adapt to language and source (DataFrame functions only).
 
 Every text gets exact counts by array functions in its own row: no shuffle, no exploded words. Four ratios of these counts go
-into quantile sketches: a sketch is the histogram of a ratio in steps of one thousandth up to ``BINS`` and of one per cent above, so it is
+into quantile sketches: a sketch is the histogram of a ratio in steps of one thousandth up to ``BINS`` and of less than two per cent above, so it is
 exact to a step, of bounded size and merged by adding counts. The ratio itself is held against the fence. Sketches are kept for (lang, source), merged to
-lang and to the whole table; a document takes the finest with ``min_group`` documents. The upper fence of a ratio is
+lang and to the whole table. The quartiles of a group are averaged with those of the level above, which counts as ``prior`` documents: a group of a few
+documents takes nearly its language's quartiles, a large one its own, and none changes its fence at a certain size. The upper fence of a ratio is
 q3 + ``fences`` * max(q3 - q1, least spread); documents above a fence go, whatever their language or source normally looks like.
 
-Defined results: a null text has no words; null languages and sources are groups of their own; a table too small for any sketch
-is held against the whole table's; equal ratios share a bin and a verdict; repeated rows get a row each; an empty table gives an empty result; ``keep`` returns
+Defined results: a null text has no words; null languages and sources are groups of their own; equal ratios share a bin and a verdict; repeated rows get a row each; an empty table gives an empty result; ``keep`` returns
 all columns of its input, clashing names too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WS, let, materialize, shield, words_array
@@ -26,7 +26,7 @@ RATIOS = {
     "repeats": ("n_repeat_words", "n_words", 100),
     "word_length": ("word_chars", "n_words", 1500),
 }
-FENCES, MIN_GROUP, BINS = 3, 100, 20_000
+FENCES, PRIOR, BINS = 3, 20, 20_000
 
 
 def repeat_words(words: Column) -> Column:
@@ -80,9 +80,9 @@ def with_ratios(df: DataFrame, c: str) -> DataFrame:
 
 
 def bin_of(thousandths: Column) -> Column:
-    """The bin of a sketch: thousandths up to BINS, above them the lower end of a step of one per cent."""
-    step = F.floor(F.log(thousandths / BINS) / F.log(F.lit(1.01)))
-    return F.when(thousandths <= BINS, thousandths).otherwise(F.floor(BINS * F.pow(F.lit(1.01), step)).cast("long"))
+    """The bin of a sketch: thousandths up to BINS, above them the number with all but its leading seven bits cleared."""
+    step = F.pow(F.lit(2), F.length(F.bin(thousandths)) - 7).cast("long")
+    return F.when(thousandths <= BINS, thousandths).otherwise(thousandths - F.pmod(thousandths, step))
 
 
 def sketches(rows: DataFrame, c: str, lang: str, source: str) -> DataFrame:
@@ -95,35 +95,42 @@ def merge(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return sketch.groupBy(*keys, "ratio", "bin").agg(F.sum("n").alias("n"))
 
 
-def fences(sketch: DataFrame, keys: list[str], fence: int = FENCES) -> DataFrame:
-    """(keys, n_docs, up_<ratio>): upper fences from the quartiles of each group's sketches."""
-    by = Window.partitionBy(*keys, "ratio")
-    cum = sketch.withColumn("upto", F.sum("n").over(by.orderBy("bin"))).withColumn("total", F.sum("n").over(by))
-    q = cum.groupBy(*keys, "ratio").agg(
-        F.max("total").alias("total"),
-        F.min(F.when(4 * F.col("upto") >= F.col("total"), F.col("bin"))).alias("q1"),
-        F.min(F.when(4 * F.col("upto") >= 3 * F.col("total"), F.col("bin"))).alias("q3"),
-    )
+def quartiles(sketch: DataFrame, keys: list[str], p: str) -> DataFrame:
+    """(keys, ratio, {p}_n, {p}_1, {p}_3): documents and quartiles of each merged sketch, whose bins are one bounded array."""
+    listed = sketch.groupBy(*keys, "ratio").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias(f"{p}_n"))
+
+    def quartile(k: int) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("long").alias("q"))
+        reach = lambda a, x: F.when(a["q"].isNull() & (4 * (a["upto"] + x["n"]) >= k * F.col(f"{p}_n")), x["bin"]).otherwise(a["q"])
+        return F.aggregate("bins", start, lambda a, x: F.struct((a["upto"] + x["n"]).alias("upto"), reach(a, x).alias("q")))["q"]
+
+    return listed.select(*keys, "ratio", f"{p}_n", quartile(1).alias(f"{p}_1"), quartile(3).alias(f"{p}_3"))
+
+
+def limits(fine: DataFrame, prior: int = PRIOR, fence: int = FENCES) -> DataFrame:
+    """(lang, source, up_<ratio>): the upper fences of every group."""
+    by_lang = merge(fine, ["lang"])
+    a, b, z = quartiles(fine, ["lang", "source"], "a"), quartiles(by_lang, ["lang"], "b"), quartiles(merge(by_lang, []), [], "z")
+    b = b.select(F.col("lang").alias("_l"), F.col("ratio").alias("_r"), "b_n", "b_1", "b_3")
+    z = z.select(F.col("ratio").alias("_z"), "z_1", "z_3")  # a row for each of the four ratios
+    rows = a.join(b, F.col("lang").eqNullSafe(F.col("_l")) & (F.col("ratio") == F.col("_r"))).join(F.broadcast(z), F.col("ratio") == F.col("_z"))
+
+    def mixed(q: str) -> Column:
+        above = F.floor((F.col("b_n") * F.col(f"b_{q}") + prior * F.col(f"z_{q}")) / (F.col("b_n") + prior))
+        return F.floor((F.col("a_n") * F.col(f"a_{q}") + prior * above) / (F.col("a_n") + prior))
+
+    rows = rows.select("lang", "source", "ratio", mixed("1").alias("q1"), mixed("3").alias("q3"))
     spread = F.create_map(*[x for r, (_, _, s) in RATIOS.items() for x in (F.lit(r), F.lit(s))])
     up = F.col("q3") + fence * F.greatest(F.col("q3") - F.col("q1"), spread[F.col("ratio")])
-    return q.withColumn("up", up).groupBy(*keys).agg(F.max("total").alias("n_docs"), *[F.max(F.when(F.col("ratio") == r, F.col("up"))).alias(f"up_{r}") for r in RATIOS])
+    return rows.withColumn("up", up).groupBy("lang", "source").agg(*[F.max(F.when(F.col("ratio") == r, F.col("up"))).alias(f"up_{r}") for r in RATIOS])
 
 
-def judge(rows: DataFrame, c: str, lang: str, source: str, min_group: int = MIN_GROUP, fence: int = FENCES) -> DataFrame:
+def judge(rows: DataFrame, c: str, lang: str, source: str, prior: int = PRIOR, fence: int = FENCES) -> DataFrame:
     """``rows`` with a boolean ``{c}_kept``: joined with the fences of their group."""
     fine = materialize(sketches(rows, c, lang, source), "quality-sketches")
-    by_lang = merge(fine, ["lang"])
-    pick = lambda df, p: [F.col(f"{k}").alias(f"{p}_{k}") for k in ("n_docs", *(f"up_{r}" for r in RATIOS))]
-    a = fences(fine, ["lang", "source"], fence)
-    b = fences(by_lang, ["lang"], fence)
-    z = fences(merge(by_lang, []), [], fence)
-    a = a.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), *pick(a, "a"))
-    b = b.select(F.col("lang").alias("_bl"), *pick(b, "b"))
-    z = z.select(*pick(z, "z"))  # one row
-    levels = a.join(b, a["_l"].eqNullSafe(b["_bl"])).join(F.broadcast(z))
-    up = lambda r: F.when(F.col("a_n_docs") >= min_group, F.col(f"a_up_{r}")).when(F.col("b_n_docs") >= min_group, F.col(f"b_up_{r}")).otherwise(F.col(f"z_up_{r}"))
-    limits = materialize(levels.select("_l", "_s", *[up(r).alias(f"_up_{r}") for r in RATIOS]), "quality-limits")
-    held = rows.join(limits, rows[lang].eqNullSafe(limits["_l"]) & rows[source].eqNullSafe(limits["_s"]), "left")
+    up = limits(fine, prior, fence)
+    up = materialize(up.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), *[F.col(f"up_{r}").alias(f"_up_{r}") for r in RATIOS]), "quality-limits")
+    held = rows.join(up, rows[lang].eqNullSafe(up["_l"]) & rows[source].eqNullSafe(up["_s"]), "left")
     within = ~base_failed(F.col(c))
     for r in RATIOS:
         within &= F.col(f"{c}_{r}") <= F.col(f"_up_{r}")
