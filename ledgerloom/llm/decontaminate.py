@@ -18,6 +18,7 @@ once; an empty benchmark hits nothing; repeated documents get a row each; clashi
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 from .common import arrow_schema, materialize, shield
 
 WINDOW = 10
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
 #: ASCII bytes that are no word characters become spaces; bytes of other characters stay.
 _TO_SPACE = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -41,12 +42,13 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Automaton:
-    """Generalised suffix automaton over word numbers, with the items of every window and of every short item."""
+    """Generalised suffix automaton over word numbers, with the items of every window and of every short item. States are rows of flat arrays (most have one
+    way on; others are in ``more``), so a block of BLOCK_WORDS words takes some tens of megabytes."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
         self.window, self.vocab = window, {}
-        self.next, self.link, self.length = [{}], [-1], [0]
-        self.items: dict[int, set[str]] = {}  # state of a window -> item ids
+        self.word, self.to, self.link, self.length = array("i", [-1]), array("i", [0]), array("i", [-1]), array("i", [0])
+        self.more: dict[int, dict[int, int]] = {}  # state -> further words and their states
         self.short: dict[int, dict[int, set[str]]] = {}  # state of a whole short item -> its length -> ids
         items = [(i, w) for i, w in items if w]
         coded = [(i, [self.vocab.setdefault(x, len(self.vocab)) for x in w]) for i, w in items]
@@ -55,56 +57,69 @@ class Automaton:
             for c in w:
                 last = self._extend(last, c)
         self.shortest = min((len(w) for _, w in coded if len(w) < window), default=window)
-        for i, w in coded:
+        self.names = [i for i, _ in coded]
+        self.item = array("i", [-1]) * len(self.link)  # state of a window -> place of its first item's id
+        self.others: dict[int, set[int]] = {}  # state of a window -> places of the others
+        for k, (i, w) in enumerate(coded):
+            state = length = 0
+            for c in w:
+                state, length = self._next(state, c), min(length + 1, window)
+                while length <= self.length[self.link[state]]:
+                    state = self.link[state]
+                if length == window:
+                    if self.item[state] < 0:
+                        self.item[state] = k
+                    elif self.item[state] != k:
+                        self.others.setdefault(state, set()).add(k)
             if len(w) < window:
-                s = 0
-                for c in w:
-                    s = self.next[s][c]
-                self.short.setdefault(s, {}).setdefault(len(w), set()).add(i)
-            else:
-                state = length = 0
-                for c in w:
-                    state, length = self.next[state][c], length + 1
-                    if length > window:
-                        length = window
-                    while length <= self.length[self.link[state]]:
-                        state = self.link[state]
-                    if length == window:
-                        self.items.setdefault(state, set()).add(i)
-        # short items that end wherever a state's longest string ends: collected along suffix links
-        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(self.next)
-        for s in sorted(range(1, len(self.next)), key=self.length.__getitem__):
-            own = tuple((n, s) for n in sorted(self.short.get(s, ())))
-            self.ends[s] = self.ends[self.link[s]] + own
+                self.short.setdefault(state, {}).setdefault(len(w), set()).add(i)
+        # for each state the nearest one on its way along suffix links, itself included, in which a short item ends
+        self.ends = array("i", [0]) * (len(self.link) if self.short else 0)
+        if self.short:
+            for s in sorted(range(1, len(self.link)), key=self.length.__getitem__):
+                self.ends[s] = s if s in self.short else self.ends[self.link[s]]
+
+    def _next(self, state: int, c: int) -> int:
+        """The state after one more word, or -1."""
+        if self.word[state] == c:
+            return self.to[state]
+        more = self.more.get(state)
+        return more.get(c, -1) if more else -1
+
+    def _put(self, state: int, c: int, to: int) -> None:
+        if self.word[state] in (-1, c):
+            self.word[state], self.to[state] = c, to
+        else:
+            self.more.setdefault(state, {})[c] = to
 
     def _extend(self, last: int, c: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        if c in nxt[last]:  # the string is there already
-            q = nxt[last][c]
+        link, length = self.link, self.length
+        q = self._next(last, c)
+        if q >= 0:  # the string is there already
             return q if length[q] == length[last] + 1 else self._clone(last, c, q)
-        cur = len(nxt)
-        nxt.append({})
-        length.append(length[last] + 1)
-        link.append(0)
+        cur = self._new(-1, 0, 0, length[last] + 1)
         p = last
-        while p != -1 and c not in nxt[p]:
-            nxt[p][c] = cur
+        while p != -1 and self._next(p, c) < 0:
+            self._put(p, c, cur)
             p = link[p]
         if p != -1:
-            q = nxt[p][c]
+            q = self._next(p, c)
             link[cur] = q if length[q] == length[p] + 1 else self._clone(p, c, q)
         return cur
 
+    def _new(self, word: int, to: int, link: int, length: int) -> int:
+        for column, x in zip((self.word, self.to, self.link, self.length), (word, to, link, length), strict=True):
+            column.append(x)
+        return len(self.link) - 1
+
     def _clone(self, p: int, c: int, q: int) -> int:
-        nxt, link = self.next, self.link
-        clone = len(nxt)
-        nxt.append(dict(nxt[q]))
-        self.length.append(self.length[p] + 1)
-        link.append(link[q])
-        link[q] = clone
-        while p != -1 and nxt[p].get(c) == q:
-            nxt[p][c] = clone
-            p = link[p]
+        clone = self._new(self.word[q], self.to[q], self.link[q], self.length[p] + 1)
+        if q in self.more:
+            self.more[clone] = dict(self.more[q])
+        self.link[q] = clone
+        while p != -1 and self._next(p, c) == q:
+            self._put(p, c, clone)
+            p = self.link[p]
         return clone
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
@@ -124,26 +139,37 @@ class Automaton:
         return spans, found
 
     def _stream(self, codes: list[int], at: int, spans: list, found: set) -> None:
-        nxt, link, length, window, ends = self.next, self.link, self.length, self.window, self.ends
+        word, to, more, link, length, window, ends = self.word, self.to, self.more, self.link, self.length, self.window, self.ends
         state = n = 0
         for i, c in enumerate(codes, at + 1):
-            while state and c not in nxt[state]:
+            while True:
+                if word[state] == c:
+                    state, n = to[state], n + 1
+                    break
+                if state in more and c in more[state]:
+                    state, n = more[state][c], n + 1
+                    break
+                if not state:
+                    break
                 state = link[state]
                 n = length[state]
-            if c in nxt[state]:
-                state, n = nxt[state][c], n + 1
             best = 0
             if n >= window:
                 best, s = n, state
                 while length[link[s]] >= window:
                     s = link[s]
-                found |= self.items.get(s, found)
-            if self.short:
+                if self.item[s] >= 0:
+                    found.add(self.names[self.item[s]])
+                    found.update(self.names[k] for k in self.others.get(s, ()))
+            if ends:
                 # the matched string is a suffix of the state's longest one, so entries up to its length end here
-                for m, s in ends[state]:
-                    if m <= n:
-                        found |= self.short[s][m]
-                        best = max(best, m)
+                s = ends[state]
+                while s:
+                    for m, ids in self.short[s].items():
+                        if m <= n:
+                            found |= ids
+                            best = max(best, m)
+                    s = ends[link[s]]
             if best:
                 low = i - best
                 while spans and spans[-1][1] >= low:
