@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 ROLE_ALIASES = {
     "batter": "Batter",
     "batsman": "Batter",
+    "batswoman": "Batter",
     "bowler": "Bowler",
     "all-rounder": "All-rounder",
     "all rounder": "All-rounder",
     "allrounder": "All-rounder",
     "wicketkeeper": "Wicketkeeper",
     "wicket keeper": "Wicketkeeper",
-    "wicket-keeper": "Wicketkeeper",
     "keeper": "Wicketkeeper",
 }
 #: White space that trimming removes beyond what Spark's trim does.
@@ -112,6 +112,11 @@ def cookies(c: Column) -> Column:
     return F.map_from_entries(last)
 
 
+def derived_id(prefix: str, *keys: Column) -> Column:
+    """A prefix and eight hexadecimal digits that follow from the keys, so that a task that runs again makes the same id."""
+    return F.concat(F.lit(f"{prefix}-"), F.substring(F.sha2(F.concat_ws("\x1f", *[F.coalesce(k.cast("string"), F.lit("")) for k in keys]), 256), 1, 8))
+
+
 def action_text(c: Column) -> Column:
     return F.regexp_replace(c, r"[._]", " ")
 

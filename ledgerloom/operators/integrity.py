@@ -29,14 +29,32 @@ def overspent(finance: DataFrame) -> DataFrame:
     return violation(finance.where("remaining < 0"), "overspent", "team", "team_id", F.col("remaining"))
 
 
-def tier_order(tiers: DataFrame) -> DataFrame:
-    """Ceilings must rise; only the last tier may be open. Tiers are a short settings list."""
+def tier_order(tiers: DataFrame, entered: bool = False) -> DataFrame:
+    """Ceilings must be above all ceilings before them and increments positive; open tiers may stand anywhere. ``entered``: the stricter rule for new
+    settings, by which only the last tier may be open. Tiers are a short settings list."""
     by = Window.partitionBy("set_id").orderBy("tier_no")
-    before = F.lag("up_to").over(by)
-    last = F.lead("tier_no").over(by).isNull()
-    rows = tiers.withColumns({"_before": before, "_last": last})
-    bad = rows.where((F.col("up_to") <= F.col("_before")) | (F.col("up_to").isNull() & ~F.col("_last")) | (F.col("increment") < 1))
-    return bad.select(F.lit("tiers").alias("check_id"), F.lit("settings").alias("entity"), F.concat_ws("/", "set_id", "tier_no").alias("key"), F.coalesce(F.col("up_to").cast("string"), F.lit("open")).alias("detail"))
+    highest = F.coalesce(F.max("up_to").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    rows = tiers.withColumns({"_before": highest, "_last": F.lead("tier_no").over(by).isNull()})
+    wrong = (F.col("up_to") <= F.col("_before")) | (F.col("increment") < 1)
+    if entered:
+        wrong |= F.col("up_to").isNull() & ~F.col("_last")
+    bad = rows.where(F.coalesce(wrong, F.lit(False)))
+    return bad.select(F.lit("entered tiers" if entered else "tiers").alias("check_id"), F.lit("settings").alias("entity"), F.concat_ws("/", "set_id", "tier_no").alias("key"), F.coalesce(F.col("up_to").cast("string"), F.lit("open")).alias("detail"))
+
+
+def transaction_fields(tx: DataFrame) -> DataFrame:
+    """A known type, a positive sequence, and the fields that each type needs: a sale has a team, a positive price and a reversal flag, an unsold lot has no team, an undo has a
+    reference."""
+    none = lambda c: F.coalesce(c, F.lit(False))
+    sale = F.col("team_id").isNotNull() & none(F.col("price") > 0) & F.col("reversed").isNotNull()
+    wrong = (
+        F.when(~none(F.col("type").isin("sale", "unsold", "undo")), "type")
+        .when(~none(F.col("sequence") > 0), "sequence")
+        .when((F.col("type") == "sale") & ~sale, "sale")
+        .when((F.col("type") == "unsold") & F.col("team_id").isNotNull(), "unsold")
+        .when((F.col("type") == "undo") & F.col("reference_id").isNull(), "undo")
+    )
+    return violation(tx.withColumn("_wrong", wrong).where(F.col("_wrong").isNotNull()), "transaction_fields", "transaction", "tx_id", F.col("_wrong"))
 
 
 def undo_references(ledger: DataFrame) -> DataFrame:

@@ -52,11 +52,51 @@ def top_priced(players: DataFrame, by: str) -> DataFrame:
     return players.groupBy(by).agg(best.alias("b")).select(by, F.col("b.player_id").alias("player_id"), F.col("b.name").alias("name"), F.col("b.base_price").alias("base_price"))
 
 
-def queue(players: DataFrame, role: str) -> DataFrame:
-    """Rank in id order with a zero-padded label that never truncates."""
-    rank = F.row_number().over(Window.partitionBy("role").orderBy("player_id")).cast("long")
-    text = rank.cast("string")
-    return players.where(F.col("role") == role).select("player_id", "name", rank.alias("rank"), F.when(F.length(text) < 3, F.lpad(text, 3, "0")).otherwise(text).alias("label"))
+def in_order(rows: DataFrame, by: str, price: str, dearest_first: bool = False) -> DataFrame:
+    """Rows by 'price', 'role' (then name) or 'name'; names and roles in the order of a dictionary, not of code units, and ties in pool order."""
+    word = lambda c: F.collate(F.col(c), "UNICODE")
+    keys = {"price": [F.desc(price) if dearest_first else F.asc(price)], "role": [word("role"), word("name")], "name": [word("name")]}[by]
+    return rows.orderBy(*keys, "player_id")
+
+
+def player_table(players: DataFrame, query: str = "", role: str = "all", category: str = "all", status: str = "all", reintroduce: bool = True, sort: str = "name") -> DataFrame:
+    """The pool's table: text search, role, category and status ('available' means eligible), sorted; prices go up."""
+    out = search(players, query, role, category)
+    if status == "available":
+        out = out.where(eligible(F.col("status"), reintroduce))
+    elif status != "all":
+        out = out.where(F.col("status") == status)
+    return in_order(out, sort, "base_price")
+
+
+def squad_table(squad: DataFrame, sort: str = "name") -> DataFrame:
+    """One team's squad, sorted; prices go down."""
+    return in_order(squad, sort, "price", dearest_first=True)
+
+
+def first_eligible(players: DataFrame, reintroduce: bool) -> DataFrame:
+    """Who is up next: the first eligible player in pool order, or no row."""
+    return players.where(eligible(F.col("status"), reintroduce)).orderBy("player_id").limit(1)
+
+
+def queue(players: DataFrame, role: str, width: int = 10_000) -> DataFrame:
+    """Rank in id order with a zero-padded label that never truncates. Ids are ranked within ranges of ``width`` and added to the count of the ranges
+    before, so no task ranks the whole queue."""
+    rows = players.where(F.col("role") == role).withColumn("_range", F.floor(F.col("player_id") / width))
+    # one row for each range
+    before = F.sum("_n").over(Window.partitionBy("role").orderBy("_from").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = rows.groupBy("role", F.col("_range").alias("_from")).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(before, F.lit(0).cast("long"))).select("_from", "_before")
+    own = F.row_number().over(Window.partitionBy("_range").orderBy("player_id"))
+    ranked = rows.withColumn("_own", own).join(ranges, F.col("_range") == F.col("_from")).select("player_id", "name", (F.col("_own") + F.col("_before")).alias("rank"))
+    text = F.col("rank").cast("string")
+    return ranked.select("player_id", "name", "rank", F.when(F.length(text) < 3, F.lpad(text, 3, "0")).otherwise(text).alias("label"))
+
+
+def with_team(players: DataFrame, teams: DataFrame) -> DataFrame:
+    """Every player with its team's name, 'Team' where the team isn't known and a dash where there is none."""
+    names = teams.select(F.col("team_id").alias("_t"), F.col("name").alias("_name"))
+    out = players.join(names, F.col("team_id") == F.col("_t"), "left")
+    return out.select(*players.columns, F.when(F.col("team_id").isNull(), "—").otherwise(F.coalesce("_name", F.lit("Team"))).alias("team_name"))
 
 
 def slots(finance: DataFrame, min_squad: int, max_squad: int | None) -> DataFrame:
@@ -71,9 +111,11 @@ def last_result(lines: DataFrame) -> DataFrame:
     return lines.groupBy("player_id").agg(F.max_by(F.struct("lot", "line", "status"), key).alias("l")).select("player_id", F.col("l.lot").alias("lot"), F.col("l.line").alias("line"), F.col("l.status").alias("status"))
 
 
-def masked(finance: DataFrame, viewer_team: int | None, admin: bool = False, show_others: bool = False) -> DataFrame:
-    """Money columns only for those who may see them; the rest reads null."""
+def masked(finance: DataFrame, viewer_team: int | None, admin: bool = False, show_others: bool = False, require_pin: bool = False) -> DataFrame:
+    """Money and number of purchases only for those who may see them; the rest reads null. A pin is needed where the rules ask for one, where others' money is
+    hidden, or where the team has one (``has_pin``)."""
     own = F.col("team_id") == viewer_team if viewer_team is not None else F.lit(False)
     expose = F.lit(admin) | F.lit(show_others) | own
-    cols = [F.when(expose, F.col(c)).alias(c) for c in ("initial_purse", "spent", "remaining")]
-    return finance.select("team_id", "name", "purchased", *cols, (F.lit(not show_others)).alias("pin_required"))
+    cols = [F.when(expose, F.col(c)).alias(c) for c in ("initial_purse", "spent", "remaining", "purchased")]
+    has = F.coalesce(F.col("has_pin"), F.lit(False)) if "has_pin" in finance.columns else F.lit(False)
+    return finance.select("team_id", "name", *cols, (F.lit(require_pin or not show_others) | has).alias("pin_required"))

@@ -53,13 +53,13 @@ def top_priced_with_tiebreak(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def role_counts_pivot(spark: SparkSession, d: str) -> DataFrame:
-    return roster.role_counts(M.squad_lines(spark, d).where("quantity > 48"), M.players(spark, d), M.ROLES)
+    return roster.role_counts(M.squad_lines(spark, d), M.players(spark, d), M.ROLES)
 
 
 @query
 def role_composition(spark: SparkSession, d: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "role string, min_count long, max_count long")
-    return roster.role_composition(M.squad_lines(spark, d).where("quantity > 48"), M.players(spark, d), M.franchises(spark, d), rules)
+    return roster.role_composition(M.squad_lines(spark, d), M.players(spark, d), M.franchises(spark, d), rules)
 
 
 @query
@@ -194,8 +194,23 @@ def violations_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def violations_tiers(spark: SparkSession, d: str) -> DataFrame:
-    rows = [("a", 1, 100, 10), ("a", 2, 90, 10), ("a", 3, None, 10), ("b", 1, None, 5), ("b", 2, 50, 5), ("c", 1, 10, 0), ("c", 2, 20, 1), ("d", 1, 5, 1), ("d", 2, None, 2)]
-    return integrity.tier_order(spark.createDataFrame(rows, "set_id string, tier_no int, up_to long, increment long"))
+    """Tier lists made of the pool's rows, twenty or so each, by the rule for stored settings and by the one for new ones."""
+    key = F.col("player_id")
+    set_id = F.concat_ws("/", "category", F.floor(key / 500))
+    up_to = F.when(key % 11 != 0, F.floor(key / 3) * 100 - (key % 7) * 150)
+    tiers = M.players(spark, d).select(set_id.alias("set_id"), key.alias("tier_no"), up_to.alias("up_to"), (key % 13).alias("increment"))
+    return integrity.tier_order(tiers).unionByName(integrity.tier_order(tiers, entered=True))
+
+
+@query
+def violations_transaction_fields(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger with its undo rows; some rows lose a field or get one too many."""
+    k = F.col("pos")
+    led = _with_undos(spark, d).select(
+        "tx_id", F.when(k % 31 == 0, -k).otherwise(k).alias("sequence"), F.when(k % 37 == 0, "loan").otherwise(F.col("type")).alias("type"), F.when(k % 41 != 0, F.col("price")).alias("price"),
+        F.when((k % 43 == 0) & (F.col("type") == "unsold"), 1).otherwise(F.col("team_id")).alias("team_id"), F.when(k % 47 != 0, F.lit(False)).alias("reversed"), F.when(k % 3 != 0, F.col("reference_id")).alias("reference_id"),
+    )
+    return integrity.transaction_fields(led)
 
 
 def _with_undos(spark: SparkSession, d: str) -> DataFrame:
@@ -230,9 +245,15 @@ def clean_text_initials(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def parse_integer(spark: SparkSession, d: str) -> DataFrame:
-    raw = [("1,000",), ("",), ("  42 ",), ("1e6",), ("0x10",), ("1.0",), ("1.5",), ("-3",), ("abc",), ("9007199254740991",), ("9007199254740992",), ("+7",), (".5",), ("5.",)]
-    rows = spark.createDataFrame(raw, "raw string")
-    return rows.select("raw", X.parse_integer(F.col("raw")).alias("number"), X.amount(F.col("raw")).alias("amount"))
+    """Keys written in many ways: plain, spaced, grouped, signed, with exponents, fractions and other bases, and as text that is no number."""
+    k = M.players(spark, d).select(F.col("player_id").alias("k"))
+    t = F.col("k").cast("string")
+    ways = [
+        t, F.concat(F.lit(" \t"), t, F.lit(" ")), F.concat(t, F.lit(",000")), F.concat(F.lit("+"), t), F.concat(F.lit("-"), t), F.concat(t, F.lit("e3")), F.concat(t, F.lit(".0")), F.concat(t, F.lit(".5")),
+        F.concat(F.lit("0x"), F.lower(F.hex("k"))), F.concat(F.lit("0b"), F.bin("k")), F.concat(F.lit("0X"), F.hex("k")), F.concat(F.lit("."), t), F.concat(t, F.lit(".")), F.lit(""), F.concat(F.lit("x"), t), F.concat(F.lit("900719925474"), F.lpad(t, 8, "0")),
+    ]
+    rows = k.select("k", F.get(F.array(*ways), (F.col("k") % len(ways)).cast("int")).alias("raw"))
+    return rows.select("k", "raw", X.parse_integer(F.col("raw")).alias("number"), X.amount(F.col("raw")).alias("amount"))
 
 
 @query
@@ -242,8 +263,9 @@ def money_grouping(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def role_alias(spark: SparkSession, d: str) -> DataFrame:
-    raw = [("Batsman",), (" keeper ",), ("BOWLER",), ("all rounder",), ("Umpire",), ("",), ("Wicket-Keeper",)]
-    return spark.createDataFrame(raw, "raw string").select("raw", X.normal_role(F.col("raw")).alias("role"))
+    raw = ["Batsman", " keeper ", "BOWLER", "all rounder", "Umpire", "", "Wicket-Keeper", "batswoman", "Wicket Keeper", "All-Rounder", "allrounder", "\tBatter"]
+    rows = M.players(spark, d).select("player_id", F.get(F.array(*[F.lit(r) for r in raw]), (F.col("player_id") % len(raw)).cast("int")).alias("raw"))
+    return rows.select("player_id", "raw", X.normal_role(F.col("raw")).alias("role"))
 
 
 @query
@@ -345,6 +367,165 @@ def command_fold(spark: SparkSession, d: str) -> DataFrame:
     return fold(first.unionByName(log), Settings(base_price=100, purse=50_000, step=50))
 
 
+def _pool(spark: SparkSession, d: str) -> DataFrame:
+    """Players with the status, team, price and sequence of their latest line."""
+    key = F.struct("ts", "lot", "line", "team_id", "price", "quantity")
+    last = M.squad_lines(spark, d).groupBy(F.col("player_id").alias("_p")).agg(F.max_by(F.struct("status", "team_id", "price", "lot"), key).alias("l"))
+    sold, status = F.col("l.status") == "sold", F.coalesce("l.status", F.lit("available"))
+    out = M.players(spark, d).join(last, F.col("player_id") == F.col("_p"), "left")
+    return out.select("player_id", "name", "role", "category", "base_price", status.alias("status"), F.when(sold, F.col("l.team_id")).alias("team_id"), F.when(sold, F.col("l.price")).alias("price"), F.when(status != "available", F.col("l.lot")).alias("sequence"))
+
+
+@query
+def player_table(spark: SparkSession, d: str) -> DataFrame:
+    return roster.player_table(_pool(spark, d), status="available", sort="price").select("player_id", "name", "role", "base_price", "status")
+
+
+@query
+def player_table_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return roster.player_table(_pool(spark, d), "RED", "SMALL", status="sold", sort="role").select("player_id", "name", "role", "status", "team_id", "price")
+
+
+@query
+def squad_table(spark: SparkSession, d: str) -> DataFrame:
+    return roster.squad_table(_pool(spark, d).where(f"status = 'sold' and team_id = {VIEWER}"), "price").select("player_id", "name", "role", "price", "sequence")
+
+
+@query
+def first_eligible(spark: SparkSession, d: str) -> DataFrame:
+    return roster.first_eligible(_pool(spark, d), True).select("player_id", "name", "status")
+
+
+@query
+def player_team_labels(spark: SparkSession, d: str) -> DataFrame:
+    return roster.with_team(_pool(spark, d), M.franchises(spark, d).where("team_id % 9 <> 0")).select("player_id", "status", "team_name")
+
+
+@query
+def players_csv(spark: SparkSession, d: str) -> DataFrame:
+    p = _pool(spark, d).withColumnsRenamed({"player_id": "id", "base_price": "basePrice", "team_id": "teamId", "price": "salePrice"})
+    return report.csv_lines(report.export_rows("players", p), list(report.HEADERS["players"]))
+
+
+@query
+def teams_csv(spark: SparkSession, d: str) -> DataFrame:
+    owners = M.teams(spark, d).select(F.col("team_id").alias("_t"), "owner", (F.col("initial_purse") > 0).alias("active"))
+    t = _finance(spark, d).join(owners, F.col("team_id") == F.col("_t")).withColumnsRenamed({"team_id": "id", "initial_purse": "initialPurse", "purchased": "playersPurchased"})
+    return report.csv_lines(report.export_rows("teams", t), list(report.HEADERS["teams"]))
+
+
+@query
+def transactions_csv(spark: SparkSession, d: str) -> DataFrame:
+    """A transaction's player is the lowest one of its lot's lines."""
+    who = M.squad_lines(spark, d).groupBy(F.col("lot").alias("_lot")).agg(F.min("player_id").alias("playerId"))
+    p = M.players(spark, d).select(F.col("player_id").alias("_p"), F.col("name").alias("playerName"), F.col("base_price").alias("basePrice"))
+    t = M.teams(spark, d).select(F.col("team_id").alias("teamId"), F.col("name").alias("teamName"))
+    tx = M.transactions(spark, d).join(who, F.col("sequence") == F.col("_lot"), "left").join(p, F.col("playerId") == F.col("_p"), "left").join(t, F.col("team_id") == F.col("teamId"), "left")
+    tx = tx.withColumn("reversed", F.when(F.col("type") == "sale", F.col("reversed"))).withColumn("timestamp", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    return report.csv_lines(report.export_rows("transactions", tx), list(report.HEADERS["transactions"]))
+
+
+@query
+def report_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of the report with the keys of their order."""
+    teams = M.franchises(spark, d)
+    sold = _pool(spark, d).where("status = 'sold'")
+    squads = sold.withColumnsRenamed({"name": "player_name"}).withColumn("pos", F.col("player_id")).join(teams.select("team_id", F.col("name").alias("team_name")), "team_id")
+    unsold = _pool(spark, d).where("status = 'unsold'").withColumnsRenamed({"name": "player_name"}).withColumn("pos", F.col("player_id"))
+    rows = report.report_rows(squads, ledger.team_finance(teams, sold), unsold)
+    cells = F.concat_ws(",", *[report.csv_cell(F.col(c)) for c in report.HEADERS["report"]])
+    return rows.select("part", "team_pos", "pos", cells.alias("line"))
+
+
+@query
+def report_json(spark: SparkSession, d: str) -> DataFrame:
+    pool, t = _pool(spark, d), M.franchises(spark, d)
+    sold = pool.where("status = 'sold'")
+    extra = t.select(F.col("team_id").alias("_t"), F.lit("").alias("owner"), (F.col("initial_purse") > 0).alias("active"))
+    teams = ledger.team_finance(t, sold).join(extra, F.col("team_id") == F.col("_t")).drop("_t")
+    squads = sold.withColumnsRenamed({"name": "player_name"}).withColumn("pos", F.col("player_id"))
+    header = {"name": "Cup", "status": "completed", "currencySymbol": "₹", "generatedAt": "2024-01-01T00:00:00.000Z"}
+    return report.report_json(header, teams, squads, pool, sold, M.transactions(spark, d).select("sequence", "type", "team_id", "price", "reversed"), M.ROLES)
+
+
+@query
+def first_devices(spark: SparkSession, d: str) -> DataFrame:
+    """The first eight connections; a limit is the feature."""
+    a = M.actions(spark, d).where("action = 'view'").orderBy("ts", "event_id").limit(8)
+    t = M.teams(spark, d).select(F.col("team_id").alias("_t"), "name")
+    role = F.when(F.col("actor") % 10 == 0, "admin").when(F.col("actor") % 3 == 0, "team").otherwise("display")
+    out = a.withColumn("role", role).join(t, (F.col("role") == "team") & (F.col("actor") * 11 == F.col("_t")), "left")
+    label = F.when(F.col("role") == "admin", "Administrator").when(F.col("role") == "team", F.coalesce("name", F.lit("Team dashboard"))).otherwise("Public display")
+    return out.select("event_id", "role", label.alias("label"))
+
+
+@query
+def derived_ids(spark: SparkSession, d: str) -> DataFrame:
+    return M.transactions(spark, d).select("sequence", X.derived_id("tx", F.col("sequence"), F.col("type")).alias("tx_id"))
+
+
+@query
+def public_view(spark: SparkSession, d: str) -> DataFrame:
+    """Everybody sees the money; a pin is needed where a team has one."""
+    return roster.masked(_finance(spark, d).withColumn("has_pin", F.col("team_id") % 4 == 0), None, show_others=True)
+
+
+def _viewers(spark: SparkSession, d: str) -> DataFrame:
+    """A viewer for each nation, of one owner group each: administrators, teams and the public."""
+    n = M.read(spark, d, "nation")
+    key = F.get(F.array(*[F.lit(x) for x in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")]), F.col("n_nationkey") % 5)
+    role = F.when(F.col("n_regionkey") == 0, "admin").when(F.col("n_regionkey") == 1, "display").otherwise("team")
+    return n.select(F.col("n_nationkey").alias("viewer_id"), key.alias("key"), role.alias("role"), F.when(role == "team", F.col("n_nationkey").cast("long")).alias("viewer_team"))
+
+
+@query
+def masked_feed(spark: SparkSession, d: str) -> DataFrame:
+    owners = M.teams(spark, d).select(F.col("team_id").alias("_t"), F.col("owner").alias("key"))
+    rows = _finance(spark, d).join(owners, F.col("team_id") == F.col("_t")).select("key", "team_id", "initial_purse", "spent", "remaining", "purchased")
+    return stateful.masked_for(rows, _viewers(spark, d), ("initial_purse", "spent", "remaining", "purchased"))
+
+
+@query
+def reconnect_replay(spark: SparkSession, d: str) -> DataFrame:
+    a = M.actions(spark, d).select(F.col("actor").alias("key"), F.col("event_id").alias("version"), "action", "amount")
+    readers = a.select("key").distinct().select(F.concat(F.lit("r"), F.col("key")).alias("reader_id"), "key", F.when(F.col("key") % 3 != 0, F.when(F.col("key") % 7 == 0, F.lit(1 << 40)).otherwise(F.col("key"))).alias("seen"))
+    return stateful.replay(a, readers)
+
+
+@query
+def active_team_sessions(spark: SparkSession, d: str) -> DataFrame:
+    s = stateful.session_validity(M.actions(spark, d), "actor", "ts", F.col("action") == "signup").where("valid").select("event_id", F.col("actor").alias("team_id"))
+    return stateful.active_sessions(s, M.teams(spark, d).withColumn("active", F.col("initial_purse") > 0))
+
+
+@query
+def display_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Action names, sizes, tiers, switches and cookies as they are shown or read."""
+    k = F.col("event_id")
+    token = F.get(F.array(*[F.lit(x) for x in ("true", " YES ", "1", "", "False", "no", "0", "perhaps")]), (k % 8).cast("int"))
+    tier = X.parse_tiers(F.concat(k, F.lit(",000: 50\n\n*: "), k))
+    jar = X.cookies(F.concat(F.lit("a=first; session="), k, F.lit("%20x; a="), F.col("action"), F.lit("; bad=%zz; none")))
+    return M.actions(spark, d).select(
+        "event_id", X.action_text(F.concat(F.col("action"), F.lit(".was_done"))).alias("action_text"), X.size_kb(k * 512).alias("size"), X.parse_boolean(token).alias("switch"),
+        F.array_join(F.transform(tier, lambda t: X.tier_text(t["up_to"], t["increment"])), "|").alias("tiers"), F.concat_ws("|", jar["session"], jar["a"], jar["bad"]).alias("jar"),
+    )
+
+
+@query
+def csv_team_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """Team files, one for each owner group: ids and names repeat, and a row refused for its name leaves its id free."""
+    from ..sources import csv_ingest as C
+
+    t, k = M.teams(spark, d), F.col("team_id")
+    cells = [F.concat(F.lit("T-"), k % 700), F.concat(F.lit("Name "), F.floor(k / 2) % 400), F.when(k % 17 == 0, "").otherwise((k * 100).cast("string")), F.when(k % 19 == 0, "perhaps").when(k % 2 == 0, "no").otherwise("")]
+    line = t.select("owner", "team_id", F.concat_ws(",", *[report.csv_cell(c) for c in cells]).alias("line"))
+    body = line.groupBy("owner").agg(F.sort_array(F.collect_list(F.struct("team_id", "line"))).alias("rows"))
+    files = body.select(F.col("owner").alias("path"), F.concat(F.lit("id,name,purse,active\r\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\r\n")).alias("text"))
+    known = spark.createDataFrame([("t-9", "name 33")], "team_id string, name string")
+    out = C.preview_teams(C.read_records(spark, files, C.TEAM_COLUMNS), known)
+    return out.select("path", "line", "team_id", "name", "initial_purse", "active", "error")
+
+
 @query
 def csv_ingest(spark: SparkSession, d: str) -> DataFrame:
     """The pool as one CSV text a category, parsed, bound and checked again."""

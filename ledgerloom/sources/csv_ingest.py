@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -86,8 +88,10 @@ class CsvRecords:
 def read_records(spark: SparkSession, files: DataFrame, required: tuple[str, ...]) -> DataFrame:
     """(path, file_error, record_no, line, cells) from (path, text). The reported line is the record's ordinal + 2."""
     spark.udtf.register("ledgerloom_csv_records", CsvRecords)
-    files.createOrReplaceTempView("ledgerloom_csv_files")
-    out = spark.sql(f"select path, t.* from ledgerloom_csv_files, lateral ledgerloom_csv_records(text, '{','.join(required)}') t")
+    view = f"csv_files_{uuid.uuid4().hex}"  # a view of its own for each call
+    files.createOrReplaceTempView(view)
+    out = spark.sql(f"select path, t.* from {view}, lateral ledgerloom_csv_records(text, '{','.join(required)}') t")
+    spark.catalog.dropTempView(view)
     return out.withColumn("line", F.col("record_no") + 2)
 
 
@@ -131,9 +135,26 @@ def preview_players(recs: DataFrame, existing: DataFrame) -> DataFrame:
     return rows.withColumn("error", error).drop("_own", "_known")
 
 
+def claim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of each file in order: one that is free takes its id and name unless an earlier row has them."""
+    file, ids, names = object(), set(), set()
+    for b in batches:
+        out = []
+        for path, no, ident, name, free in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if path != file:
+                file, ids, names = path, set(), set()
+            error = None if not free else "duplicate id in the file" if ident in ids else "duplicate name in the file" if name in names else None
+            if free and error is None:
+                ids.add(ident)
+                names.add(name)
+            out.append((path, no, error))
+        cols = list(zip(*out, strict=True)) if out else [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string())], ["path", "record_no", "_inner"])
+
+
 def preview_teams(recs: DataFrame, existing: DataFrame) -> DataFrame:
     """Like players, but ids and names are unique together: a row that is refused for its name doesn't claim its id.
-    That is an ordered fold over a file's rows, not a window."""
+    That is a walk over a file's rows in order, not a window; it keeps the ids and names of one file."""
     rows = recs.where("file_error is null").select(
         "path", "record_no", "line", F.lower(clean_text(_cell("id"))).alias("team_id"), clean_text(_cell("name")).alias("name"), clean_text(_cell("owner")).alias("owner"),
         parse_integer(_cell("initialpurse"), 1).alias("initial_purse"), parse_boolean(_cell("active")).alias("active"), F.nullif(F.trim(_cell("logo")), F.lit("")).alias("logo"), F.trim(_cell("pin")).alias("_pin"),
@@ -154,20 +175,8 @@ def preview_teams(recs: DataFrame, existing: DataFrame) -> DataFrame:
     rows = rows.withColumn("_key", F.lower("name")).join(ids, "team_id", "left").join(names, "_key", "left")
     outer = F.coalesce(F.col("_own"), F.when(F.col("_id_known"), "duplicate id in the pool"), F.when(F.col("_name_known"), "duplicate name in the pool"))
     rows = rows.withColumn("_outer", outer)
-    # a file is one upload of a few megabytes, so its rows fit in one list
-    listed = rows.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("record_no", "team_id", "_key", "_outer"))).alias("rows"))
-    start = F.struct(F.array().cast("array<string>").alias("ids"), F.array().cast("array<string>").alias("names"), F.array().cast("array<struct<record_no:int,inner:string>>").alias("out"))
-
-    def step(a: Column, r: Column) -> Column:
-        inner = F.when(r["_outer"].isNotNull(), F.lit(None).cast("string")).when(F.array_contains(a["ids"], r["team_id"]), "duplicate id in the file").when(F.array_contains(a["names"], r["_key"]), "duplicate name in the file")
-        taken = r["_outer"].isNull() & inner.isNull()
-        return F.struct(
-            F.when(taken, F.concat(a["ids"], F.array(r["team_id"]))).otherwise(a["ids"]).alias("ids"),
-            F.when(taken, F.concat(a["names"], F.array(r["_key"]))).otherwise(a["names"]).alias("names"),
-            F.concat(a["out"], F.array(F.struct(r["record_no"].alias("record_no"), inner.alias("inner")))).alias("out"),
-        )
-
-    verdict = listed.select("path", F.explode(F.aggregate("rows", start, step)["out"]).alias("v")).select("path", F.col("v.record_no").alias("record_no"), F.col("v.inner").alias("_inner"))
+    claims = rows.select("path", "record_no", "team_id", "_key", F.col("_outer").isNull().alias("_free"))
+    verdict = claims.repartition("path").sortWithinPartitions("path", "record_no").mapInArrow(claim, "path string, record_no int, _inner string")
     out = rows.join(verdict, ["path", "record_no"])
     return out.withColumn("error", F.coalesce("_outer", "_inner")).drop("_own", "_outer", "_inner", "_key", "_id_known", "_name_known")
 
@@ -176,3 +185,11 @@ def commit(preview: DataFrame, recs: DataFrame) -> DataFrame:
     """All or nothing for each file: rows of files without any row or file error."""
     bad = preview.where("error is not null").select("path").unionByName(recs.where("file_error is not null").select("path")).distinct()
     return preview.join(bad, "path", "left_anti").drop("error")
+
+
+def append(pool: DataFrame, committed: DataFrame, key: str) -> DataFrame:
+    """The pool with the committed rows behind it; ids that the pool got meanwhile refuse the whole import."""
+    clash = committed.join(pool.select(F.lower(F.col(key)).alias("_k")), F.lower(F.col(key)) == F.col("_k"), "left_semi")
+    if clash.limit(1).count():
+        raise ValueError("an id is in the pool already: nothing was imported")
+    return pool.unionByName(committed.select(*[c for c in committed.columns if c in pool.columns]), allowMissingColumns=True)

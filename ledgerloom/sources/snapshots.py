@@ -15,7 +15,7 @@ SCHEMA_VERSION, KEEP, HISTORY_CAP = 1, 40, 10_000
 SCHEMA = """
 schemaVersion int, version long, updatedAt string,
 auction struct<name:string, status:string, result:string, currency:string, startingPurse:long, defaultBidIncrement:long, minSquadSize:int, maxSquadSize:int, sequence:long,
-  currentPlayerId:string, highestBidTeamId:string, highestBid:long, showOtherPurses:boolean, requireTeamPin:boolean, allowUnsoldReintroduction:boolean,
+  currentPlayerId:string, highestBidTeamId:string, highestBid:long, currencySymbol:string, showOtherPurses:boolean, revealNextPlayer:boolean, allowOverride:boolean, requireTeamPin:boolean, allowUnsoldReintroduction:boolean,
   bidIncrements:array<struct<upTo:long,increment:long>>, roleRequirements:map<string,struct<min:int,max:int>>>,
 teams array<struct<id:string,name:string,owner:string,logo:string,initialPurse:long,active:boolean,pinHash:string>>,
 players array<struct<id:string,name:string,role:string,category:string,basePrice:long,status:string,teamId:string,salePrice:long,sequence:long>>,
@@ -65,6 +65,9 @@ def problems() -> Column:
         ("result", ~none(a["result"].isin("waiting", "live", "sold", "unsold"))),
         ("settings", ~none((a["startingPurse"] > 0) & (a["defaultBidIncrement"] > 0) & (a["minSquadSize"] >= 0)) | none(a["maxSquadSize"] < a["minSquadSize"])),
         ("tiers", none(F.exists(F.transform(tiers, lambda t, i: none(t["increment"] < 1) | ((i > 0) & (before(i).isNull() | none(t["upTo"] <= before(i))))), lambda bad: bad))),
+        ("switches", F.array(*[a[c] for c in ("showOtherPurses", "revealNextPlayer", "allowUnsoldReintroduction", "allowOverride", "requireTeamPin")]).isNull() | F.exists(F.array(*[a[c] for c in ("showOtherPurses", "revealNextPlayer", "allowUnsoldReintroduction", "allowOverride", "requireTeamPin")]), lambda x: x.isNull())),
+        ("currency symbol", ~none(F.length(a["currencySymbol"]).between(1, 6))),
+        ("result state", none(a["result"].isin("live", "sold", "unsold") & ~none(F.exists(players, lambda p: (p["id"] == a["currentPlayerId"]) & (p["status"] == F.when(a["result"] == "live", "current").otherwise(a["result"])))))),
         ("role rules", none(F.exists(F.map_values(a["roleRequirements"]), lambda r: r["max"] < r["min"]))),
         ("team ids", none(_has_duplicates(F.transform(teams, lambda t: t["id"])))),
         ("team names", none(_has_duplicates(lower(teams, "name")))),
@@ -73,7 +76,7 @@ def problems() -> Column:
         ("player status", none(F.exists(players, lambda p: ~none(p["status"].isin("available", "current", "sold", "unsold"))))),
         ("sold state", none(F.exists(players, lambda p: none(p["status"] == "sold") != (p["teamId"].isNotNull() & p["salePrice"].isNotNull() & p["sequence"].isNotNull())))),
         ("player team", none(F.exists(players, lambda p: p["teamId"].isNotNull() & ~none(known_team(p["teamId"]))))),
-        ("current player", none(F.size(current) > 1) | (none(F.get(current, F.lit(0))["id"] != a["currentPlayerId"])) | (none(F.size(current) == 1) != a["currentPlayerId"].isNotNull())),
+        ("current player", none(F.size(current) > 1) | none(F.get(current, F.lit(0))["id"] != a["currentPlayerId"]) | none(a["currentPlayerId"].isNotNull() & ~none(known_player(a["currentPlayerId"])))),
         ("bid", none(a["highestBidTeamId"].isNotNull() & a["highestBid"].isNull()) | none(a["highestBid"].isNotNull() & a["currentPlayerId"].isNull())),
         ("bid team", none(a["highestBidTeamId"].isNotNull() & ~none(known_team(a["highestBidTeamId"])))),
         ("transaction ids", none(_has_duplicates(F.transform(tx, lambda t: t["id"])) | _has_duplicates(F.transform(tx, lambda t: t["sequence"])))),
@@ -121,8 +124,9 @@ def public(snapshots: DataFrame) -> DataFrame:
 
 
 def commit(state: DataFrame, folder: str, expected: int, stamp: str) -> int:
-    """Write the next version beside the others if the folder's newest valid version is the expected one. Spark's committer renames
-    whole files, so readers never see half a snapshot; a lost race or an invalid state raises and leaves the folder as it was."""
+    """Write the next version beside the others if the folder's newest valid version is the expected one. A writer first claims the version with a file whose name
+    depends on the version only and which can be made once, so of two writers with different stamps one raises; Spark's committer then renames whole files, so readers
+    never see half a snapshot. A lost race or an invalid state leaves the folder as it was; a writer that dies leaves its claim, which ``release_claim`` takes back."""
     spark = state.sparkSession
     try:
         newest = recover(load(spark, folder)).select("version").first()
@@ -139,6 +143,9 @@ def commit(state: DataFrame, folder: str, expected: int, stamp: str) -> int:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
     fs, tmp = path(folder).getFileSystem(conf), f"{folder}/_writing-{stamp}-v{expected + 1}"
+    claimed = path(f"{folder}/_claim-v{expected + 1}")
+    if fs.exists(claimed) or not fs.createNewFile(claimed):
+        raise RuntimeError(f"version {expected + 1} is claimed by another writer")
     rows = state.withColumn("version", F.lit(expected + 1).cast("long")).select(*[c for c in state.columns if c not in ("_corrupt", "file_name", "modified")])
     rows.coalesce(1).write.mode("overwrite").json(tmp)
     part = next(f.getPath() for f in fs.listStatus(path(tmp)) if f.getPath().getName().startswith("part-"))
@@ -148,6 +155,22 @@ def commit(state: DataFrame, folder: str, expected: int, stamp: str) -> int:
     return expected + 1
 
 
+def release_claim(spark: SparkSession, folder: str, version: int) -> None:
+    """Take back the claim of a writer that died before its snapshot was there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_claim-v{version}")
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, False)
+
+
+def prune(spark: SparkSession, folder: str, keep: int = KEEP) -> list[str]:
+    """Delete the snapshots beyond the newest ``keep``; their names. A folder has some dozens of them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = [r["file_name"] for r in expired(listing(spark, folder), keep).collect()]
+    for name in gone:
+        at = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        at.getFileSystem(conf).delete(at, False)
+    return gone
+
+
 def expired(listed: DataFrame, keep: int = KEEP) -> DataFrame:
     """Files beyond the newest ``keep``."""
     rank = F.row_number().over(Window.orderBy(F.desc("modified"), F.desc("file_name")))  # a folder listing: some dozens of rows

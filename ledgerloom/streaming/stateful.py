@@ -35,9 +35,13 @@ class Limiter:
 
 
 def limit_batch(attempts: DataFrame, limiter: Limiter | None = None) -> DataFrame:
-    """Verdicts over a whole log. A sorted list a key is folded by array functions, inside the JVM."""
+    """Verdicts over a whole log. A key's attempts are cut where a pause outlasts both the window and a block: nothing before it counts any more, so each
+    burst is folded by array functions on its own, inside the JVM, and a busy key is many bursts."""
     z = limiter or Limiter()
-    listed = attempts.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at_ms", "seq", "ok"))).alias("rows"))
+    by = Window.partitionBy("key").orderBy("at_ms", "seq")
+    pause = F.col("at_ms") - F.lag("at_ms").over(by) > max(z.window_ms, z.block_ms)
+    bursts = attempts.withColumn("_new", F.coalesce(pause, F.lit(False)).cast("int")).withColumn("_burst", F.sum("_new").over(by))
+    listed = bursts.groupBy("key", "_burst").agg(F.sort_array(F.collect_list(F.struct("at_ms", "seq", "ok"))).alias("rows"))
     zero = F.lit(0).cast("long")
     kind = "array<struct<seq:bigint,verdict:string,failures:bigint>>"
     start = F.struct(zero.alias("n"), zero.alias("start"), zero.alias("until"), F.array().cast(kind).alias("out"))
@@ -99,12 +103,36 @@ def presence(log: DataFrame, key: str, ts: str, opens: Column, closes: Column) -
     return rows.where("_open").select("event_id", key, "until_event", secs.alias("micros"))
 
 
+def newest(batch: DataFrame) -> DataFrame:
+    """The newest snapshot of every key."""
+    cols = [c for c in batch.columns if c != "key"]
+    best = batch.groupBy("key").agg(F.max_by(F.struct(*cols), F.col("version")).alias("s"))
+    return best.select("key", *[F.col(f"s.{c}").alias(c) for c in cols])
+
+
 def change_feed(commits: DataFrame, sink, checkpoint: str, trigger: dict | None = None):
-    """Push each micro-batch's newest snapshot of every key to ``sink(batch, id)``; older versions in it are dropped."""
+    """Push each micro-batch's newest snapshot of every key to ``sink(batch, id)``; older versions in it are dropped. A reader that comes back goes on from the
+    checkpoint; ``replay`` gives it what it missed."""
 
     def push(batch: DataFrame, batch_id: int) -> None:
-        cols = [c for c in batch.columns if c != "key"]
-        newest = batch.groupBy("key").agg(F.max_by(F.struct(*cols), F.col("version")).alias("s"))
-        sink(newest.select("key", *[F.col(f"s.{c}").alias(c) for c in cols]), batch_id)
+        sink(newest(batch), batch_id)
 
     return commits.writeStream.foreachBatch(push).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def masked_for(rows: DataFrame, viewers: DataFrame, money: tuple[str, ...], show_others: bool = False) -> DataFrame:
+    """(viewer_id, rows): what each viewer of a key is sent. Viewers: viewer_id, key, role, viewer_team; money columns read null for teams that a viewer may not
+    look into."""
+    sees = F.lit(show_others) | (F.col("role") == "admin") | F.coalesce((F.col("role") == "team") & (F.col("viewer_team") == F.col("team_id")), F.lit(False))
+    out = rows.join(viewers, "key")
+    return out.select("viewer_id", *[F.when(sees, F.col(c)).alias(c) if c in money else F.col(c) for c in rows.columns])
+
+
+def replay(snapshots: DataFrame, readers: DataFrame) -> DataFrame:
+    """What a reader that connects again is sent: the newest snapshot of its key unless it has seen a later one. Readers: reader_id, key, seen."""
+    return newest(snapshots).join(readers, "key").where("seen is null or version >= seen").drop("seen")
+
+
+def active_sessions(sessions: DataFrame, teams: DataFrame) -> DataFrame:
+    """Sessions of teams that are still registered and active."""
+    return sessions.join(teams.where("active").select(F.col("team_id").alias("_t")), F.col("team_id") == F.col("_t"), "left_semi")

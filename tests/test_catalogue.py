@@ -9,7 +9,7 @@ from ledgerloom.plans.catalogue import QUERIES
 from ledgerloom.plans.oracle import ORACLES
 
 DATA = "/root/testdata/sf0.001"
-ROWS_ONLY = {"command_fold", "csv_ingest"}
+ROWS_ONLY: set[str] = set()
 
 
 @pytest.fixture(scope="module")

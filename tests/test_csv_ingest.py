@@ -67,3 +67,18 @@ def test_teams_refused_for_their_name_leave_their_id_free(spark):
     assert not any("pin" in c for c in out.columns)
     got = {r["line"]: r["error"] for r in out.collect()}
     assert got == {2: None, 3: "duplicate name in the file", 4: None, 5: "duplicate id in the file", 6: "duplicate name in the pool", 7: "bad purse", 8: "active is no boolean", 9: "bad pin"}
+
+
+def test_append_refuses_an_import_that_clashes(spark):
+    pool = spark.createDataFrame([("p-1", "Ann")], "player_id string, name string")
+    new = spark.createDataFrame([("f", "p-2", "Bo")], "path string, player_id string, name string")
+    assert sorted(tuple(r) for r in C.append(pool, new, "player_id").collect()) == [("p-1", "Ann"), ("p-2", "Bo")]
+    with pytest.raises(ValueError, match="nothing was imported"):
+        C.append(pool, new.unionByName(spark.createDataFrame([("f", "P-1", "X")], new.schema)), "player_id")
+
+
+def test_calls_have_views_of_their_own(spark):
+    a = C.read_records(spark, files(spark, "id,name,role,baseprice\nq-1,A,bowler,1\n"), C.PLAYER_COLUMNS)
+    b = C.read_records(spark, files(spark, "id,name,role,baseprice\nq-2,A,bowler,1\nq-3,B,bowler,1\n"), C.PLAYER_COLUMNS)
+    assert (a.count(), b.count()) == (1, 2)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("csv_files")]

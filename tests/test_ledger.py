@@ -76,6 +76,41 @@ def test_roles_at_their_bounds(spark):
     assert roster.role_counts(lines, players, ("Batter", "Bowler", "Keeper")).first().asDict() == {"team_id": "t1", "Batter": 3, "Bowler": 1, "Keeper": 0}
 
 
+def test_sorts(spark):
+    """Names in the order of a dictionary; prices up in the pool and down in a squad; ties in pool order."""
+    rows = [(1, "b", "Bowler", 5), (2, "a", "bowler", 7), (3, "B", "Bowler", 5), (4, "é", "Batter", 1), (5, "_x", "Batter", 9), (6, "10", "Batter", 7), (7, "e", "Batter", 0), (8, "9", "Batter", 3)]
+    p = spark.createDataFrame(rows, "player_id long, name string, role string, base_price long").withColumns({"category": F.lit(""), "status": F.lit("available"), "price": F.col("base_price")})
+    ids = lambda df: [r["player_id"] for r in df.collect()]
+    assert ids(roster.player_table(p)) == [5, 6, 8, 2, 1, 3, 7, 4]
+    assert ids(roster.player_table(p, sort="price")) == [7, 4, 8, 1, 3, 2, 6, 5]
+    assert ids(roster.squad_table(p, "price")) == [5, 2, 6, 1, 3, 8, 4, 7]
+    assert ids(roster.player_table(p, sort="role"))[:5] == [5, 6, 8, 7, 4]
+    mixed = p.withColumn("status", F.when(F.col("player_id") < 3, "sold").when(F.col("player_id") < 6, "unsold").otherwise("available"))
+    assert sorted(ids(roster.player_table(mixed, status="available", reintroduce=False))) == [6, 7, 8]
+    assert sorted(ids(roster.player_table(mixed, status="available"))) == [3, 4, 5, 6, 7, 8] and sorted(ids(roster.player_table(mixed, status="sold"))) == [1, 2]
+    assert ids(roster.first_eligible(mixed, True)) == [3] and ids(roster.first_eligible(mixed, False)) == [6] and ids(roster.first_eligible(mixed.limit(0), True)) == []
+
+
+def test_queue_ranks_across_ranges(spark):
+    p = spark.range(1, 400).where("id % 3 <> 0").select(F.col("id").alias("player_id"), F.lit("n").alias("name"), F.lit("x").alias("role"))
+    got = [(r["player_id"], r["rank"], r["label"]) for r in roster.queue(p, "x", width=7).orderBy("rank").collect()]
+    ids = [i for i in range(1, 400) if i % 3]
+    assert got == [(i, k, str(k).zfill(3)) for k, i in enumerate(ids, 1)]
+
+
+def test_tiers(spark):
+    t = spark.createDataFrame([("a", 1, 100, 1), ("a", 2, None, 1), ("a", 3, 50, 1), ("b", 1, 1, 0), ("c", 1, 5, 1), ("c", 2, None, 1), ("d", 1, 9, 1), ("d", 2, 5, 1), ("d", 3, 7, 1)], "set_id string, tier_no int, up_to long, increment long")
+    keys = lambda df: sorted(r["key"] for r in df.collect())
+    assert keys(integrity.tier_order(t)) == ["a/3", "b/1", "d/2", "d/3"]
+    assert keys(integrity.tier_order(t, entered=True)) == ["a/2", "a/3", "b/1", "d/2", "d/3"]
+
+
+def test_transaction_fields(spark):
+    rows = [("a", 1, "sale", "t", 5, False, None), ("b", 2, "sale", None, 5, False, None), ("c", 3, "sale", "t", 0, False, None), ("d", 4, "sale", "t", 5, None, None), ("e", 5, "unsold", "t", None, None, None), ("f", 6, "undo", "t", 5, None, "a"), ("g", 7, "undo", None, None, None, None), ("h", 0, "unsold", None, None, None, None), ("i", 9, None, None, None, None, None)]
+    tx = spark.createDataFrame(rows, "tx_id string, sequence long, type string, team_id string, price long, reversed boolean, reference_id string")
+    assert {r["key"]: r["detail"] for r in integrity.transaction_fields(tx).collect()} == {"b": "sale", "c": "sale", "d": "sale", "e": "unsold", "g": "undo", "h": "sequence", "i": "type"}
+
+
 def test_search_and_eligibility(spark):
     p = spark.createDataFrame([("p1", "Ann Lee", "Batter", None), ("p2", "Bo", "Bowler", "A")], "player_id string, name string, role string, category string")
     ids = lambda df: sorted(r["player_id"] for r in df.collect())
@@ -91,6 +126,13 @@ def test_masking(teams, tx):
     assert seen(viewer_team=None, admin=True) == seen(viewer_team=None, show_others=True) == {"t1", "t2", "t3"}
 
 
+def test_pins(teams, tx):
+    f = ledger.team_finance(teams, ledger.active_sales(tx)).withColumn("has_pin", F.col("team_id") == "t1")
+    need = lambda **k: {r["team_id"] for r in roster.masked(f, None, **k).collect() if r["pin_required"]}
+    assert need(show_others=True) == {"t1"} and need() == need(show_others=True, require_pin=True) == {"t1", "t2", "t3"}
+    assert all(r["purchased"] is None for r in roster.masked(f, None).collect())
+
+
 def test_slots(spark):
     f = spark.createDataFrame([("t", 7)], "team_id string, purchased long")
     assert tuple(roster.slots(f, 3, 6).first())[2:] == (0, "0", -4)
@@ -119,8 +161,23 @@ def test_csv_cells(spark, tmp_path):
     df = spark.createDataFrame([('=1+1', None, 'say "hi"', "-3", "plain")], "a string, b string, c string, d string, e string")
     assert report.csv_lines(df, list("abcde")).first()["line"] == '"\'=1+1","","say ""hi""","\'-3","plain"'
     report.write_csv(df, str(tmp_path / "out"), list("abcde"))
-    text = next((tmp_path / "out").glob("*.csv")).read_text()
-    assert text.splitlines() == ['"a","b","c","d","e"', '"\'=1+1","","say ""hi""","\'-3","plain"']
+    assert exported(tmp_path / "out") == '\ufeff"a","b","c","d","e"\r\n"\'=1+1","","say ""hi""","\'-3","plain"\r\n'
+
+
+def exported(folder):
+    """All parts in the order of their names."""
+    return "".join(p.read_bytes().decode() for p in sorted(folder.glob("part-*")))
+
+
+def test_csv_export_of_many_parts(spark, tmp_path):
+    """One mark and one header however many parts there are, rows in order, no part without rows but the header's."""
+    df = spark.range(1000).repartition(7).select("id", F.concat(F.lit("é\n"), F.col("id")).alias("name"))
+    report.write_csv(df, str(tmp_path / "out"), ["id", "name"], ["id"])
+    text = exported(tmp_path / "out")
+    assert text == '\ufeff"id","name"\r\n' + "".join(f'"{i}","é\n{i}"\r\n' for i in range(1000))
+    assert all(p.stat().st_size for p in (tmp_path / "out").glob("part-*"))
+    report.write_csv(df.limit(0), str(tmp_path / "none"), ["id"], ["id"])
+    assert exported(tmp_path / "none") == '\ufeff"id"\r\n'
 
 
 def test_nested_report_and_export(spark, teams, tx):

@@ -8,7 +8,7 @@ from ledgerloom.sources import snapshots as S
 def state(version=1, **change):
     s = {
         "schemaVersion": 1, "version": version, "updatedAt": "2024-01-01T00:00:00.000Z",
-        "auction": {"name": "Cup", "status": "live", "result": "sold", "currency": "INR", "startingPurse": 1000, "defaultBidIncrement": 50, "minSquadSize": 1, "maxSquadSize": None, "sequence": 3, "currentPlayerId": None, "highestBidTeamId": None, "highestBid": None, "showOtherPurses": False, "requireTeamPin": False, "allowUnsoldReintroduction": True, "bidIncrements": [{"upTo": 100, "increment": 5}, {"upTo": None, "increment": 10}], "roleRequirements": {"batter": {"min": 0, "max": None}}},
+        "auction": {"name": "Cup", "status": "live", "result": "waiting", "currency": "INR", "currencySymbol": "₹", "revealNextPlayer": False, "allowOverride": True, "startingPurse": 1000, "defaultBidIncrement": 50, "minSquadSize": 1, "maxSquadSize": None, "sequence": 3, "currentPlayerId": None, "highestBidTeamId": None, "highestBid": None, "showOtherPurses": False, "requireTeamPin": False, "allowUnsoldReintroduction": True, "bidIncrements": [{"upTo": 100, "increment": 5}, {"upTo": None, "increment": 10}], "roleRequirements": {"batter": {"min": 0, "max": None}}},
         "teams": [{"id": "t1", "name": "Reds", "owner": "", "logo": "", "initialPurse": 1000, "active": True, "pinHash": "h1"}, {"id": "t2", "name": "Blues", "owner": "", "logo": "", "initialPurse": 1000, "active": True, "pinHash": None}],
         "players": [{"id": "p1", "name": "A", "role": "Batter", "category": "", "basePrice": 1, "status": "sold", "teamId": "t1", "salePrice": 400, "sequence": 3}, {"id": "p2", "name": "B", "role": "Bowler", "category": "", "basePrice": 1, "status": "available", "teamId": None, "salePrice": None, "sequence": None}],
         "transactions": [
@@ -42,8 +42,9 @@ def test_valid(spark, tmp_path):
 
 BROKEN = [
     ("schemaVersion", 2, "schema version"), ("updatedAt", "soon", "updatedAt"), ("teams", None, "root shape"), ("auction__status", "odd", "status"), ("auction__maxSquadSize", 0, "settings"), ("auction__bidIncrements__0__upTo", None, "tiers"),
-    ("auction__roleRequirements__batter__max", -1, "role rules"), ("teams__1__name", " reds", "team names"), ("teams__1__id", "t1", "team ids"), ("players__1__status", "sold", "sold state"), ("players__0__teamId", "t9", "player team"), ("auction__currentPlayerId", "p2", "current player"),
+    ("auction__roleRequirements__batter__max", -1, "role rules"), ("teams__1__name", " reds", "team names"), ("teams__1__id", "t1", "team ids"), ("players__1__status", "sold", "sold state"), ("players__0__teamId", "t9", "player team"), 
     ("auction__highestBidTeamId", "t1", "bid"), ("transactions__1__sequence", 1, "transaction ids"), ("transactions__1__referenceId", "c", "undo reference"), ("transactions__0__reversed", False, "one sale a player"), ("players__0__salePrice", 401, "sale matches player"), ("transactions__2__reversed", True, "player has sale"),
+    ("auction__result", "sold", "result state"), ("auction__result", "live", "result state"), ("auction__currencySymbol", "", "currency symbol"), ("auction__allowOverride", None, "switches"), ("auction__currentPlayerId", "p9", "current player"),
     ("auction__sequence", 2, "sequence"), ("teams__0__initialPurse", 399, "overspent"),
 ]
 
@@ -101,3 +102,27 @@ def test_commit_guards_the_version(spark, tmp_path):
     with pytest.raises(ValueError, match="updatedAt"):
         S.commit(cur.withColumn("updatedAt", F.lit("x")), folder, 2, "20240104")
     assert sorted(p.name for p in tmp_path.glob("*.json")) == ["snapshot-1-v1.json", "snapshot-20240102-v2.json"]
+
+
+def test_a_finished_player_stays_current(spark, tmp_path):
+    put(tmp_path, "snapshot-1-v1.json", state(auction__currentPlayerId="p1", auction__result="sold"), 1)
+    assert S.validated(S.load(spark, str(tmp_path))).first()["problems"] == []
+
+
+def test_two_writers_with_different_stamps(spark, tmp_path):
+    """The first one to claim a version writes it; the other raises, whatever its stamp, until a dead writer's claim is taken back."""
+    put(tmp_path, "snapshot-1-v1.json", state(1), 100)
+    cur = S.load(spark, f"{tmp_path}/snapshot-1-v1.json")
+    (tmp_path / "_claim-v2").touch()
+    with pytest.raises(RuntimeError, match="claimed"):
+        S.commit(cur, str(tmp_path), 1, "20240102")
+    assert [p.name for p in tmp_path.glob("*.json")] == ["snapshot-1-v1.json"]
+    S.release_claim(spark, str(tmp_path), 2)
+    assert S.commit(cur, str(tmp_path), 1, "20240103") == 2
+
+
+def test_prune_keeps_the_newest(spark, tmp_path):
+    for i in range(1, 6):
+        put(tmp_path, f"snapshot-{i}-v{i}.json", state(i), 100 * i)
+    assert sorted(S.prune(spark, str(tmp_path), 2)) == [f"snapshot-{i}-v{i}.json" for i in (1, 2, 3)]
+    assert sorted(p.name for p in tmp_path.glob("*.json")) == ["snapshot-4-v4.json", "snapshot-5-v5.json"]

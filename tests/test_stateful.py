@@ -163,3 +163,97 @@ def test_fold_runs_each_event_alone(spark):
     df = spark.createDataFrame(log, "event_id long, seq long, command string, player_id string, team_id string, amount long, override boolean")
     out = fold(df).where("command = 'sell'").collect()
     assert sorted((x["event_id"], x["accepted"], x["price"], x["remaining"]) for x in out) == [(1, True, 100, 900), (2, True, 100, 900)]
+
+
+def test_undo_after_an_override_sale():
+    """An override changes team and price of a sale, but needs a bid; undo brings the bid back, and the sale can be confirmed again."""
+    no_bid = play(("player.select", "p1", None, None, False), ("sell", None, "t2", 500, True))
+    assert no_bid[-1][2:4] == (False, "no bid")
+    rows = play(("player.select", "p1", None, None, False), ("bid", None, "t1", 100, False), ("sell", None, "t2", 500, True), ("undo", None, None, None, False), ("sell", None, None, None, False))
+    assert [r[2] for r in rows[5:]] == [True] * 5
+    assert rows[-3][6:] == ("t2", 500, 500) and rows[-2][6:] == ("t2", 500, 1000) and rows[-1][6:] == ("t1", 100, 900)
+
+
+def test_undo_puts_a_selected_player_back_to_its_latest_result():
+    one = [("player.select", "p1", None, None, False), ("unsold", None, None, None, False), ("player.select", "p2", None, None, False), ("bid", None, "t1", 100, False), ("sell", None, None, None, False)]
+    again = [("player.select", "p1", None, None, False), ("undo", None, None, None, False), ("undo", None, None, None, False)]
+    off = Settings(reintroduce=False)
+    rows = play(*one, ("undo", None, None, None, False), ("sell", None, None, None, False), settings=off)
+    assert [r[2] for r in rows[5:]] == [True] * 7
+    rows = play(*one, *again)
+    assert [r[2] for r in rows[-3:]] == [True, True, False]
+    # p1 was unsold before it was selected, so it is unsold again and, without reintroduction, not eligible
+    state = [("player.select", "p1", None, None, False)]
+    rows = play(*one, *again[:2], ("sell", None, None, None, False), *state)
+    assert rows[-1][2]
+
+
+def test_setup_commands_with_details():
+    rows = [
+        (1, "team.add", None, "t1", None, False, {"name": "Reds", "active": False}),
+        (2, "team.add", None, "t2", None, False, {"name": " reds "}),
+        (3, "start", None, None, None, False),
+        (4, "player.import", None, None, None, False, {"rows": [{"id": "p1", "role": "batsman", "basePrice": 70}, {"id": "p2", "role": "Umpire"}]}),
+        (5, "player.import", None, None, None, False, {"rows": [{"id": "p1", "role": "batsman", "basePrice": 70}, {"id": "p2", "role": "keeper"}]}),
+        (6, "player.import", None, None, None, False, {"rows": [{"id": "p3"}, {"id": "p1"}]}),
+        (7, "player.update", "p2", None, None, False, {"id": "p1"}),
+        (8, "player.update", "p2", None, None, False, {"id": "p9", "role": "Batter"}),
+        (9, "start", None, None, None, False),
+        (10, "team.import", None, None, None, False, {"rows": [{"id": "t5", "name": "Blues"}, {"id": "t6", "name": "blues"}]}),
+        (11, "team.import", None, None, None, False, {"rows": [{"id": "t5", "name": "Blues", "initialPurse": 300}]}),
+        (12, "settings.update", None, None, None, False, {"tiers": [[None, 5], [100, 5]]}),
+        (13, "settings.update", None, None, None, False, {"show_others": False}),
+        (14, "settings.update", None, None, None, False, {"min_squad": 4, "max_squad": 3}),
+        (15, "settings.update", None, None, None, False, {"step": 10, "role_max": {"Batter": 1}, "tiers": [[100, 10], [None, 25]]}),
+        (16, "team.update", None, "t1", None, False, {"name": "BLUES"}),
+        (17, "start", None, None, None, False),
+        (18, "settings.update", None, None, None, False, {"step": 1}),
+        (19, "player.select", "p1", None, None, False),
+        (20, "bid", None, "t1", 70, False),
+        (21, "bid", None, "t5", 70, False),
+        (22, "sell", None, None, None, False),
+        (23, "player.select", "p9", None, None, False),
+        (24, "bid", None, "t5", 100, False),
+    ]
+    out = run_commands(iter(rows), Settings())
+    assert [r[2] for r in out] == [True, False, False, False, True, False, False, True, False, False, True, False, False, False, True, False, True, False, True, False, True, True, True, False]
+    why = {r[0]: r[3] for r in out if not r[2]}
+    assert why[2] == "team name exists" and why[3] == why[9] == "needs an active team and a player" and why[4] == "unknown role" and why[6] == why[7] == "player exists"
+    assert why[10] == why[16] == "team name exists" and why[12] == "an open tier must be the last" and why[13] == "needs a pin" and why[14] == "least squad size above the most"
+    assert why[18] == "already started" and why[20] == "no such team" and why[24] == "role is full"
+
+
+def test_limiter_cuts_bursts(spark):
+    """A pause longer than the window and the block starts afresh: verdicts are those of the steps, over many bursts of one key."""
+    r = random.Random(5)
+    t, log = 0, []
+    for i in range(600):
+        t += r.choice([100, 1000, 290_000, 300_000, 300_001, 900_000])
+        log.append(("k", t, i, r.random() < 0.05))
+    df = spark.createDataFrame(log, "key string, at_ms long, seq long, ok boolean")
+    got = {x["seq"]: (x["verdict"], x["failures"]) for x in stateful.limit_batch(df).collect()}
+    assert [got[i] for i in range(600)] == verdicts(Limiter(), [(a, ok) for _, a, _, ok in log])
+
+
+def test_masked_feed_and_replay(spark):
+    rows = spark.createDataFrame([("a", 1, 10), ("a", 2, 20), ("b", 3, 30)], "key string, team_id long, spent long")
+    viewers = spark.createDataFrame([(1, "a", "admin", None), (2, "a", "team", 2), (3, "a", "display", None), (4, "b", "team", 2)], "viewer_id int, key string, role string, viewer_team long")
+    got = sorted((x["viewer_id"], x["team_id"], x["spent"]) for x in stateful.masked_for(rows, viewers, ("spent",)).collect() if x["spent"] is not None)
+    assert got == [(1, 1, 10), (1, 2, 20), (2, 2, 20)] and stateful.masked_for(rows, viewers, ("spent",)).count() == 7
+    snaps = spark.createDataFrame([("a", 1, "x"), ("a", 3, "z"), ("a", 2, "y")], "key string, version long, v string")
+    readers = spark.createDataFrame([("p", "a", None), ("q", "a", 3), ("r", "a", 4), ("s", "c", 1)], "reader_id string, key string, seen long")
+    assert {(x["reader_id"], x["v"]) for x in stateful.replay(snaps, readers).collect()} == {("p", "z"), ("q", "z")}
+
+
+def test_fold_streams_over_batches(spark):
+    """Events split over Arrow batches go on with the state they had."""
+    log = [(e, *r) for e in range(30) for r in [*SETUP, *[(10 + 2 * i + j, c, "p1" if c == "player.select" else None, None, None, False) for i in range(20) for j, c in enumerate(("player.select", "unsold"))]]]
+    random.Random(3).shuffle(log)
+    df = spark.createDataFrame(log, "event_id long, seq long, command string, player_id string, team_id string, amount long, override boolean")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        out = fold(df).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(out) == len(log) and all(x["accepted"] for x in out)
+    assert sorted(x["tx_sequence"] for x in out if x["event_id"] == 7 and x["tx_sequence"]) == list(range(1, 21))
