@@ -33,7 +33,7 @@ def tier_order(tiers: DataFrame, entered: bool = False) -> DataFrame:
     """Ceilings must be above all ceilings before them and increments positive; open tiers may stand anywhere. ``entered``: the stricter rule for new
     settings, by which only the last tier may be open. Tiers are a short settings list."""
     by = Window.partitionBy("set_id").orderBy("tier_no")
-    highest = F.coalesce(F.max("up_to").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    highest = F.greatest(F.max("up_to").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     rows = tiers.withColumns({"_before": highest, "_last": F.lead("tier_no").over(by).isNull()})
     wrong = (F.col("up_to") <= F.col("_before")) | (F.col("increment") < 1)
     if entered:
