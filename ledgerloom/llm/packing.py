@@ -20,6 +20,8 @@ from .common import materialize
 from .token_counts import count_tokens
 
 MAX_LEN, BUCKETS, BATCH_TOKENS, GROUP_BATCHES = 2048, 16, 65_536, 64
+#: The 50k vocabulary as ranks: the same tokens as the .json file's, but a special string inside a text is ordinary text.
+TOKENIZER = "byte_bpe_50k.tiktoken"
 
 
 def optimal_boundaries(histogram: dict[int, int], buckets: int) -> list[int]:
@@ -55,7 +57,7 @@ def sequences(lengths: DataFrame, id_col: str, n_col: str, max_len: int) -> Data
     return rows.select(id_col, "_row", "seq_no", F.least(F.lit(max_len).cast("long"), F.col("_n") - F.col("seq_no") * max_len).alias("seq_tokens"))
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", max_len: int = MAX_LEN, buckets: int = BUCKETS, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, max_len: int = MAX_LEN, buckets: int = BUCKETS, batch_tokens: int = BATCH_TOKENS) -> DataFrame:
     """(id_col, seq_no, seq_tokens, bucket_len, batch_id): one row for each sequence; a batch has at most
     ``batch_tokens`` tokens, padding to its bucket's length counted."""
     lengths = count_tokens(docs, tokenizer, id_col, text_col).select(id_col, "n_tokens")

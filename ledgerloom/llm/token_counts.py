@@ -5,7 +5,7 @@ characters. No piece of a byte-level pre-tokenizer runs over such a place (a pie
 parts add up to the count of the whole, and a very long text never meets the encoder at once. The parts of an Arrow batch go to
 the encoder in calls of about equal UTF-8 bytes (``balanced``): many short texts share a call, a long one fills several.
 
-Every part goes through the library of the vocabulary file: ``tokenizers`` for .json, ``sentencepiece`` for .model. Other
+Every part goes through the library of the vocabulary file: ``tokenizers`` for .json, ``sentencepiece`` for .model, ``tiktoken`` for .tiktoken. Other
 vocabularies than byte-level ones have no safe places; their texts are not cut.
 
 Defined results: null counts as empty (0 bytes, 0 tokens); special strings inside texts are what the tokenizer file makes of them by default; no
@@ -14,6 +14,7 @@ begin, end or added tokens; no truncation or padding; one row for each input row
 
 from __future__ import annotations
 
+import base64
 import functools
 import os
 import re
@@ -35,6 +36,13 @@ def library(name: str) -> tuple[Callable[[list[str]], list[int]], bool]:
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has its cores already
     path = str(public_tokenizers.path(name))
+    if name.endswith(".tiktoken"):
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        enc = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [len(x) for x in enc.encode_ordinary_batch(texts, num_threads=1)], True
     if not name.endswith(".json"):
         import sentencepiece
 
