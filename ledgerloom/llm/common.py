@@ -92,6 +92,24 @@ def sweep(spark: SparkSession, made: list[str], keep: str) -> None:
     release(spark, gone)
 
 
+#: Bits of a key filter: 4 MB in all, whatever the number of keys.
+FILTER_BITS = 1 << 25
+
+
+def split_by_keys(rows: DataFrame, key: Column, keys: DataFrame, held: list | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have one of the keys, rows that certainly have none). ``keys`` has one long column, ``key`` is the rows' counterpart, both hashed well.
+    A bitmap of fixed size is built from the keys and broadcast; only the first part needs a shuffle to meet them. More keys than the bitmap can tell apart make that part
+    larger, never wrong. The key must not be null."""
+    place = lambda c: F.pmod(c, F.lit(FILTER_BITS).cast("long")) + 1
+    bits = keys.select(place(F.col(keys.columns[0])).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_m"))
+    bits = materialize(bits, "key-bits", held)  # FILTER_BITS / 32768 rows of 4 kB at most
+    at = rows.withColumn("_p", place(key)).join(F.broadcast(bits), F.bitmap_bucket_number("_p") == F.col("_b"), "left")
+    bit = F.bitmap_bit_position("_p")
+    byte = F.conv(F.hex(F.substring(F.col("_m"), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+    return at.where(hit).select(*rows.columns), at.where(~hit).select(*rows.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WS, let, materialize, release, shield
+from .common import WORD, WS, let, materialize, release, shield, split_by_keys
 
 SPAN_WORDS, REACH_WORDS, MIN_RUN_WORDS = 20, 30, 50
 
@@ -151,14 +151,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hit = gone.select(F.col("k1").alias("g1"), F.col("k2").alias("g2"), "gone")
     k1, k2 = keys_of(inner, i, t)
     rows = inner.withColumns({"k1": k1, "k2": k2})
-    # hashed at every size: the deletions grow with the corpus, so they are never broadcast, and texts need no sort
-    out = rows.join(hit.hint("shuffle_hash"), (F.col("k1") == F.col("g1")) & (F.col("k2") == F.col("g2")), "left")
+    # most texts lose nothing and stay where they are; the others meet the deletions in a hashed join, whatever the size
+    maybe, same = split_by_keys(rows, F.xxhash64("k1", "k2"), gone.select(F.xxhash64("k1", "k2")))
+    out = maybe.join(hit.hint("shuffle_hash"), (F.col("k1") == F.col("g1")) & (F.col("k2") == F.col("g2")), "left")
     # lines whose number isn't deleted: the counts of deletions before both their ends are equal
     left = let(
         F.split(F.col(t).cast("string"), "\n"),
         lambda ls: let(counts_before(F.col("gone"), F.size(ls)), lambda c: F.array_join(F.filter(ls, lambda x, i: F.get(c, i) == F.get(c, i + 1)), "\n")),
     )
     out = out.withColumn(t, F.when(F.col("gone").isNull(), F.col(t)).otherwise(left.cast(inner.schema[t].dataType)))
+    out = out.unionByName(same.withColumns({"gone": F.lit(None).cast("array<int>"), "g1": F.lit(None).cast(out.schema["g1"].dataType), "g2": F.lit(None).cast("long")}))
     if not removed:
         return restore(out)
     n = F.coalesce(F.size("gone"), F.lit(0)).cast("long")

@@ -17,7 +17,7 @@ shingle length make one shingle of the whole sequence; repeated rows each get a
 component id unless the whole component has none; ids may be of any type that can be ordered; other columns are dropped, so clashing names don't matter.
 
 ``deduplicate`` links texts by the Jaccard similarity of their five-word shingle sets: longer fingerprints, compared by the same bit planes inside buckets of
-sets that share minima, give candidates, which are verified exactly.
+sets that share minima, give candidates, which are verified exactly where they are found.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, materialize, release, shield
+from .common import arrow_schema, materialize, release, shield, split_by_keys
 
 BITS = 64
 #: Distinct fingerprints of a bucket that are compared directly; larger buckets are cut again.
@@ -134,11 +134,11 @@ def bit_planes(fps: np.ndarray) -> np.ndarray:
 _BELOW = np.array([(1 << i) - 1 for i in range(65)], dtype=np.uint64)  # the lowest i lanes
 
 
-def links_in_runs(keys: np.ndarray, fps: np.ndarray, radius: int, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i > j within the radius. Rows are sorted by key, then by label if there are labels; all rows of a key with different labels are compared."""
+def near_in_runs(keys: np.ndarray, fps: np.ndarray, radius: int, labels: np.ndarray | None = None, tiles_at_once: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i > j within the radius, by parts. Rows are sorted by key, then by label if there are labels; all rows of a key with different labels are compared."""
     n, words = fps.shape
     if not n:
-        return np.zeros(0, int), np.zeros(0, int)
+        return
     tiles = -(-n // 64)
     padded = np.zeros((tiles * 64, words), dtype=np.uint64)
     padded[:n] = fps
@@ -151,10 +151,9 @@ def links_in_runs(keys: np.ndarray, fps: np.ndarray, radius: int, labels: np.nda
     end[:n] = at if labels is None else np.maximum.accumulate(np.where(first | np.concatenate([[True], labels[1:] != labels[:-1]]), at, 0))
     # the furthest tile back that a row of tile t still has to meet
     back = np.arange(tiles) - begin[np.arange(tiles) * 64] // 64
-    left, right = [], []
     for off in range(int(back.max(initial=0)) + 1):
         t = np.nonzero(back >= off)[0]
-        for part in np.array_split(t, max(1, len(t) // 512)):
+        for part in np.array_split(t, max(1, len(t) // tiles_at_once)):
             if not len(part):
                 continue
             base = (part - off)[:, None] * 64
@@ -166,11 +165,15 @@ def links_in_runs(keys: np.ndarray, fps: np.ndarray, radius: int, labels: np.nda
                 continue
             lanes = np.unpackbits(hit[rows, cols].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             r, lane = np.nonzero(lanes)
-            left.append(part[rows[r]] * 64 + cols[r])
-            right.append((part[rows[r]] - off) * 64 + lane)
-    if not left:
+            yield part[rows[r]] * 64 + cols[r], (part[rows[r]] - off) * 64 + lane
+
+
+def links_in_runs(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All index pairs i > j of a key within the radius."""
+    found = list(near_in_runs(keys, fps, radius))
+    if not found:
         return np.zeros(0, int), np.zeros(0, int)
-    return np.concatenate(left), np.concatenate(right)
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
 
 def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -309,12 +312,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 #: Near copies: least similarity of shingle sets; minima in a key and keys of a set; keys whose buckets are first linked as stars.
-SIMILARITY, BAND, TABLES, STARS = 0.8, 8, 42, 12
+SIMILARITY, BAND, TABLES, STARS = 0.8, 8, 42, 4
 #: Bits of the fingerprints of shingle sets, and the radius within which two of them are candidates: at a similarity of 0.8 the expected
 #: distance is 155 with a standard deviation of 11.5.
 SET_BITS, SET_RADIUS = 1024, 192
-#: Rows of a bucket that are compared in one block; larger buckets are compared block by block, every block with every other.
-PART = 2048
+#: Rows of a bucket, and bytes of their sets, that make a part; larger buckets are compared part by part, every part with every other.
+PART, PART_BYTES = 2048, 32 << 20
 
 
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -371,84 +374,132 @@ def expected_recall(similarity: float) -> float:
     return (1 - (1 - similarity**BAND) ** TABLES) * near
 
 
-def similar(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: float, shingle: int, held: list) -> DataFrame:
-    """The (a, b) of ``pairs`` whose shingle sets have at least this Jaccard similarity, computed exactly. ``texts`` gives (s, text) for a table of s."""
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(s, grams): the sorted shingle hashes of (s, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t, shingle).view("<i8") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["s", "grams"])
 
+    return texts.mapInArrow(run, "s long, grams array<long>")
+
+
+def similar(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: float, shingle: int, held: list) -> DataFrame:
+    """The (a, b) of ``pairs`` whose shingle sets have at least this Jaccard similarity, computed exactly. ``texts`` gives (s, text) for a table of s."""
     pairs = materialize(pairs, "near-pairs", held)
     ids = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
-    sets = materialize(texts(ids).mapInArrow(run, "s long, grams array<long>"), "shingle-sets", held)
+    sets = materialize(shingle_sets(texts(ids), shingle), "shingle-sets", held)
     side = lambda x: sets.select(F.col("s").alias(x), F.col("grams").alias(f"g{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     shared = F.size(F.array_intersect("ga", "gb"))
     return both.where(shared >= F.lit(similarity) * (F.size("ga") + F.size("gb") - shared) - F.lit(1e-9)).select("a", "b")
 
 
-def bucket_pairs(rows: DataFrame, radius: int, keys: list[str], stars: bool = False) -> DataFrame:
-    """(a, b) with a > b: pairs of one block (``keys``) with different labels whose fingerprints are within the radius, from
-    (keys, label, s, part, fp). ``stars``: only pairs with the block's first row. Blocks are compared one after the other by bit planes, in bounded memory."""
+def _runs(cols: list[np.ndarray]) -> np.ndarray:
+    """Numbers of the runs of equal rows."""
+    change = np.zeros(len(cols[0]), bool)
+    for c in cols:
+        change[1:] |= c[1:] != c[:-1]
+    return np.cumsum(change)
 
-    def pairs(block: np.ndarray, cols: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        s, part = cols["s"], cols["part"]
-        i, j = links_in_runs(block, cols["fp"], radius, None if stars else cols["label"])
-        if stars:
-            ok = np.concatenate([[True], block[1:] != block[:-1]])[j]
-        else:
-            split = cols["i"] != cols["j"]  # a block of two parts: only pairs across
-            ok = ~split[i] | (part[i] != part[j])
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    ends = column.offsets.to_numpy()
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    return [values[a:b] for a, b in zip(ends[:-1] - ends[0], ends[1:] - ends[0], strict=True)]
+
+
+def star_pairs(rows: DataFrame, radius: int) -> DataFrame:
+    """(a, b) with a > b: every set of a bucket with the bucket's first one, if their fingerprints are within the radius, from (key, s, fp). A large bucket streams past
+    its first row."""
+
+    def pairs(key: np.ndarray, s: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        i, j = links_in_runs(key, fp, radius)
+        ok = np.concatenate([[True], key[1:] != key[:-1]])[j]
         a, b = s[i[ok]], s[j[ok]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: dict[str, np.ndarray] | None = None
+        rest: list[np.ndarray] | None = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, PART):
+                part = batch.slice(at, PART)
+                cols = [part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False), np.stack(_lists(part.column(2))).view(np.uint64)]
+                cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)] if rest else cols
+                yield pairs(*cols)
+                last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last bucket may go on: its first row is all it needs
+                rest = [c[last : last + 1] for c in cols]
+
+    dealt = rows.select("key", "s", "fp").repartition("key").sortWithinPartitions("key", "s")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def settled(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """(a, b) with a > b: links that join what the verified pairs of each block join, from (key, i, j, label, s, part, fp, keys, grams). Rows with one label
+    are joined already. In a block, pairs with different labels are compared by bit planes; those within the radius that no earlier table has brought together are verified on
+    their sets, unless links of the block join them by then. So a block gives fewer links than it has rows, whatever its pairs are."""
+
+    def links(cols: dict[str, np.ndarray | list]) -> Iterator[tuple[int, int]]:
+        block, label, part, split = _runs([cols[k] for k in ("key", "i", "j")]), cols["label"], cols["part"], cols["i"] != cols["j"]
+        n, grams, keys, table = len(block), cols["grams"], cols["keys"], cols["key"] & 63
+        up = np.maximum.accumulate(np.where(np.diff(_runs([block, label]), prepend=-1) > 0, np.arange(n), 0)).tolist()
+        tables = np.arange(keys.shape[1])
+
+        def root(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for i, j in near_in_runs(block, cols["fp"], radius, label, 128):
+            for at in range(0, len(i), 1 << 16):
+                a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+                before = ((keys[a] == keys[b]) & (tables < table[a][:, None])).any(axis=1)
+                ok = ~before & (~split[a] | (part[a] != part[b]))  # a block of two parts: only pairs across
+                for x, y in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
+                    p, q = root(x), root(y)
+                    if p == q:
+                        continue
+                    g, h = grams[x], grams[y]
+                    least = similarity * (len(g) + len(h)) / (1 + similarity) - 1e-9  # of the intersection
+                    if min(len(g), len(h)) >= least and len(np.intersect1d(g, h, assume_unique=True)) >= least:
+                        up[max(p, q)] = min(p, q)
+                        yield cols["s"][x], cols["s"][y]
+
+    def out(cols: dict[str, np.ndarray | list]) -> pa.RecordBatch:
+        found = np.array(list(links(cols)), dtype=np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(found.max(axis=1, initial=-(1 << 63))), pa.array(found.min(axis=1, initial=(1 << 63) - 1))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: dict[str, np.ndarray | list] | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = {n: batch.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(names) if n != "fp"}
-            cols["fp"] = batch.column(len(names) - 1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(batch.num_rows, -1)
+            cols = {n: batch.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(names[:6])}
+            cols |= {"fp": np.stack(_lists(batch.column(6))).view(np.uint64), "keys": np.stack(_lists(batch.column(7))), "grams": _lists(batch.column(8))}
             if rest is not None:
-                cols = {n: np.concatenate([rest[n], c]) for n, c in cols.items()}
-            block = _runs([cols[k] for k in keys])
-            last = block[-1]
-            cut = int(np.searchsorted(block, last))  # the last block may go on in the next batch
-            if stars and len(block) - cut > PART:
-                # a star needs only its hub from what has been seen
-                yield from pairs(block, cols)
-                rest = {n: c[cut : cut + 1] for n, c in cols.items()}
-                continue
+                cols = {n: rest[n] + c if n == "grams" else np.concatenate([rest[n], c]) for n, c in cols.items()}
+            block = _runs([cols[k] for k in ("key", "i", "j")])
+            cut = int(np.searchsorted(block, block[-1]))  # the last block may go on in the next batch
             if cut:
-                yield from pairs(block[:cut], {n: c[:cut] for n, c in cols.items()})
+                yield out({n: c[:cut] for n, c in cols.items()})
             rest = {n: c[cut:] for n, c in cols.items()}
         if rest is not None:
-            yield from pairs(_runs([rest[k] for k in keys]), rest)
+            yield out(rest)
 
-    names = [*keys, "label", "s", "part", "fp"]
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *(["s"] if stars else ["label", "s"])).select(*names)
+    names = ["key", "i", "j", "label", "s", "part", "fp", "keys", "grams"]
+    dealt = rows.select(*names).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "label", "s")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _runs(cols: list[np.ndarray]) -> np.ndarray:
-    """Numbers of the runs of equal rows."""
-    change = np.zeros(len(cols[0]), bool)
-    for c in cols:
-        change[1:] |= c[1:] != c[:-1]
-    return np.cumsum(change)
-
-
-def candidates(rows: DataFrame, part: int, radius: int) -> DataFrame:
-    """(a, b) with a > b: pairs of a bucket with different labels and fingerprints within the radius, from (key, s, label, fp). A bucket above ``part`` rows is
-    dealt into parts by hash, and each part meets itself and every other one as a block of its own: exact, and no block is large. Only pairs within the radius are
-    ever made."""
-    of = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    of = of.select("key", F.ceil(F.col("n") / part).cast("long").alias("parts"))
+def in_parts(rows: DataFrame, sizes: DataFrame, part: int, part_bytes: int) -> DataFrame:
+    """(key, i, j, label, s, part): the rows (key, s, label) of buckets that have two labels, a bucket above ``part`` rows or ``part_bytes`` of sets (sizes: s, w shingles) dealt into
+    parts by hash; each part meets itself and every other one in a block (i, j) of its own: exact, and no block is large."""
+    of = rows.join(sizes, "s").groupBy("key").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    of = of.select("key", F.ceil(F.greatest(F.col("n") / part, F.col("w") * 8 / part_bytes)).cast("long").alias("parts"))
     dealt = rows.join(of, "key").withColumn("part", F.pmod(F.xxhash64("s"), F.col("parts")))
     blocks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("i"), F.greatest("part", o).alias("j")))
-    dealt = dealt.select("key", "s", "label", "part", "fp", F.explode(blocks).alias("x")).select("key", "x.i", "x.j", "label", "s", "part", "fp")
-    return bucket_pairs(dealt, radius, ["key", "i", "j"])
+    return dealt.select("key", "s", "label", "part", F.explode(blocks).alias("x")).select("key", "x.i", "x.j", "label", "s", "part")
 
 
 def near_links(groups: DataFrame, texts: Callable[[DataFrame], DataFrame], similarity: float, shingle: int, held: list, radius: int = SET_RADIUS) -> DataFrame:
@@ -456,17 +507,17 @@ def near_links(groups: DataFrame, texts: Callable[[DataFrame], DataFrame], simil
     bands = groups.select("s", F.explode("keys").alias("key"))
     buckets = materialize(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "near-buckets", held)
     shared = materialize(bands.join(buckets, "key"), "near-rows", held)
-    prints = groups.select("s", "fp")
     # stars first: a large group of copies is joined by a link or a few for each member
-    zero = F.lit(0).cast("long")
-    star = shared.where(F.col("key").bitwiseAND(F.lit(63)) < STARS).join(prints, "s").select("key", F.col("s").alias("label"), "s", zero.alias("part"), "fp")
-    first = materialize(similar(bucket_pairs(star, radius, ["key"], stars=True), texts, similarity, shingle, held), "near-links")
+    star = shared.where(F.col("key").bitwiseAND(F.lit(63)) < STARS).join(groups.select("s", "fp"), "s")
+    first = materialize(similar(star_pairs(star, radius), texts, similarity, shingle, held), "near-links")
     comp = components(first)
     # then every pair of a bucket that isn't joined yet
     rows = shared.join(comp, shared["s"] == comp["node"], "left").select("key", "s", F.coalesce("root", "s").alias("label"))
     apart = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    rows = materialize(rows.join(apart, "key").join(prints, "s").select("key", "s", "label", "fp"), "near-labelled", held)
-    second = similar(candidates(rows, PART, radius), texts, similarity, shingle, held)
+    rows = materialize(rows.join(apart, "key"), "near-labelled", held)
+    sets = materialize(shingle_sets(texts(rows.select("s").distinct()), shingle), "shingle-sets", held)
+    dealt = in_parts(rows, sets.select("s", F.size("grams").alias("w")), PART, PART_BYTES)
+    second = settled(dealt.join(sets, "s").join(groups.select("s", "fp", "keys"), "s"), radius, similarity)
     return first.unionByName(second)
 
 
@@ -496,26 +547,30 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*cols, pa.array(ids), *(pa.array(list(x), wire.field(len(wire) - 1).type) for x in (keys, fps))], schema=wire)
 
     rows = materialize(inner.mapInArrow(run, out), "fingerprinted")
-    groups = materialize(rows.groupBy("s").agg(F.min(i).alias("low"), F.first("keys").alias("keys"), F.first("fp").alias("fp")), "near-groups")
+    groups = materialize(rows.groupBy("s").agg(F.min(i).alias("low"), F.count("*").alias("n"), F.first("keys").alias("keys"), F.first("fp").alias("fp")), "near-groups")
 
     def texts(ids: DataFrame) -> DataFrame:
         # the id is a key too: thousands of copies share a set, but not an id
         need = groups.join(ids, "s", "left_semi").select(F.col("s").alias("n_s"), F.col("low").alias("n_low"))
-        found = rows.join(need, (F.col("s") == F.col("n_s")) & F.col(i).eqNullSafe(F.col("n_low")), "left_semi")
+        near, _ = split_by_keys(rows, F.col("s"), ids, held)
+        found = near.join(need, (F.col("s") == F.col("n_s")) & F.col(i).eqNullSafe(F.col("n_low")), "left_semi")
         return found.select("s", F.col(place(text_col)).cast("string").alias("text")).dropDuplicates(["s"])
 
     held: list[str] = []
     edges = materialize(near_links(groups, texts, similarity, shingle, held), "near-links")
     release(docs.sparkSession, held)
-    comp = components(edges)
+    comp = materialize(components(edges), "near-roots")
     roots = groups.join(comp, F.col("s") == F.col("node"), "left").select("s", "low", F.coalesce("root", "s").alias("root"))
     best = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "s"))
     chosen = roots.groupBy("root").agg(best.alias("best")).select(F.col("best.s").alias("c_s"), F.col("best.low").alias("c_low"))
-    kept = rows.join(chosen, (F.col("s") == F.col("c_s")) & F.col(i).eqNullSafe(F.col("c_low")), "left_semi")
-    repeated = rows.groupBy("s", F.col(i).alias("id")).agg(F.count("*").alias("n")).where("n > 1")
+    # rows that are alone with their set and have no link stay where they are
+    suspects = groups.where("n > 1").select("s").unionByName(comp.select(F.col("node").alias("s"))).unionByName(comp.select(F.col("root").alias("s")))
+    maybe, alone = split_by_keys(rows, F.col("s"), suspects)
+    kept = maybe.join(chosen, (F.col("s") == F.col("c_s")) & F.col(i).eqNullSafe(F.col("c_low")), "left_semi")
+    repeated = maybe.groupBy("s", F.col(i).alias("id")).agg(F.count("*").alias("n")).where("n > 1")
     repeated = materialize(repeated.select(F.col("s").alias("r_s"), F.col("id").alias("r_id")), "repeated")
     if not repeated.limit(1).count():
-        return restore(kept)
+        return restore(kept.unionByName(alone))
     same = (F.col("s") == F.col("r_s")) & F.col(i).eqNullSafe(F.col("r_id"))
     once = kept.join(repeated, same, "left_semi").dropDuplicates(["s", i])
-    return restore(kept.join(repeated, same, "left_anti").unionByName(once))
+    return restore(kept.join(repeated, same, "left_anti").unionByName(once).unionByName(alone))

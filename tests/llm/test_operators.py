@@ -159,37 +159,74 @@ def test_deduplicate_pairs_within_a_hot_bucket(spark, monkeypatch):
     assert sorted(x["doc_id"] for x in simhash.deduplicate(docs).collect()) == single_linkage(texts)
 
 
-def test_candidates_are_the_near_pairs_of_each_bucket(spark):
-    """Bit planes against brute force, over buckets dealt into parts of several sizes."""
+def test_near_pairs_of_runs_are_brute_force():
+    """Bit planes against brute force, over several buckets and labels."""
     r = random.Random(23)
     words = simhash.SET_BITS // 64
-    prints = {}
-    for s in range(1, 400):
-        base = prints[r.randrange(1, s)] if s > 5 and r.random() < 0.7 else [r.getrandbits(64) for _ in range(words)]
+    prints = []
+    for k in range(300):
+        base = prints[r.randrange(k)] if k > 5 and r.random() < 0.7 else [r.getrandbits(64) for _ in range(words)]
         flip = list(base)
         for _ in range(r.randrange(120)):
             flip[r.randrange(words)] ^= 1 << r.randrange(64)
-        prints[s] = flip
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    rows = [(k, s, s if r.random() < 0.6 else -1, [signed(x) for x in prints[s]]) for k in range(3) for s in r.sample(range(1, 400), 150)]
-    far = lambda s, t: sum(bin(x ^ y).count("1") for x, y in zip(prints[s], prints[t], strict=True))
-    want = {(max(s, t), min(s, t)) for k, s, x, _ in rows for m, t, y, _ in rows if k == m and x != y and far(s, t) <= simhash.SET_RADIUS}
-    assert len(want) > 100
-    df = spark.createDataFrame(rows, "key long, s long, label long, fp array<long>")
-    for part in (2048, 40, 7):
-        got = simhash.candidates(df, part, simhash.SET_RADIUS).collect()
-        assert len(got) == len(want) and {tuple(x) for x in got} == want
+        prints.append(flip)
+    keys, labels = np.sort(np.array([r.randrange(4) for _ in prints])), np.zeros(300, int)
+    for k in range(4):
+        labels[keys == k] = np.sort([r.randrange(20) for _ in range((keys == k).sum())])
+    far = lambda i, j: sum(bin(x ^ y).count("1") for x, y in zip(prints[i], prints[j], strict=True))
+    want = {(i, j) for i in range(300) for j in range(i) if keys[i] == keys[j] and labels[i] != labels[j] and far(i, j) <= simhash.SET_RADIUS}
+    found = [(a, b) for i, j in simhash.near_in_runs(keys, np.array(prints, dtype=np.uint64), simhash.SET_RADIUS, labels, 2) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+    assert len(want) > 100 and len(found) == len(want) and set(found) == want
+
+
+@pytest.mark.parametrize(("part", "most"), [(2048, 1 << 25), (40, 1 << 25), (2048, 9000)])
+def test_blocks_join_what_brute_force_joins(spark, part, most):
+    """Links of all blocks together with the labels given join the same sets as all pairs of a bucket with a similarity of 0.8; a block gives no more links than rows."""
+    r = random.Random(24)
+    sets = {}
+    for s in range(1, 240):
+        base = sets[r.randrange(1, min(s, 12))] if s > 12 and r.random() < 0.9 else {r.getrandbits(62) for _ in range(r.choice([5, 30, 90]))}
+        keep = r.sample(sorted(base), max(1, int(len(base) * r.uniform(0.85, 1))))
+        sets[s] = {*keep, *(r.getrandbits(62) for _ in range(len(base) - len(keep)))}
+    rows, label = [], {s: s if r.random() < 0.8 else -(s % 5) for s in sets}
+    for s, g in sets.items():
+        h = np.array(sorted(g), dtype="<u8")
+        _, fp = simhash.sketch(h)
+        keys = [(r.randrange(2) << 6) | t for t in range(3)]
+        rows += [(k, s, label[s], fp.tolist(), keys, h.view("<i8").tolist()) for k in keys]
+    df = spark.createDataFrame(rows, "key long, s long, label long, fp array<long>, keys array<long>, grams array<long>")
+    one = df.select("s", "fp", "keys", "grams").dropDuplicates(["s"])
+    dealt = simhash.in_parts(df.select("key", "s", "label"), one.select("s", F.size("grams").alias("w")), part, most)
+    got = [tuple(x) for x in simhash.settled(dealt.join(one, "s"), simhash.SET_BITS, 0.8).collect()]
+    close = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    assert all(a > b and close(a, b) for a, b in got)
+
+    def joined(pairs):
+        up = {s: s for s in sets}
+        root = lambda x: x if up[x] == x else root(up[x])
+        first = {}
+        for s in sets:
+            up[root(s)] = root(first.setdefault(label[s], s))
+        for a, b in pairs:
+            up[root(a)] = root(b)
+        return {frozenset(s for s in sets if root(s) == t) for t in {root(s) for s in sets}}
+
+    members = {}
+    for k, s, *_ in rows:
+        members.setdefault(k, []).append(s)
+    want = {(a, b) for m in members.values() for a in m for b in m if a > b and close(a, b)}
+    assert joined(got) == joined(want) and len(want) > len(got) > 20
 
 
 @pytest.mark.parametrize("part", [2048, 10])
 def test_stars_join_to_the_first_row(spark, monkeypatch, part):
     monkeypatch.setattr(simhash, "PART", part)
     words = simhash.SET_BITS // 64
-    rows = [(k, 0, s, s, [(s >> 3) % 3] * words) for k in (5, 6) for s in range(1, 120) if k == 5 or s % 2]
-    df = spark.createDataFrame(rows, "key long, part long, label long, s long, fp array<long>")
-    far = {x[3]: x[4][0] for x in rows}
+    rows = [(k, s, [(s >> 3) % 3] * words) for k in (5, 6) for s in range(1, 120) if k == 5 or s % 2]
+    df = spark.createDataFrame(rows, "key long, s long, fp array<long>")
+    far = {s: f[0] for _, s, f in rows}
     want = {(s, 1) for s in far if s != 1 and bin(far[s] ^ far[1]).count("1") * words <= 20}
-    assert {tuple(x) for x in simhash.bucket_pairs(df, 20, ["key"], stars=True).collect()} == want
+    assert {tuple(x) for x in simhash.star_pairs(df, 20).collect()} == want
 
 
 def test_deduplicate_recall_by_similarity(spark):
@@ -385,6 +422,14 @@ def test_other_vocabularies(spark):
     sp = sentencepiece.SentencePieceProcessor(model_file=str(public_tokenizers.path("piece_bpe_32k.model")))
     got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs, "piece_bpe_32k.model").collect()}
     assert got == {i: len(sp.encode(t)) for i, t in enumerate(texts)}
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs, "byte_bpe_50k.tiktoken").collect()}
+    assert got == dict(enumerate(library_counts(texts)))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*"ab'sL 19.,!\n\té\x85日", "  ", " the", "don't "]), max_size=40).map("".join), max_size=5))
+def test_ranks_count_what_the_library_counts(texts):
+    assert token_counts.encoder("byte_bpe_50k.tiktoken").lengths(texts) == library_counts(texts)
 
 
 # 4 ------------------------------------------------------------------------------------------------------------------
