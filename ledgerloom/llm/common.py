@@ -92,6 +92,11 @@ def sweep(spark: SparkSession, made: list[str], keep: str) -> None:
     release(spark, gone)
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """A join's side that grows with the corpus: sorted and merged at every size, never broadcast, so that small inputs take the plan of large ones."""
+    return df.hint("merge")
+
+
 #: Bits of a key filter: 4 MB in all, whatever the number of keys.
 FILTER_BITS = 1 << 25
 

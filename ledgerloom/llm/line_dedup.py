@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, WS, let, materialize, release, shield, split_by_keys
+from .common import WORD, WS, grown, let, materialize, release, shield, split_by_keys
 
 SPAN_WORDS, REACH_WORDS, MIN_RUN_WORDS = 20, 30, 50
 
@@ -117,9 +117,9 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     prints = materialize(prints, "fingerprints", held)
     place = F.struct("k1", "k2", "p")
     twice = materialize(prints.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h"), "repeated-fingerprints", held)
-    hit = materialize(prints.join(twice, "h").groupBy("k1", "k2").agg(F.collect_set("p").alias("places")), "matches", held)
+    hit = materialize(prints.join(grown(twice), "h").groupBy("k1", "k2").agg(F.collect_set("p").alias("places")), "matches", held)
     # one row for each text: repeated rows share a key
-    need = lines.join(hit, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
+    need = lines.join(grown(hit), ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     # windows that hold a place: counts of places before both ends differ
     at = lambda x: F.floor(x / _FIELD).cast("int")
     size = lambda x: (x % _FIELD).cast("int")
@@ -136,7 +136,7 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     runs = materialize(runs, "runs", held)
     first = runs.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
     first = materialize(first.select("h", "first"), "first-places", held)
-    later = runs.join(first, "h").where(place != F.col("first"))
+    later = runs.join(grown(first), "h").where(place != F.col("first"))
     return later.groupBy("k1", "k2").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("own")))).alias("gone"))
 
 

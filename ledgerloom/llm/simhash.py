@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, materialize, release, shield, split_by_keys
+from .common import arrow_schema, grown, materialize, release, shield, split_by_keys
 
 BITS = 64
 #: Distinct fingerprints of a bucket that are compared directly; larger buckets are cut again.
@@ -391,7 +391,7 @@ def similar(pairs: DataFrame, texts: Callable[[DataFrame], DataFrame], similarit
     ids = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
     sets = materialize(shingle_sets(texts(ids), shingle), "shingle-sets", held)
     side = lambda x: sets.select(F.col("s").alias(x), F.col("grams").alias(f"g{x}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    both = pairs.join(grown(side("b")), "b").join(grown(side("a")), "a")
     shared = F.size(F.array_intersect("ga", "gb"))
     return both.where(shared >= F.lit(similarity) * (F.size("ga") + F.size("gb") - shared) - F.lit(1e-9)).select("a", "b")
 
@@ -495,9 +495,9 @@ def settled(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
 def in_parts(rows: DataFrame, sizes: DataFrame, part: int, part_bytes: int) -> DataFrame:
     """(key, i, j, label, s, part): the rows (key, s, label) of buckets that have two labels, a bucket above ``part`` rows or ``part_bytes`` of sets (sizes: s, w shingles) dealt into
     parts by hash; each part meets itself and every other one in a block (i, j) of its own: exact, and no block is large."""
-    of = rows.join(sizes, "s").groupBy("key").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    of = rows.join(grown(sizes), "s").groupBy("key").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
     of = of.select("key", F.ceil(F.greatest(F.col("n") / part, F.col("w") * 8 / part_bytes)).cast("long").alias("parts"))
-    dealt = rows.join(of, "key").withColumn("part", F.pmod(F.xxhash64("s"), F.col("parts")))
+    dealt = rows.join(grown(of), "key").withColumn("part", F.pmod(F.xxhash64("s"), F.col("parts")))
     blocks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("i"), F.greatest("part", o).alias("j")))
     return dealt.select("key", "s", "label", "part", F.explode(blocks).alias("x")).select("key", "x.i", "x.j", "label", "s", "part")
 
@@ -506,18 +506,18 @@ def near_links(groups: DataFrame, texts: Callable[[DataFrame], DataFrame], simil
     """(a, b): verified links that join all sets which a chain of verified candidate pairs joins, from distinct sets (s, keys, fp)."""
     bands = groups.select("s", F.explode("keys").alias("key"))
     buckets = materialize(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "near-buckets", held)
-    shared = materialize(bands.join(buckets, "key"), "near-rows", held)
+    shared = materialize(bands.join(grown(buckets), "key"), "near-rows", held)
     # stars first: a large group of copies is joined by a link or a few for each member
-    star = shared.where(F.col("key").bitwiseAND(F.lit(63)) < STARS).join(groups.select("s", "fp"), "s")
+    star = shared.where(F.col("key").bitwiseAND(F.lit(63)) < STARS).join(grown(groups.select("s", "fp")), "s")
     first = materialize(similar(star_pairs(star, radius), texts, similarity, shingle, held), "near-links")
     comp = components(first)
     # then every pair of a bucket that isn't joined yet
-    rows = shared.join(comp, shared["s"] == comp["node"], "left").select("key", "s", F.coalesce("root", "s").alias("label"))
+    rows = shared.join(grown(comp), shared["s"] == comp["node"], "left").select("key", "s", F.coalesce("root", "s").alias("label"))
     apart = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    rows = materialize(rows.join(apart, "key"), "near-labelled", held)
+    rows = materialize(rows.join(grown(apart), "key"), "near-labelled", held)
     sets = materialize(shingle_sets(texts(rows.select("s").distinct()), shingle), "shingle-sets", held)
     dealt = in_parts(rows, sets.select("s", F.size("grams").alias("w")), PART, PART_BYTES)
-    second = settled(dealt.join(sets, "s").join(groups.select("s", "fp", "keys"), "s"), radius, similarity)
+    second = settled(dealt.join(grown(sets), "s").join(grown(groups.select("s", "fp", "keys")), "s"), radius, similarity)
     return first.unionByName(second)
 
 
@@ -551,22 +551,22 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def texts(ids: DataFrame) -> DataFrame:
         # the id is a key too: thousands of copies share a set, but not an id
-        need = groups.join(ids, "s", "left_semi").select(F.col("s").alias("n_s"), F.col("low").alias("n_low"))
+        need = groups.join(grown(ids), "s", "left_semi").select(F.col("s").alias("n_s"), F.col("low").alias("n_low"))
         near, _ = split_by_keys(rows, F.col("s"), ids, held)
-        found = near.join(need, (F.col("s") == F.col("n_s")) & F.col(i).eqNullSafe(F.col("n_low")), "left_semi")
+        found = near.join(grown(need), (F.col("s") == F.col("n_s")) & F.col(i).eqNullSafe(F.col("n_low")), "left_semi")
         return found.select("s", F.col(place(text_col)).cast("string").alias("text")).dropDuplicates(["s"])
 
     held: list[str] = []
     edges = materialize(near_links(groups, texts, similarity, shingle, held), "near-links")
     release(docs.sparkSession, held)
     comp = materialize(components(edges), "near-roots")
-    roots = groups.join(comp, F.col("s") == F.col("node"), "left").select("s", "low", F.coalesce("root", "s").alias("root"))
+    roots = groups.join(grown(comp), F.col("s") == F.col("node"), "left").select("s", "low", F.coalesce("root", "s").alias("root"))
     best = F.min(F.struct(F.col("low").isNull().alias("none"), "low", "s"))
     chosen = roots.groupBy("root").agg(best.alias("best")).select(F.col("best.s").alias("c_s"), F.col("best.low").alias("c_low"))
     # rows that are alone with their set and have no link stay where they are
     suspects = groups.where("n > 1").select("s").unionByName(comp.select(F.col("node").alias("s"))).unionByName(comp.select(F.col("root").alias("s")))
     maybe, alone = split_by_keys(rows, F.col("s"), suspects)
-    kept = maybe.join(chosen, (F.col("s") == F.col("c_s")) & F.col(i).eqNullSafe(F.col("c_low")), "left_semi")
+    kept = maybe.join(grown(chosen), (F.col("s") == F.col("c_s")) & F.col(i).eqNullSafe(F.col("c_low")), "left_semi")
     repeated = maybe.groupBy("s", F.col(i).alias("id")).agg(F.count("*").alias("n")).where("n > 1")
     repeated = materialize(repeated.select(F.col("s").alias("r_s"), F.col("id").alias("r_id")), "repeated")
     if not repeated.limit(1).count():
